@@ -1,0 +1,37 @@
+"""Written intermediate tables, so several branches read one result."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    Only a local master may go without the setting; it gets a new scratch folder
+    once per session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="costwright-"))
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and return a DataFrame that reads it.
+
+    The plan behind `df` runs once, the branches built on the result prune their
+    own columns from parquet, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
