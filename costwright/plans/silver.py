@@ -49,6 +49,7 @@ def price_interval_join(
     usage: DataFrame,
     prices: DataFrame,
     as_of: date,
+    price_bytes: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -57,11 +58,14 @@ def price_interval_join(
     Overlapping intervals give one row per match, as an ordinary join does.
 
     SKU and cloud are few and skewed, so shuffling usage on them is the last
-    resort. The price list is measured first; while it fits `broadcast_bytes` the
-    usage side stays where it is. A larger list is joined by month and salt.
+    resort. The price list is measured first (a small job, unless the caller has
+    measured it and gives `price_bytes`); while it fits `broadcast_bytes` the usage
+    side stays where it is. A larger list is joined by month and salt.
     """
     valid = price_intervals(prices, as_of)
-    if size_in_bytes(valid) <= broadcast_bytes:
+    if price_bytes is None:
+        price_bytes = size_in_bytes(valid)
+    if price_bytes <= broadcast_bytes:
         return _join_prices(usage, F.broadcast(valid), ["sku_name", "cloud"])
     return _join_prices_by_month(usage, valid, salts)
 
@@ -122,11 +126,14 @@ def usage_enriched(
     usage: DataFrame,
     prices: DataFrame,
     as_of: date,
+    price_bytes: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
     """The silver table. `usage` is the bronze table, already cut to its window."""
-    costed = with_cost(price_interval_join(usage, prices, as_of, broadcast_bytes, salts))
+    costed = with_cost(
+        price_interval_join(usage, prices, as_of, price_bytes, broadcast_bytes, salts)
+    )
     return costed.select(
         "record_id", "workspace_id", "sku_name", "cloud",
         "usage_date", "usage_month", "usage_unit", "usage_quantity", "estimated_cost_usd",

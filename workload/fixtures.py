@@ -11,12 +11,14 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from costwright.schemas import PRICE, QUANTITY
 
 AS_OF = date(2001, 7, 20)
 DAYS = 90
 
+RECORD = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 CLOUDS = ("AWS", "AZURE", "GCP")
 PRODUCTS = ("SQL", "JOBS", "ALL_PURPOSE", "DLT")
 SKU_SUFFIX = {"A": "_PHOTON", "R": "_SERVERLESS", "N": ""}
@@ -30,8 +32,26 @@ BUDGET_PER_CUSTOMER = ("1.00", "2.00", "3.00", "4.00", "0.00")
 ACCOUNT_BUDGET_PER_CUSTOMER = "3.00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The schema of each path read so far: inferring one takes a Spark job.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: tuple = ()) -> DataFrame:
+    """A given table.
+
+    A file of one row group is one task however many cores wait. With `spread_by`,
+    a scan of fewer partitions than cores is spread over them by those columns; one
+    of at least as many, as on a cluster, is left as it is. Filters and column
+    pruning still reach the scan.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *spread_by)
+    return df
 
 
 def _lookup(key: Column, values) -> Column:
@@ -58,7 +78,7 @@ def usage_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
     base = (
-        t("lineitem")
+        table(spark, sf_dir, "lineitem", RECORD)
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -89,9 +109,8 @@ def usage_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "F", F.col("c_name")).alias("run_as"),
         F.when(F.col("l_linenumber") % 3 != 0, F.col("s_name")).alias("owned_by"),
     )
-    record = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return base.select(
-        F.concat_ws("-", *record).alias("record_id"),
+        F.concat_ws("-", *RECORD).alias("record_id"),
         F.lit("account-1").alias("account_id"),
         _id("ws-", F.col("c_nationkey") % 5).alias("workspace_id"),
         F.concat("p_type", _lookup(F.col("l_returnflag"), SKU_SUFFIX)).alias("sku_name"),
@@ -295,6 +314,6 @@ def response_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("["), full, F.lit("] as asked")))
         .otherwise(F.concat(F.lit("Here it is:\n"), full, F.lit("\nDone.")))
     )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", ("event_id",)).select(
         F.col("event_id").alias("response_id"), text.alias("response_text")
     )

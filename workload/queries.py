@@ -77,8 +77,23 @@ def clusters(spark, sf_dir):
     return bronze.clusters(fixtures.cluster_source(spark, sf_dir))
 
 
+_PRICE_BYTES: dict[str, int] = {}
+
+
+def price_bytes(spark, sf_dir):
+    """The measured size of a folder's price list; every silver query joins it."""
+    if sf_dir not in _PRICE_BYTES:
+        _PRICE_BYTES[sf_dir] = silver.size_in_bytes(
+            silver.price_intervals(prices(spark, sf_dir), AS_OF)
+        )
+    return _PRICE_BYTES[sf_dir]
+
+
 def enriched(spark, sf_dir, days=DAYS):
-    return silver.usage_enriched(usage(spark, sf_dir, days), prices(spark, sf_dir), AS_OF)
+    return silver.usage_enriched(
+        usage(spark, sf_dir, days), prices(spark, sf_dir), AS_OF,
+        price_bytes=price_bytes(spark, sf_dir),
+    )
 
 
 def daily(spark, sf_dir, days=DAYS):
@@ -162,7 +177,8 @@ def ingest_row_counts(spark, sf_dir):
 @query
 def price_interval_join(spark, sf_dir):
     priced = silver.price_interval_join(
-        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF
+        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF,
+        price_bytes=price_bytes(spark, sf_dir),
     )
     return flat(priced.select(
         "record_id", "sku_name", "cloud", "usage_date", "usage_quantity",
@@ -173,7 +189,8 @@ def price_interval_join(spark, sf_dir):
 @query
 def cost_computation(spark, sf_dir):
     priced = silver.price_interval_join(
-        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF
+        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF,
+        price_bytes=price_bytes(spark, sf_dir),
     )
     return flat(silver.with_cost(priced).select(
         "record_id", "usage_quantity", "price_per_unit", "estimated_cost_usd"
@@ -655,7 +672,7 @@ def team_chargeback(spark, sf_dir):
 
 @query
 def format_functions(spark, sf_dir):
-    orders = fixtures.table(spark, sf_dir, "orders")
+    orders = fixtures.table(spark, sf_dir, "orders", ("o_orderkey",))
     amount = F.col("o_totalprice")
     signed = F.when(F.col("o_orderkey") % 3 != 0, amount - 250000)
     power = F.expr("CAST(1 << (4 * CAST(o_orderkey % 14 AS INT)) AS DOUBLE)")
