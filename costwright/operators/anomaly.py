@@ -24,6 +24,11 @@ REASON_WAREHOUSE = "High cost — verify query volume justifies size & uptime"
 BASELINE_ROWS = 7
 
 
+def in_order(df: DataFrame, ordered: bool, *by) -> DataFrame:
+    """Sorted for a reader; `ordered=False` saves the sort where the rows go on."""
+    return df.orderBy(*by) if ordered else df
+
+
 def spike_severity(delta: Column, limits: Thresholds = DEFAULTS) -> Column:
     return (
         F.when(delta >= limits.critical_delta_usd, "CRITICAL")
@@ -41,6 +46,7 @@ def cost_spikes(
     min_daily_usd: float = DEFAULTS.spike_min_daily_usd,
     dimension: str = "workspace",
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Days on which a workspace, SKU or resource cost far more than before.
 
@@ -87,9 +93,8 @@ def cost_spikes(
         F.lit(dimension).alias("dimension"),
         F.lit(COST_SPIKE).alias("finding_type"),
     )
-    return spikes.withColumn("severity", spike_severity(F.col("delta_usd"), limits)).orderBy(
-        F.desc("usage_date"), F.desc("delta_usd"), "dim_value"
-    )
+    spikes = spikes.withColumn("severity", spike_severity(F.col("delta_usd"), limits))
+    return in_order(spikes, ordered, F.desc("usage_date"), F.desc("delta_usd"), "dim_value")
 
 
 def sustained_spikes(
@@ -102,8 +107,8 @@ def sustained_spikes(
     Consecutive dates less their row number share one date, which names the run.
     A run is at least MEDIUM; its dollars above baseline may lift it further.
     """
-    in_order = Window.partitionBy("dimension", "dim_value").orderBy("usage_date")
-    run = F.date_sub("usage_date", F.row_number().over(in_order))
+    by_date = Window.partitionBy("dimension", "dim_value").orderBy("usage_date")
+    run = F.date_sub("usage_date", F.row_number().over(by_date))
     runs = (
         spikes.withColumn("run", run)
         .groupBy("dimension", "dim_value", "run")
@@ -146,6 +151,7 @@ def idle_clusters(
     as_of: date,
     days: int = 7,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Costly interactive clusters that do not stop by themselves soon enough.
 
@@ -166,7 +172,7 @@ def idle_clusters(
     reason = F.when(minutes.isNull() | (minutes == 0), REASON_DISABLED).otherwise(
         F.format_string(REASON_TOO_LONG, minutes)
     )
-    return (
+    idle = (
         idle.select(
             "cluster_id", "cluster_name", "workspace_id", "owned_by",
             "worker_node_type", "driver_node_type", "worker_count",
@@ -177,8 +183,8 @@ def idle_clusters(
             reason.alias("reason"),
         )
         .withColumn("severity", _idle_severity(limits))
-        .orderBy(F.desc("total_cost_usd"), "cluster_id", "workspace_id")
     )
+    return in_order(idle, ordered, F.desc("total_cost_usd"), "cluster_id", "workspace_id")
 
 
 def idle_clusters_no_metadata(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from costwright.functions.dates import last_days
 from costwright.functions.money import mean_of, rounded, shortest
+from costwright.operators.anomaly import in_order
 from costwright.plans.gold import latest_clusters
 from costwright.thresholds import DEFAULTS, Thresholds
 
@@ -86,7 +87,9 @@ def _cluster_costs(silver: DataFrame, as_of: date, days: int) -> DataFrame:
     )
 
 
-def _rightsize(costs: DataFrame, metadata: list, days: int, limits: Thresholds) -> DataFrame:
+def _rightsize(
+    costs: DataFrame, metadata: list, days: int, limits: Thresholds, ordered: bool
+) -> DataFrame:
     per_day = mean_of(F.col("cost"), F.greatest(F.col("active_days"), F.lit(1)))
     candidates = costs.select(
         "cluster_id",
@@ -99,11 +102,12 @@ def _rightsize(costs: DataFrame, metadata: list, days: int, limits: Thresholds)
         rounded(F.coalesce("spread", F.lit(0.0))).alias("stddev_daily_cost"),
         rounded(per_day).alias("cost_per_active_day"),
     )
-    return _recommend(
+    found = _recommend(
         candidates, RIGHT_SIZE, days, limits.rightsize_factor, "MEDIUM",
         F.format_string(RIGHT_SIZE_TITLE, short_name("cluster_name", "cluster_id")),
         F.format_string(RIGHT_SIZE_RATIONALE, shortest("total_cost_usd"), F.lit(days)),
-    ).orderBy(F.desc("total_cost_usd"), "cluster_id", "workspace_id")
+    )
+    return in_order(found, ordered, F.desc("total_cost_usd"), "cluster_id", "workspace_id")
 
 
 RIGHTSIZE_METADATA = {
@@ -122,6 +126,7 @@ def recommend_rightsizing(
     days: int = 14,
     min_cost_usd: float = DEFAULTS.rightsize_min_usd,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Costly clusters that look over-provisioned.
 
@@ -130,11 +135,10 @@ def recommend_rightsizing(
     costs = _cluster_costs(silver, as_of, days).where(F.col("cost") >= F.lit(min_cost_usd))
     if clusters is None:
         empty = [F.lit(None).cast(t).alias(n) for n, t in RIGHTSIZE_METADATA.items()]
-        return _rightsize(costs, empty, days, limits)
+        return _rightsize(costs, empty, days, limits, ordered)
     latest = latest_clusters(clusters).select("cluster_id", *RIGHTSIZE_METADATA)
-    return _rightsize(
-        costs.join(latest, "cluster_id", "left"), list(RIGHTSIZE_METADATA), days, limits
-    )
+    joined = costs.join(latest, "cluster_id", "left")
+    return _rightsize(joined, list(RIGHTSIZE_METADATA), days, limits, ordered)
 
 
 def recommend_autoscale(
@@ -143,6 +147,7 @@ def recommend_autoscale(
     as_of: date,
     days: int = 14,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Fixed-size clusters whose cost varies much from record to record."""
     costs = _cluster_costs(silver, as_of, days)
@@ -165,13 +170,14 @@ def recommend_autoscale(
         rounded("cost").alias("total_cost_usd"),
         "active_days",
     )
-    return _recommend(
+    found = _recommend(
         candidates, ENABLE_AUTOSCALE, days, limits.autoscale_factor, "MEDIUM",
         F.format_string(AUTOSCALE_TITLE, short_name("cluster_name", "cluster_id")),
         F.format_string(
             AUTOSCALE_RATIONALE, F.col("worker_count"), shortest("coefficient_of_variation")
         ),
-    ).orderBy(F.desc("total_cost_usd"), "cluster_id", "workspace_id")
+    )
+    return in_order(found, ordered, F.desc("total_cost_usd"), "cluster_id", "workspace_id")
 
 
 def recommend_photon(
@@ -180,6 +186,7 @@ def recommend_photon(
     days: int = 7,
     min_dbu: float = DEFAULTS.photon_min_dbu,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Warehouse workloads on SKUs without the vectorised engine."""
     workloads = (
@@ -197,11 +204,14 @@ def recommend_photon(
         )
         .where(F.col("total_dbu") >= min_dbu)
     )
-    return _recommend(
+    found = _recommend(
         workloads, ENABLE_PHOTON, days, limits.photon_factor, "MEDIUM",
         F.format_string(PHOTON_TITLE, F.substring("warehouse_id", 1, SHORT_ID)),
         F.format_string(PHOTON_RATIONALE, shortest("total_cost_usd"), F.lit(days)),
-    ).orderBy(F.desc("total_cost_usd"), "warehouse_id", "workspace_id", "sku_name")
+    )
+    return in_order(
+        found, ordered, F.desc("total_cost_usd"), "warehouse_id", "workspace_id", "sku_name"
+    )
 
 
 def recommend_serverless(

@@ -40,6 +40,22 @@ RUN_END = datetime(2001, 7, 20, 6, 1, 30)
 FULL = 100_000  # days: every record up to the as-of date
 
 
+# The silver columns the reports and the recommendations read.
+REC_COLUMNS = (
+    "usage_date", "workspace_id", "sku_name", "billing_origin_product", "cluster_id",
+    "warehouse_id", "job_id", "usage_quantity", "estimated_cost_usd",
+)
+SUMMARY_COLUMNS = (*REC_COLUMNS, "run_as_user", "owned_by", "tag_owner")
+FINDING_COLUMNS = (
+    *REC_COLUMNS, "pipeline_id", "tag_environment", "tag_project", "tag_team",
+    "tag_costcenter",
+)
+REPORT_FINDING = (
+    "severity", "headline", "finding_type", "daily_cost_usd", "total_cost_usd",
+    "pct_above_baseline", "dim_value",
+)
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -156,11 +172,15 @@ def merge_upsert(spark, sf_dir):
 
 @query
 def ingest_row_counts(spark, sf_dir):
-    records = staged_silver(
-        spark, sf_dir, DAYS, *[c for c in SILVER_COLUMNS if c != "custom_tags"]
+    records_in = stage(usage(spark, sf_dir), "bronze")
+    records = stage(
+        silver.usage_enriched(
+            records_in, prices(spark, sf_dir), AS_OF, price_bytes=price_bytes(spark, sf_dir)
+        ),
+        "silver",
     )
     return bronze.row_counts({
-        "bronze.billing_usage": usage(spark, sf_dir),
+        "bronze.billing_usage": records_in,
         "bronze.list_prices": prices(spark, sf_dir),
         "bronze.clusters": clusters(spark, sf_dir),
         "silver.usage_enriched": records,
@@ -303,11 +323,12 @@ for _granularity in ("day", "week", "month"):
 # --------------------------------------------------------------- anomalies
 
 
-def _spikes(spark, sf_dir, dimension):
+def _spikes(spark, sf_dir, dimension, ordered=True):
     # Single resources cost little here, so their floor is lower.
     floor = 1.0 if dimension == "resource" else 5.0
     return anomaly.cost_spikes(
-        enriched(spark, sf_dir), AS_OF, DAYS, min_daily_usd=floor, dimension=dimension
+        enriched(spark, sf_dir), AS_OF, DAYS, min_daily_usd=floor, dimension=dimension,
+        ordered=ordered,
     )
 
 
@@ -328,7 +349,7 @@ def cost_spikes_resource(spark, sf_dir):
 
 @query
 def sustained_spikes(spark, sf_dir):
-    return anomaly.sustained_spikes(_spikes(spark, sf_dir, "workspace"))
+    return anomaly.sustained_spikes(_spikes(spark, sf_dir, "workspace", ordered=False))
 
 
 @query
@@ -463,19 +484,16 @@ def rec_serverless(spark, sf_dir):
     return optimize.recommend_serverless(enriched(spark, sf_dir), AS_OF, DAYS)
 
 
-REC_COLUMNS = (
-    "usage_date", "workspace_id", "sku_name", "billing_origin_product", "cluster_id",
-    "warehouse_id", "job_id", "usage_quantity", "estimated_cost_usd",
-)
-
-
-def _recommendations(spark, sf_dir):
-    records = staged_silver(spark, sf_dir, DAYS, *REC_COLUMNS)
+def _recommendations(spark, sf_dir, records=None):
+    records = records or staged_silver(spark, sf_dir, DAYS, *REC_COLUMNS)
     meta = clusters(spark, sf_dir)
     return optimize.all_recommendations({
-        optimize.RIGHT_SIZE: optimize.recommend_rightsizing(records, meta, AS_OF, MONTH),
-        optimize.ENABLE_AUTOSCALE: optimize.recommend_autoscale(records, meta, AS_OF, DAYS),
-        optimize.ENABLE_PHOTON: optimize.recommend_photon(records, AS_OF, MONTH),
+        optimize.RIGHT_SIZE: optimize.recommend_rightsizing(
+            records, meta, AS_OF, MONTH, ordered=False),
+        optimize.ENABLE_AUTOSCALE: optimize.recommend_autoscale(
+            records, meta, AS_OF, DAYS, ordered=False),
+        optimize.ENABLE_PHOTON: optimize.recommend_photon(
+            records, AS_OF, MONTH, ordered=False),
         optimize.MIGRATE_SERVERLESS: optimize.recommend_serverless(records, AS_OF, DAYS),
     })
 
@@ -568,12 +586,8 @@ def tag_compliance(spark, sf_dir):
 # ----------------------------------------------------------------- reports
 
 
-def _cost_summary(spark, sf_dir):
-    records = staged_silver(
-        spark, sf_dir, DAYS, "usage_date", "workspace_id", "sku_name",
-        "billing_origin_product", "run_as_user", "owned_by", "tag_owner", "cluster_id",
-        "warehouse_id", "job_id", "usage_quantity", "estimated_cost_usd",
-    )
+def _cost_summary(spark, sf_dir, records=None):
+    records = records or staged_silver(spark, sf_dir, DAYS, *SUMMARY_COLUMNS)
     rollup = gold.daily_cost(records)
     return reports.cost_summary_report(
         cost.total_cost(rollup, AS_OF, MONTH),
@@ -583,33 +597,19 @@ def _cost_summary(spark, sf_dir):
     )
 
 
-def _tool_findings(spark, sf_dir):
-    """Spikes, idle clusters and untagged resources, as the findings report takes them."""
-    records = staged_silver(
-        spark, sf_dir, DAYS, "usage_date", "workspace_id", "sku_name", "cluster_id",
-        "warehouse_id", "job_id", "pipeline_id", "tag_environment", "tag_project",
-        "tag_team", "tag_costcenter", "usage_quantity", "estimated_cost_usd",
-    )
-    return run_metrics.all_findings(
-        anomaly.cost_spikes(records, AS_OF, DAYS),
-        anomaly.idle_clusters(records, clusters(spark, sf_dir), AS_OF, DAYS),
+def _findings(spark, sf_dir, records=None):
+    """The report on spikes, idle clusters and untagged resources."""
+    records = records or staged_silver(spark, sf_dir, DAYS, *FINDING_COLUMNS)
+    found = run_metrics.all_findings(
+        anomaly.cost_spikes(records, AS_OF, DAYS, ordered=False),
+        anomaly.idle_clusters(records, clusters(spark, sf_dir), AS_OF, DAYS, ordered=False),
         policy.untagged_resources(records, AS_OF, MONTH),
     )
+    return reports.findings_report(stage(found.select(*REPORT_FINDING), "findings"))
 
 
-REPORT_FINDING = (
-    "severity", "headline", "finding_type", "daily_cost_usd", "total_cost_usd",
-    "pct_above_baseline", "dim_value",
-)
-
-
-def _findings(spark, sf_dir):
-    found = stage(_tool_findings(spark, sf_dir).select(*REPORT_FINDING), "findings")
-    return reports.findings_report(found)
-
-
-def _recommendation_lines(spark, sf_dir):
-    found = stage(_recommendations(spark, sf_dir), "recommendations")
+def _recommendation_lines(spark, sf_dir, records=None):
+    found = stage(_recommendations(spark, sf_dir, records), "recommendations")
     return reports.recommendations_report(found)
 
 
@@ -630,10 +630,12 @@ def recommendations_report(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
+    columns = dict.fromkeys((*SUMMARY_COLUMNS, *FINDING_COLUMNS, *REC_COLUMNS))
+    records = staged_silver(spark, sf_dir, DAYS, *columns)
     lines = (
-        _cost_summary(spark, sf_dir)
-        .unionByName(_findings(spark, sf_dir))
-        .unionByName(_recommendation_lines(spark, sf_dir))
+        _cost_summary(spark, sf_dir, records)
+        .unionByName(_findings(spark, sf_dir, records))
+        .unionByName(_recommendation_lines(spark, sf_dir, records))
     )
     return reports.report_text(lines)
 
