@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costwright.functions.money import rounded
-from costwright.plans.silver import UNTAGGED, resource_id_of_record, resource_type_of_record
+from costwright.operators.policy import lacks_required_tag
+from costwright.plans.silver import resource_id_of_record, resource_type_of_record
 
 # Tiers by monthly savings. Each has its lower savings bound, the
 # savings at which its score band ends, and the band itself.
@@ -42,11 +43,11 @@ def prioritize(recommendations: DataFrame) -> DataFrame:
 def team_chargeback(silver: DataFrame) -> DataFrame:
     """Per team and month: total, change, three largest resources, untagged cost.
 
-    Untagged cost is cost without an environment or a project. Cost per resource is
-    the one shuffled input; the group limit keeps three rows per team, month and
-    task before the second shuffle.
+    Untagged cost lacks a required tag, as in the untagged-resources report. Cost per
+    resource is the one shuffled input; the group limit keeps three rows per team,
+    month and task before the second shuffle.
     """
-    untagged = (F.col("tag_environment") == UNTAGGED) | (F.col("tag_project") == UNTAGGED)
+    untagged = lacks_required_tag()
     cost = F.col("estimated_cost_usd")
     by_resource = silver.groupBy(
         "tag_team",

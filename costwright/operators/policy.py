@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costwright.functions.dates import last_days
@@ -36,6 +36,13 @@ SCORED = {
 }
 
 
+def lacks_required_tag() -> Column:
+    missing = F.lit(False)
+    for column in REQUIRED.values():
+        missing = missing | (F.col(column) == UNTAGGED)
+    return missing
+
+
 def untagged_resources(
     silver: DataFrame,
     as_of: date,
@@ -50,11 +57,8 @@ def untagged_resources(
     tagged usage is never shuffled.
     """
     missing = [F.when(F.col(c) == UNTAGGED, tag) for tag, c in REQUIRED.items()]
-    lacks_any = F.lit(False)
-    for column in REQUIRED.values():
-        lacks_any = lacks_any | (F.col(column) == UNTAGGED)
     groups = (
-        silver.where(last_days(as_of, days) & lacks_any)
+        silver.where(last_days(as_of, days) & lacks_required_tag())
         .groupBy(
             "workspace_id",
             resource_id_of_record().alias("resource_id"),

@@ -1013,7 +1013,7 @@ drivers AS (
 bills AS (
   SELECT tag_team AS team, usage_month, CAST(usage_month || '-01' AS DATE) AS month_start,
          {r('sum(estimated_cost_usd)')} AS total_cost_usd,
-         coalesce({r("sum(estimated_cost_usd) FILTER (tag_environment = 'untagged' OR tag_project = 'untagged')")}, 0)
+         coalesce({r("sum(estimated_cost_usd) FILTER ('untagged' IN (tag_environment, tag_project, tag_team))")}, 0)
            AS untagged_cost_usd
   FROM silver WHERE {window(90)} GROUP BY ALL
 )""")
