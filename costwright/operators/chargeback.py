@@ -43,9 +43,9 @@ def prioritize(recommendations: DataFrame) -> DataFrame:
 def team_chargeback(silver: DataFrame) -> DataFrame:
     """Per team and month: total, change, three largest resources, untagged cost.
 
-    Untagged cost lacks a required tag, as in the untagged-resources report. Cost per
-    resource is the one shuffled input; the group limit keeps three rows per team,
-    month and task before the second shuffle.
+    Untagged cost lacks a required tag, as in the untagged-resources report. Totals and
+    drivers read the same columns of the cost per resource, so Spark shuffles that once
+    for both; the group limit then keeps three rows per team, month and task.
     """
     untagged = lacks_required_tag()
     cost = F.col("estimated_cost_usd")
@@ -54,11 +54,14 @@ def team_chargeback(silver: DataFrame) -> DataFrame:
         "usage_month",
         resource_type_of_record().alias("resource_type"),
         resource_id_of_record().alias("resource_id"),
-    ).agg(F.sum(cost).alias("cost"), F.sum(F.when(untagged, cost)).alias("untagged"))
+    ).agg(
+        F.sum(cost).alias("cost"),
+        F.coalesce(F.sum(F.when(untagged, cost)), F.lit(0)).alias("untagged"),
+    )
 
     totals = by_resource.groupBy("tag_team", "usage_month").agg(
         rounded(F.sum("cost")).alias("total_cost_usd"),
-        F.coalesce(rounded(F.sum("untagged")), F.lit(0.0)).alias("untagged_cost_usd"),
+        rounded(F.sum("untagged")).alias("untagged_cost_usd"),
     )
     by_month = Window.partitionBy("tag_team").orderBy("usage_month")
     prior = F.lag("total_cost_usd").over(by_month)
@@ -88,13 +91,17 @@ def team_chargeback(silver: DataFrame) -> DataFrame:
                     F.struct(
                         "rank", "resource_type", "resource_id",
                         rounded("cost").alias("cost_usd"),
+                        rounded("untagged").alias("untagged_usd"),
                     )
                 )
             ).alias("top_drivers")
         )
     )
-    return (
-        totals.withColumn("pct_change_vs_last_month", rounded(change, 1))
-        .join(drivers, ["tag_team", "usage_month"], "left")
-        .withColumnRenamed("tag_team", "team")
+    # Null-safe: a plain equality would add not-null filters to one side only, and the
+    # two sides would no longer share their shuffle.
+    t, d = totals.withColumn("pct_change_vs_last_month", rounded(change, 1)), drivers
+    same = t["tag_team"].eqNullSafe(d["tag_team"]) & t["usage_month"].eqNullSafe(d["usage_month"])
+    return t.join(d, same, "left").select(
+        t["tag_team"].alias("team"), t["usage_month"], "total_cost_usd", "untagged_cost_usd",
+        "last_month_cost_usd", "pct_change_vs_last_month", "top_drivers",
     )

@@ -999,15 +999,17 @@ SELECT t.team, t.usage_month, total_cost_usd, untagged_cost_usd, last_month_cost
 FROM (SELECT a.*, b.total_cost_usd AS last_month_cost_usd FROM bills a LEFT JOIN bills b
         ON a.team = b.team AND b.month_start = a.month_start - INTERVAL 1 MONTH) t
 LEFT JOIN (SELECT team, usage_month,
-                  string_agg(resource_type || ':' || resource_id || ':' || {text('cost')}, '; '
-                             ORDER BY rank) AS top_drivers
+                  string_agg(resource_type || ':' || resource_id || ':' || {text('cost')} || ':'
+                               || {text('untagged')}, '; ' ORDER BY rank) AS top_drivers
            FROM (SELECT *, row_number() OVER (PARTITION BY team, usage_month
                           ORDER BY cost DESC, resource_type, resource_id) AS rank
                  FROM drivers WHERE cost > 0) WHERE rank <= 3 GROUP BY team, usage_month) d
   ON t.team = d.team AND t.usage_month = d.usage_month""", f"""
 drivers AS (
   SELECT tag_team AS team, usage_month, resource_type, resource_id,
-         sum(estimated_cost_usd) AS cost
+         sum(estimated_cost_usd) AS cost,
+         coalesce(sum(estimated_cost_usd) FILTER (
+           'untagged' IN (tag_environment, tag_project, tag_team)), 0) AS untagged
   FROM silver WHERE {window(90)} GROUP BY ALL
 ),
 bills AS (

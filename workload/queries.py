@@ -667,7 +667,8 @@ def team_chargeback(spark, sf_dir):
     text = F.transform(
         "top_drivers",
         lambda d: F.concat_ws(":", d["resource_type"], d["resource_id"],
-                              d["cost_usd"].cast("decimal(18,2)").cast("string")),
+                              d["cost_usd"].cast("decimal(18,2)").cast("string"),
+                              d["untagged_usd"].cast("decimal(18,2)").cast("string")),
     )
     return months.withColumn("top_drivers", F.array_join(text, "; "))
 
