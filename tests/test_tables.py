@@ -248,3 +248,39 @@ def test_ingest_takes_each_file_once_and_agrees_with_the_batch(spark, tmp_path):
         "usage_month", F.date_format("usage_date", "yyyy-MM")).select(*columns)
     batch = queries.enriched(spark, SF_DIR).select(*columns)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+
+
+# ------------------------------------------------------------ full refresh
+
+
+def test_refresh_writes_every_layer(spark, tmp_path):
+    from costwright.sources import ingest as full
+    from workload import fixtures, queries
+
+    sources = {n: str(tmp_path / n) for n in ("usage", "prices", "clusters", "job_runs")}
+    fixtures.usage_source(spark, SF_DIR).write.parquet(sources["usage"])
+    fixtures.price_source(spark, SF_DIR).write.parquet(sources["prices"])
+    fixtures.cluster_source(spark, SF_DIR).write.parquet(sources["clusters"])
+    for _ in range(2):
+        counts = {r["table_name"]: r["row_count"] for r in dicts(
+            full.refresh(spark, **sources, as_of=AS_OF, days=90, prefix="costs_"))}
+    assert counts["costs_bronze.job_runs"] == 0
+    assert counts["costs_bronze.billing_usage"] == counts["costs_silver.usage_enriched"] > 0
+    expected = {r["table_name"]: r["row_count"]
+                for r in dicts(queries.ingest_row_counts(spark, SF_DIR))}
+    assert {k.removeprefix("costs_"): v for k, v in counts.items() if "job_runs" not in k} == expected
+
+    columns = ["usage_date", "workspace_id", "user_email", "total_cost_usd", "distinct_jobs"]
+    from costwright.plans import gold
+
+    stored = spark.table("costs_gold.cost_by_user").select(*columns)
+    direct = gold.cost_by_user(queries.enriched(spark, SF_DIR)).select(*columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, direct.collect()))
+
+
+def test_refresh_needs_usage(spark, tmp_path):
+    from costwright.sources import ingest as full
+
+    missing = str(tmp_path / "missing")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        full.refresh(spark, missing, missing, missing, missing, AS_OF)
