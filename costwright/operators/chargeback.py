@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costwright.functions.money import rounded
+from costwright.operators.anomaly import in_order
 from costwright.operators.policy import lacks_required_tag
 from costwright.plans.silver import resource_id_of_record, resource_type_of_record
 
@@ -20,7 +21,7 @@ TIERS = {
 DRIVERS = 3
 
 
-def prioritize(recommendations: DataFrame) -> DataFrame:
+def prioritize(recommendations: DataFrame, ordered: bool = True) -> DataFrame:
     """Score and tier by monthly savings, highest first.
 
     The score runs linearly through the tier's band. P0 has no upper savings
@@ -35,9 +36,12 @@ def prioritize(recommendations: DataFrame) -> DataFrame:
         along = (F.least(savings, F.lit(high)) - low) / (high - low)
         tier = F.when(inside, name).otherwise(tier)
         score = F.when(inside, floor + along * (top - floor)).otherwise(score)
-    return recommendations.withColumns(
+    scored = recommendations.withColumns(
         {"priority_score": rounded(score), "priority_tier": tier}
-    ).orderBy(F.desc("priority_score"), F.desc(savings), "recommendation_id")
+    )
+    return in_order(
+        scored, ordered, F.desc("priority_score"), F.desc(savings), "recommendation_id"
+    )
 
 
 def team_chargeback(silver: DataFrame) -> DataFrame:

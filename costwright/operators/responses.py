@@ -16,6 +16,12 @@ DEFAULT_LEVEL = "medium"
 NO_TARGET = "unknown"
 TITLE_LENGTH = 200
 INVALID = "Invalid JSON from LLM"
+FENCE = "```"
+# Every character that counts as white space around a response.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Every field is read as text, so a number in quotes is not lost.
 ITEM = (
@@ -26,13 +32,23 @@ ITEM = (
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def _without_prefix(text: Column, prefix: str) -> Column:
+    return F.when(F.startswith(text, F.lit(prefix)), F.substr(text, F.lit(len(prefix) + 1))
+                  ).otherwise(text)
+
+
+def _without_suffix(text: Column, suffix: str) -> Column:
+    kept = F.length(text) - len(suffix)
+    return F.when(F.endswith(text, F.lit(suffix)), F.substr(text, F.lit(1), kept)).otherwise(text)
 
 
 def without_fences(text: Column) -> Column:
     """Text without a surrounding markdown code fence and white space."""
-    opened = F.regexp_replace(_stripped(text), r"^(?:```json)?(?:```)?", "")
-    return _stripped(F.regexp_replace(opened, r"```$", ""))
+    opened = _without_prefix(_without_prefix(_stripped(text), FENCE + "json"), FENCE)
+    return _stripped(_without_suffix(opened, FENCE))
 
 
 def parse_recommendations(
@@ -80,11 +96,11 @@ def extract_json_object(responses: DataFrame) -> DataFrame:
 
     Adds `json_text` (NULL if it does not parse), `is_valid` and `error_message`.
     """
-    text = _stripped(F.col("response_text"))
-    text = F.regexp_replace(text, r"^```(?:json)?\s*", "")
-    text = F.regexp_replace(_stripped(text), r"\s*```$", "")
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    body = F.when(braces != "", braces).otherwise(text)
+    text = without_fences(F.col("response_text"))
+    first = F.instr(text, "{")
+    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    braced = (first > 0) & (F.instr(text, "}") > 0) & (last > first)
+    body = F.when(braced, F.substr(text, first, last - first + 1)).otherwise(text)
     # As the only element of an array: a second value after the object is an error.
     alone = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
     valid = F.coalesce(

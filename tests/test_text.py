@@ -101,7 +101,7 @@ def test_fences_parents_and_numbers(spark):
         {"finding_id": "f2", "title": "c", "estimated_monthly_savings_usd": "lots"},
     ]
     text = json.dumps(items, indent=1)
-    for wrapped in (text, f"```json\n{text}\n```", f"  ```{text}```\n"):
+    for wrapped in (text, f"```json\n{text}\n```", f"\u00a0 ```{text}```\n", f"```json```\n{text}"):
         a, b, c = parse(spark, wrapped)
         assert (len(a["title"]), a["target_resource"], a["finding_ids"]) == (200, "ws-1", ["f1"])
         assert (b["target_resource"], b["finding_ids"]) == ("unknown", ["gone"])
@@ -138,7 +138,7 @@ def python_extract(text):
 
 PIECES = st.lists(
     st.sampled_from(['{"a": 1}', '{"b": {"c": [1, "}"]}}', "{", "}", "```json\n", "```", "text",
-                     "\n", " ", "[]", "12", '{"a": "x\\"y"}', ","]),
+                     "\n", " ", "\u00a0", "\u2003\t", "[]", "12", '{"a": "x\\"y"}', ","]),
     max_size=5,
 ).map("".join)
 

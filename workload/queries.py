@@ -506,7 +506,7 @@ def all_recommendations(spark, sf_dir):
 @query
 def persist_recommendations(spark, sf_dir):
     rows = tables.recommendations_rows(
-        chargeback.prioritize(_recommendations(spark, sf_dir)), RUN_ID, RUN_END
+        chargeback.prioritize(_recommendations(spark, sf_dir), ordered=False), RUN_ID, RUN_END
     )
     return flat(rows)
 
