@@ -17,6 +17,7 @@ NO_TARGET = "unknown"
 TITLE_LENGTH = 200
 INVALID = "Invalid JSON from LLM"
 FENCE = "```"
+STRICT = {"allowSingleQuotes": "false"}
 # Every character that counts as white space around a response.
 WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -62,7 +63,7 @@ def parse_recommendations(
     """
     wrapped = F.concat(F.lit('{"items":'), without_fences(F.col("response_text")), F.lit("}"))
     parsed = F.from_json(wrapped, f"items array<struct<{ITEM.replace(' string', ':string')}>>",
-                         {"allowSingleQuotes": "false"})
+                         STRICT)
     items = responses.select(
         "response_id", F.posexplode(parsed["items"]).alias("item_no", "item")
     ).select("response_id", "item_no", "item.*").withColumn(
@@ -101,13 +102,11 @@ def extract_json_object(responses: DataFrame) -> DataFrame:
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     braced = (first > 0) & (F.instr(text, "}") > 0) & (last > first)
     body = F.when(braced, F.substr(text, first, last - first + 1)).otherwise(text)
-    # As the only element of an array: a second value after the object is an error.
-    alone = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    valid = F.coalesce(
-        F.try_variant_get(alone, "$[0]", "variant").isNotNull()
-        & F.try_variant_get(alone, "$[1]", "variant").isNull(),
-        F.lit(False),
-    )
+    # Text after the object breaks the field around it, a second value shows as a
+    # second element.
+    field = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string", STRICT)["v"]
+    elements = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", STRICT)
+    valid = F.coalesce(field.isNotNull() & (F.size(elements) == 1), F.lit(False))
     return responses.select(
         "*",
         F.when(valid, body).alias("json_text"),

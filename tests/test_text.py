@@ -137,13 +137,13 @@ def python_extract(text):
 
 
 PIECES = st.lists(
-    st.sampled_from(['{"a": 1}', '{"b": {"c": [1, "}"]}}', "{", "}", "```json\n", "```", "text",
+    st.sampled_from(['{"a": 1}', '{"a": 1, "a": 2}', "] and [", ', "k": ', "{'a': 1}", '{"b": {"c": [1, "}"]}}', "{", "}", "```json\n", "```", "text",
                      "\n", " ", "\u00a0", "\u2003\t", "[]", "12", '{"a": "x\\"y"}', ","]),
     max_size=5,
 ).map("".join)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(PIECES, min_size=1, max_size=40))
 def test_extract_against_python(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, response_text string")
