@@ -71,93 +71,109 @@ def _id(prefix: str, key: Column, width: int | None = None) -> Column:
     return F.concat(F.lit(prefix), F.lpad(text, width, "0") if width else text)
 
 
+def _case(key: str, values: dict) -> str:
+    """SQL for the value under a key."""
+    cases = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in values.items())
+    return f"CASE {key} {cases} END"
+
+
+def _when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+# The usage columns as expressions over line item, part, supplier, order and customer.
+USAGE_TAGS = {
+    "Environment": _when("o_orderpriority <> '4-NOT SPECIFIED'", "substring(o_orderpriority, 3)"),
+    "Project": _when("p_size % 4 <> 0", "p_brand"),
+    "Owner": _when("c_custkey % 3 <> 0", "c_name"),
+    "Team": _when("c_custkey % 5 <> 0", "c_mktsegment"),
+    "CostCenter": _when("c_custkey % 7 <> 0", "concat('cc-', c_nationkey)"),
+}
+USAGE_RESOURCE = {
+    "cluster_id": _when("l_suppkey % 4 = 0", "concat('cluster-', lpad(l_suppkey, 8, '0'))"),
+    "warehouse_id": _when("l_suppkey % 4 = 1", "concat('warehouse-', lpad(l_suppkey, 8, '0'))"),
+    "job_id": _when("l_suppkey % 4 = 2", "concat('job-', l_suppkey)"),
+    "notebook_id": "CAST(NULL AS STRING)",
+    "dlt_pipeline_id": _when(
+        "l_suppkey % 4 = 3 AND l_linenumber % 2 <> 0", "concat('pipeline-', l_suppkey)"
+    ),
+}
+USAGE_IDENTITY = {
+    "run_as": _when("o_orderstatus <> 'F'", "c_name"),
+    "owned_by": _when("l_linenumber % 3 <> 0", "s_name"),
+}
+
+
+def _struct(fields: dict) -> str:
+    return f"struct({', '.join(f'{value} AS {name}' for name, value in fields.items())})"
+
+
+USAGE = {
+    "record_id": f"concat_ws('-', {', '.join(RECORD)})",
+    "account_id": "'account-1'",
+    "workspace_id": "concat('ws-', c_nationkey % 5)",
+    "sku_name": f"concat(p_type, {_case('l_returnflag', SKU_SUFFIX)})",
+    "cloud": _case("s_nationkey % 3", dict(enumerate(CLOUDS))),
+    "usage_start_time": "CAST(l_shipdate AS TIMESTAMP)",
+    "usage_end_time": "CAST(l_shipdate + INTERVAL 1 HOUR AS TIMESTAMP)",
+    "usage_date": "to_date(l_shipdate)",
+    "custom_tags": f"map({', '.join(f'{k!r}, {v}' for k, v in USAGE_TAGS.items())})",
+    "usage_unit": "'DBU'",
+    "usage_quantity": f"CAST(l_quantity AS {QUANTITY.simpleString()})",
+    "usage_metadata": _struct(USAGE_RESOURCE),
+    "identity_metadata": _struct(USAGE_IDENTITY),
+    "record_type": "'ORIGINAL'",
+    "ingestion_date": "to_date(l_shipdate)",
+    "billing_origin_product": _case("l_linenumber % 4", dict(enumerate(PRODUCTS))),
+    "product_features": "CAST(NULL AS STRING)",
+    "usage_type": "'COMPUTE_TIME'",
+}
+
+
 def usage_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw usage records: one per line item."""
 
     def t(name):
         return table(spark, sf_dir, name)
 
-    base = (
+    return (
         table(spark, sf_dir, "lineitem", RECORD)
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    )
-    kind = F.col("l_suppkey") % 4
-    day = F.to_date("l_shipdate")
-    customer = F.col("c_custkey")
-    tags = F.create_map(
-        F.lit("Environment"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED",
-               F.expr("substring(o_orderpriority, 3)")),
-        F.lit("Project"), F.when(F.col("p_size") % 4 != 0, F.col("p_brand")),
-        F.lit("Owner"), F.when(customer % 3 != 0, F.col("c_name")),
-        F.lit("Team"), F.when(customer % 5 != 0, F.col("c_mktsegment")),
-        F.lit("CostCenter"),
-        F.when(customer % 7 != 0, _id("cc-", F.col("c_nationkey"))),
-    )
-    resource = F.struct(
-        F.when(kind == 0, _id("cluster-", F.col("l_suppkey"), 8)).alias("cluster_id"),
-        F.when(kind == 1, _id("warehouse-", F.col("l_suppkey"), 8)).alias("warehouse_id"),
-        F.when(kind == 2, _id("job-", F.col("l_suppkey"))).alias("job_id"),
-        F.lit(None).cast("string").alias("notebook_id"),
-        F.when((kind == 3) & (F.col("l_linenumber") % 2 != 0),
-               _id("pipeline-", F.col("l_suppkey"))).alias("dlt_pipeline_id"),
-    )
-    identity = F.struct(
-        F.when(F.col("o_orderstatus") != "F", F.col("c_name")).alias("run_as"),
-        F.when(F.col("l_linenumber") % 3 != 0, F.col("s_name")).alias("owned_by"),
-    )
-    return base.select(
-        F.concat_ws("-", *RECORD).alias("record_id"),
-        F.lit("account-1").alias("account_id"),
-        _id("ws-", F.col("c_nationkey") % 5).alias("workspace_id"),
-        F.concat("p_type", _lookup(F.col("l_returnflag"), SKU_SUFFIX)).alias("sku_name"),
-        _lookup(F.col("s_nationkey") % 3, CLOUDS).alias("cloud"),
-        F.col("l_shipdate").cast("timestamp").alias("usage_start_time"),
-        (F.col("l_shipdate") + F.expr("INTERVAL 1 HOUR")).cast("timestamp")
-        .alias("usage_end_time"),
-        day.alias("usage_date"),
-        tags.alias("custom_tags"),
-        F.lit("DBU").alias("usage_unit"),
-        F.col("l_quantity").cast(QUANTITY).alias("usage_quantity"),
-        resource.alias("usage_metadata"),
-        identity.alias("identity_metadata"),
-        F.lit("ORIGINAL").alias("record_type"),
-        day.alias("ingestion_date"),
-        _lookup(F.col("l_linenumber") % 4, PRODUCTS).alias("billing_origin_product"),
-        F.lit(None).cast("string").alias("product_features"),
-        F.lit("COMPUTE_TIME").alias("usage_type"),
+        .join(t("part"), F.expr("l_partkey = p_partkey"))
+        .join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(t("orders"), F.expr("l_orderkey = o_orderkey"))
+        .join(t("customer"), F.expr("o_custkey = c_custkey"))
+        .selectExpr(*[f"{value} AS {name}" for name, value in USAGE.items()])
     )
 
 
 def price_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of every part type's SKUs, per cloud, before and after a price change."""
-    types = table(spark, sf_dir, "part").select("p_type").distinct()
-    suffixes = F.array(*[F.lit(s) for s in SKU_SUFFIX.values()])
-    first, second = [F.lit(d).cast("timestamp") for d in PRICE_CHANGE]
-    intervals = F.array(
-        F.struct(first.alias("start"), second.alias("end"), F.lit("1.00").alias("factor")),
-        F.struct(second.alias("start"), F.lit(None).cast("timestamp").alias("end"),
-                 F.lit("1.25").alias("factor")),
-    )
-    base = _lookup(F.col("p_type"), BASE_PRICE).cast("decimal(6,2)")
-    price = (base * F.col("interval.factor").cast("decimal(4,2)")).cast(PRICE)
+    base = f"CAST({_case('p_type', BASE_PRICE)} AS DECIMAL(6,2))"
+    first, second = (f"TIMESTAMP '{day} 00:00:00'" for day in PRICE_CHANGE)
+    suffixes = ", ".join(repr(s) for s in SKU_SUFFIX.values())
+    clouds = ", ".join(repr(c) for c in CLOUDS)
     return (
-        types.withColumn("suffix", F.explode(suffixes))
-        .withColumn("cloud", F.explode(F.array(*[F.lit(c) for c in CLOUDS])))
-        .where(~((F.col("p_type") == "ECONOMY") & (F.col("cloud") == "GCP")))
-        .withColumn("interval", F.explode(intervals))
-        .select(
-            F.col("interval.start").alias("price_start_time"),
-            F.col("interval.end").alias("price_end_time"),
-            F.lit("account-1").alias("account_id"),
-            F.concat("p_type", "suffix").alias("sku_name"),
+        table(spark, sf_dir, "part").select("p_type").distinct()
+        .selectExpr("p_type", f"{base} AS base", f"explode(array({suffixes})) AS suffix")
+        .selectExpr("*", f"explode(array({clouds})) AS cloud")
+        .where("NOT (p_type = 'ECONOMY' AND cloud = 'GCP')")
+        .selectExpr(
+            "*",
+            "explode(array("
+            f"struct({first} AS start, {second} AS end, CAST(1.00 AS DECIMAL(4,2)) AS factor), "
+            f"struct({second} AS start, CAST(NULL AS TIMESTAMP) AS end, "
+            "CAST(1.25 AS DECIMAL(4,2)) AS factor))) AS interval",
+        )
+        .selectExpr(
+            "interval.start AS price_start_time",
+            "interval.end AS price_end_time",
+            "'account-1' AS account_id",
+            "concat(p_type, suffix) AS sku_name",
             "cloud",
-            F.lit("USD").alias("currency_code"),
-            F.lit("DBU").alias("usage_unit"),
-            F.struct(price.alias("default")).alias("pricing"),
+            "'USD' AS currency_code",
+            "'DBU' AS usage_unit",
+            f"struct(CAST(base * interval.factor AS {PRICE.simpleString()}) AS `default`) "
+            "AS pricing",
         )
     )
 
