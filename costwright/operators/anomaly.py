@@ -7,9 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costwright.functions.common import choose, in_order
 from costwright.functions.dates import last_days
 from costwright.functions.money import mean_of, rounded
-from costwright.operators.cost import _choose
 from costwright.plans.gold import latest_clusters
 from costwright.thresholds import DEFAULTS, Thresholds
 
@@ -24,11 +24,6 @@ REASON_WAREHOUSE = "High cost — verify query volume justifies size & uptime"
 BASELINE_ROWS = 7
 
 
-def in_order(df: DataFrame, ordered: bool, *by) -> DataFrame:
-    """Sorted for a reader; `ordered=False` saves the sort where the rows go on."""
-    return df.orderBy(*by) if ordered else df
-
-
 def spike_severity(delta: Column, limits: Thresholds = DEFAULTS) -> Column:
     return (
         F.when(delta >= limits.critical_delta_usd, "CRITICAL")
@@ -54,7 +49,7 @@ def cost_spikes(
     not calendar days. Cost is summed per value and day first, so one window
     partition holds at most `lookback_days + 1` rows however hot its value is.
     """
-    value = _choose(
+    value = choose(
         {
             "workspace": F.col("workspace_id"),
             "sku": F.col("sku_name"),
@@ -172,19 +167,16 @@ def idle_clusters(
     reason = F.when(minutes.isNull() | (minutes == 0), REASON_DISABLED).otherwise(
         F.format_string(REASON_TOO_LONG, minutes)
     )
-    idle = (
-        idle.select(
-            "cluster_id", "cluster_name", "workspace_id", "owned_by",
-            "worker_node_type", "driver_node_type", "worker_count",
-            "auto_termination_minutes", "cluster_source", "active_days",
-            rounded("cost").alias("total_cost_usd"),
-            rounded("dbu").alias("total_dbu"),
-            F.lit(IDLE_CLUSTER).alias("finding_type"),
-            reason.alias("reason"),
-        )
-        .withColumn("severity", _idle_severity(limits))
-    )
-    return in_order(idle, ordered, F.desc("total_cost_usd"), "cluster_id", "workspace_id")
+    found = idle.select(
+        "cluster_id", "cluster_name", "workspace_id", "owned_by",
+        "worker_node_type", "driver_node_type", "worker_count",
+        "auto_termination_minutes", "cluster_source", "active_days",
+        rounded("cost").alias("total_cost_usd"),
+        rounded("dbu").alias("total_dbu"),
+        F.lit(IDLE_CLUSTER).alias("finding_type"),
+        reason.alias("reason"),
+    ).withColumn("severity", _idle_severity(limits))
+    return in_order(found, ordered, F.desc("total_cost_usd"), "cluster_id", "workspace_id")
 
 
 def idle_clusters_no_metadata(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costwright.functions.common import in_order
 from costwright.functions.money import rounded
-from costwright.operators.anomaly import in_order
 from costwright.operators.policy import lacks_required_tag
 from costwright.plans.silver import resource_id_of_record, resource_type_of_record
 

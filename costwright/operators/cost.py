@@ -7,17 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costwright.functions.common import choose
 from costwright.functions.dates import last_days
 from costwright.functions.money import mean_of, rounded
 from costwright.plans.silver import user_of_record
 
 
-def _choose(options: dict, name: str, what: str):
-    if name not in options:
-        raise ValueError(f"unknown {what} {name!r}; use one of {sorted(options)}")
-    return options[name]
-
-
 def _totals(grouped, days: int) -> DataFrame:
     return grouped.agg(
         rounded(F.sum("total_cost_usd")).alias("total_cost_usd"),
@@ -49,7 +44,7 @@ def cost_breakdown(
     silver: DataFrame, dimension: str, as_of: date, days: int = 7, top_n: int = 10
 ) -> DataFrame:
     """The `top_n` values of a dimension by cost; values without cost are left out."""
-    value = _choose(
+    value = choose(
         {
             "sku": F.col("sku_name"),
             "product": F.col("billing_origin_product"),
@@ -132,7 +127,7 @@ def top_spending_resources(
 
 def top_spenders(rollup: DataFrame, spender_type: str, as_of: date, **options) -> DataFrame:
     """`user` over the user rollup or `resource` over the resource rollup."""
-    chosen = _choose(
+    chosen = choose(
         {"user": top_spending_users, "resource": top_spending_resources},
         spender_type,
         "spender type",
@@ -148,7 +143,7 @@ def cost_trend(
     The window over all periods sees at most `days + 1` rows: the cost is summed
     per period before it.
     """
-    period = _choose(
+    period = choose(
         {
             "day": F.col("usage_date"),
             "week": F.date_trunc("week", "usage_date").cast("date"),

@@ -7,9 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costwright.functions.common import in_order
 from costwright.functions.dates import last_days
 from costwright.functions.money import mean_of, rounded, shortest
-from costwright.operators.anomaly import in_order
 from costwright.plans.gold import latest_clusters
 from costwright.thresholds import DEFAULTS, Thresholds
 
