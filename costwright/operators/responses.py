@@ -16,7 +16,6 @@ DEFAULT_LEVEL = "medium"
 NO_TARGET = "unknown"
 TITLE_LENGTH = 200
 INVALID = "Invalid JSON from LLM"
-FENCE = "```"
 STRICT = {"allowSingleQuotes": "false"}
 # Every character that counts as white space around a response.
 WHITE_SPACE = (
@@ -32,24 +31,11 @@ ITEM = (
 )
 
 
-def _stripped(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITE_SPACE))
-
-
-def _without_prefix(text: Column, prefix: str) -> Column:
-    return F.when(F.startswith(text, F.lit(prefix)), F.substr(text, F.lit(len(prefix) + 1))
-                  ).otherwise(text)
-
-
-def _without_suffix(text: Column, suffix: str) -> Column:
-    kept = F.length(text) - len(suffix)
-    return F.when(F.endswith(text, F.lit(suffix)), F.substr(text, F.lit(1), kept)).otherwise(text)
-
-
 def without_fences(text: Column) -> Column:
     """Text without a surrounding markdown code fence and white space."""
-    opened = _without_prefix(_without_prefix(_stripped(text), FENCE + "json"), FENCE)
-    return _stripped(_without_suffix(opened, FENCE))
+    space = F.lit(WHITE_SPACE)
+    opened = F.regexp_replace(F.btrim(text, space), r"\A(?:```json)?(?:```)?", "")
+    return F.btrim(F.regexp_replace(opened, r"```\z", ""), space)
 
 
 def parse_recommendations(
@@ -97,21 +83,35 @@ def extract_json_object(responses: DataFrame) -> DataFrame:
 
     Adds `json_text` (NULL if it does not parse), `is_valid` and `error_message`.
     """
-    text = without_fences(F.col("response_text"))
-    first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    braced = (first > 0) & (F.instr(text, "}") > 0) & (last > first)
-    body = F.when(braced, F.substr(text, first, last - first + 1)).otherwise(text)
+    # One column per step: a step read several times is then computed once.
+    braced = (F.col("_first") > 0) & (F.col("_last") > F.col("_first"))
+    inside = F.substr("_text", F.col("_first"), F.col("_last") - F.col("_first") + 1)
+    body = (
+        responses.withColumn("_text", without_fences(F.col("response_text")))
+        .withColumns({
+            "_first": F.instr("_text", "{"),
+            "_from_end": F.instr(F.reverse("_text"), "}"),
+        })
+        .withColumn("_last", F.when(
+            F.col("_from_end") > 0, F.length("_text") - F.col("_from_end") + 1))
+        .withColumn("_body", F.when(braced, inside).otherwise(F.col("_text")))
+    )
     # Text after the object breaks the field around it, a second value shows as a
     # second element.
-    field = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string", STRICT)["v"]
-    elements = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", STRICT)
-    valid = F.coalesce(field.isNotNull() & (F.size(elements) == 1), F.lit(False))
-    return responses.select(
-        "*",
-        F.when(valid, body).alias("json_text"),
-        valid.alias("is_valid"),
-        F.when(~valid, INVALID).alias("error_message"),
+    field = F.concat(F.lit('{"v":'), F.col("_body"), F.lit("}"))
+    elements = F.concat(F.lit("["), F.col("_body"), F.lit("]"))
+    checked = body.withColumns({
+        "_field": F.from_json(field, "v string", STRICT)["v"],
+        "_count": F.size(F.from_json(elements, "array<string>", STRICT)),
+    }).withColumn(
+        "is_valid",
+        F.coalesce(F.col("_field").isNotNull() & (F.col("_count") == 1), F.lit(False)),
+    )
+    return checked.select(
+        *responses.columns,
+        F.when(F.col("is_valid"), F.col("_body")).alias("json_text"),
+        "is_valid",
+        F.when(~F.col("is_valid"), INVALID).alias("error_message"),
     )
 
 
