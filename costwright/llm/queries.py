@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwright.llm import bpe, packing, secrets, warc_zip
-from costwright.llm.shared import shipped, table
+from costwright.llm import bpe, classifier, jaccard, packing, quality, secrets, warc_zip
+from costwright.llm.shared import crc_fold, shipped, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    weights = quality.ratio_weights(docs, trusted, "doc_id", "text")
+    return quality.rated(docs.select("doc_id", "text"), weights).drop("text")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     return bpe.decode(encoded, BYTE_BPE).select(
@@ -45,6 +56,18 @@ def op8_secret_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").filter(crc_fold("doc_id", 3) != 1)
+    scored = classifier.score(docs.select("doc_id", "text"), classifier.fit(docs, learned)).drop("text")
+    return scored.select(
+        "doc_id",
+        (crc_fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        F.expr("if(score >= 0.5, 1, 0)").alias("predicted"),
+    )
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -62,7 +85,15 @@ def _registered(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     query.__name__: _registered(query)
-    for query in (op6_trie_bpe, op7_warc_zip, op8_secret_structures, op10_harmonic_packing)
+    for query in (
+        op1_quality_ratio,
+        op4_jaccard_join,
+        op6_trie_bpe,
+        op7_warc_zip,
+        op8_secret_structures,
+        op9_subword_classifier,
+        op10_harmonic_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

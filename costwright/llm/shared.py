@@ -37,6 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table made by written() that nothing will read again."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_text(column: str) -> Column:
     """An id as text; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
