@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwright.llm import bpe, classifier, hnsw, jaccard, packing, quality, secrets, warc_zip
+from costwright.llm import bpe, classifier, hnsw, html_crf, jaccard, packing, quality, secrets, warc_zip
 from costwright.llm.shared import crc_fold, shipped, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_crf.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     return bpe.decode(encoded, BYTE_BPE).select(
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op1_quality_ratio,
         op3_hnsw_near_duplicates,
         op4_jaccard_join,
+        op5_crf_main_text,
         op6_trie_bpe,
         op7_warc_zip,
         op8_secret_structures,
