@@ -28,7 +28,7 @@ _WORDS = regex.compile(
 _CUT = re.compile(r" (?=\S)")
 
 #: Entries of each memory of a worker (cut pieces, words, token pairs); a full one is emptied.
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,6 +41,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of each id of a tokenizers JSON file, special tokens included."""
+    letters = byte_letters()
+    found = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return found | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
 class ByteBpe:
     """Vocabulary, merge rules and special tokens of a tokenizers JSON file."""
 
@@ -62,8 +69,7 @@ class ByteBpe:
         #: each ending of a token -> the token that it is, or -1
         self.endings = {b[k:]: -1 for b in self.ids for k in range(len(b))} | self.ids
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: b for b, i in self.ids.items()}
-        self.token |= {i: s.encode() for s, i in self.special.items()}
+        self.token = token_bytes(spec)
         self._special_cut = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)))
         self._beside: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
@@ -202,6 +208,20 @@ class ByteBpe:
             out.append(b"".join(parts))
         return out
 
+
+@lru_cache(maxsize=2)
+def load(path: str) -> ByteBpe:
+    """One per worker and file."""
+    return ByteBpe(path)
+
+
+class Decoder:
+    """The bytes of each id, all that decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            self.token = token_bytes(json.load(f))
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
         token = self.token
@@ -209,13 +229,12 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> ByteBpe:
-    """One per worker and file."""
-    return ByteBpe(path)
+def load_decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 #: Characters of text that are encoded together; bounds a worker's memory.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
 
 
 def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -259,9 +278,9 @@ def decode(encoded: DataFrame, vocabulary: str, text: str = "decoded") -> DataFr
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        decoder = load_decoder(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(i or b"") for i in batch.column(names.index("ids")).to_pylist()]
+            texts = [decoder.decode(i or b"") for i in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

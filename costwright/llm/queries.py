@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwright.llm import bpe, classifier, hnsw, html_crf, jaccard, packing, quality, secrets, warc_zip
+from costwright.llm import bpe, classifier, hnsw, html_crf, jaccard, ngram_trie, packing, quality, secrets, warc_zip
 from costwright.llm.shared import crc_fold, shipped, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op1_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(docs.select("doc_id", "text"), weights).drop("text")
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(table(spark, sf_dir, "documents"), crc_fold("doc_id", 7) == 2)
+
+
 def op3_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: _registered(query)
     for query in (
         op1_quality_ratio,
+        op2_ngram_trie,
         op3_hnsw_near_duplicates,
         op4_jaccard_join,
         op5_crf_main_text,
