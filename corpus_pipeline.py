@@ -39,15 +39,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of similar documents: one with the least doc_id of the group.
+    """Keeps one document of each group of similar ones: that with the least doc_id of the group.
 
-    Rows without an id are kept, as nothing tells them apart; of rows that repeat an id one stays.
+    Rows that share an id count as one document, of which one row stays. Rows without an id are
+    all kept, as none of them can be named.
     """
     shipped(spark)
     groups = jaccard.similar_groups(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    fate = groups.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.bool_and(F.col("doc_id") <> F.col("component_id")).alias("__similar"), F.count(F.lit(1)).alias("__rows")
+    )
+    marked = docs.join(fate.filter("__similar or __rows > 1"), F.col("doc_id") == F.col("__id"), "left")
+    marked = marked.filter("__similar is null or not __similar")
+    alone = marked.filter("__rows is null or __rows = 1").select(docs.columns)
+    repeated = marked.filter("__rows > 1").dropDuplicates(["doc_id"]).select(docs.columns)
+    return alone.unionByName(repeated)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
