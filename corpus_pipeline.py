@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     shipped(spark)
     groups = jaccard.similar_groups(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     fate = groups.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.bool_and(F.col("doc_id") <> F.col("component_id")).alias("__similar"), F.count(F.lit(1)).alias("__rows")
+        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("__similar"), F.count(F.lit(1)).alias("__rows")
     )
     marked = docs.join(fate.filter("__similar or __rows > 1"), F.col("doc_id") == F.col("__id"), "left")
     marked = marked.filter("__similar is null or not __similar")
