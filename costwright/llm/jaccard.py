@@ -20,6 +20,7 @@ one comparison each, and no link between different texts that matters for a comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,12 +73,20 @@ class WordHashes(dict):
         return np.unique(mixed(total))
 
 
-def tops(most: int) -> list[int]:
-    """Bounds of the size bands: band i holds sizes from tops[i] to below tops[i + 1]."""
-    found = [1]
-    while found[-1] <= most:
-        found.append(max(found[-1] + 1, found[-1] * 3 // 2))
-    return [*found, found[-1] * 3 // 2, found[-1] * 3]
+@lru_cache(maxsize=4096)
+def bands(size: int, percent: int) -> list[tuple[int, int]]:
+    """(number, end) of the size bands in which a set of that size can have a partner of at least its size.
+
+    Bands run from an end to one half larger. A set belongs to its own band and to every later one
+    that begins within its reach; the larger set of a pair decides where the two meet.
+    """
+    found, band, start = [], 0, 1
+    while 100 * size >= percent * start:
+        end = max(start + 1, start * 3 // 2)
+        if size < end:
+            found.append((band, end))
+        band, start = band + 1, end
+    return found
 
 
 def cuts(band_end: int, percent: int) -> tuple[int, int]:
@@ -91,11 +100,9 @@ def cuts(band_end: int, percent: int) -> tuple[int, int]:
 
 def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set: whoever is similar enough and not equal shares one of them."""
-    n, bounds = len(hashes), tops(len(hashes))
-    band = next(i for i in range(len(bounds)) if n < bounds[i + 1]) if n else 0
     found = []
-    while n and (n >= bounds[band] or 100 * n >= percent * bounds[band]):
-        differ, fragments = cuts(bounds[band + 1], percent)
+    for band, end in bands(len(hashes), percent):
+        differ, fragments = cuts(end, percent)
         if differ:  # else only equal sets are similar
             at = ((hashes >> _U(32)) * _U(fragments)) >> _U(32)
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -104,7 +111,6 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
             if len(starts) <= differ:
                 empty = np.setdiff1d(np.arange(fragments, dtype=_U), at[starts], assume_unique=True)
                 found.append(mixed(mixed(empty + _U((band + 1) << 32)) + _U(1)))
-        band += 1
     return np.concatenate(found) if found else np.empty(0, _U)
 
 
