@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +46,13 @@ def prioritize(recommendations: DataFrame, ordered: bool = True) -> DataFrame:
     )
 
 
-def team_chargeback(silver: DataFrame) -> DataFrame:
+def team_chargeback(
+    silver: DataFrame, first_day: date | None = None, last_day: date | None = None
+) -> DataFrame:
     """Per team and month: total, change, three largest resources, untagged cost.
 
+    `first_day` and `last_day` say which days `silver` covers, if not all. A month
+    that they cut has no change, nor has a month after one that they cut.
     Untagged cost lacks a required tag, as in the untagged-resources report. Totals and
     drivers read the same columns of the cost per resource, so Spark shuffles that once
     for both; the group limit then keeps three rows per team, month and task.
@@ -75,8 +81,14 @@ def team_chargeback(silver: DataFrame) -> DataFrame:
     )
     last_month = F.when(prior_month == month_before, prior)
     totals = totals.withColumn("last_month_cost_usd", last_month)
+    month = F.to_date("usage_month", "yyyy-MM")
+    whole = F.lit(True)
+    if first_day is not None:
+        whole = whole & (F.add_months(month, -1) >= F.lit(first_day))
+    if last_day is not None:
+        whole = whole & (F.last_day(month) <= F.lit(last_day))
     change = F.when(
-        F.col("last_month_cost_usd") > 0,
+        whole & (F.col("last_month_cost_usd") > 0),
         (F.col("total_cost_usd") - F.col("last_month_cost_usd"))
         / F.col("last_month_cost_usd") * 100,
     )

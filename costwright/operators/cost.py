@@ -41,9 +41,9 @@ def total_cost_by_workspace(daily_cost: DataFrame, as_of: date, days: int = 7) -
 
 
 def cost_breakdown(
-    silver: DataFrame, dimension: str, as_of: date, days: int = 7, top_n: int = 10
+    silver: DataFrame, dimension: str, as_of: date, days: int = 7, top_n: int | None = 10
 ) -> DataFrame:
-    """The `top_n` values of a dimension by cost; values without cost are left out."""
+    """The `top_n` values of a dimension by cost (None: all); values without cost are left out."""
     value = choose(
         {
             "sku": F.col("sku_name"),
@@ -66,7 +66,7 @@ def cost_breakdown(
             F.count("*").alias("record_count"),
         )
     )
-    return (
+    found = (
         by_value.where("cost > 0")
         .select(
             "dimension_value",
@@ -76,8 +76,8 @@ def cost_breakdown(
             F.lit(dimension).alias("dimension"),
         )
         .orderBy(F.desc("total_cost_usd"), "dimension_value")
-        .limit(top_n)
     )
+    return found if top_n is None else found.limit(top_n)
 
 
 def top_spending_users(

@@ -218,10 +218,11 @@ def recommend_serverless(
     silver: DataFrame,
     as_of: date,
     days: int = 14,
-    top_n: int = 50,
+    top_n: int | None = None,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
-    """The `top_n` recurring jobs made of cheap records."""
+    """Recurring jobs made of cheap records, costliest first; with `top_n` only so many."""
     cost = F.col("estimated_cost_usd")
     jobs = (
         silver.where(
@@ -240,14 +241,16 @@ def recommend_serverless(
             (F.col("total_cost_usd") > limits.serverless_min_usd)
             & (F.col("avg_per_run_cost") < limits.serverless_max_record_usd)
         )
-        .orderBy(F.desc("total_cost_usd"), "job_id", "workspace_id")
-        .limit(top_n)
     )
-    return _recommend(
+    order = (F.desc("total_cost_usd"), "job_id", "workspace_id")
+    if top_n is not None:
+        jobs = jobs.orderBy(*order).limit(top_n)
+    found = _recommend(
         jobs, MIGRATE_SERVERLESS, days, limits.serverless_factor, "LOW",
         F.format_string(SERVERLESS_TITLE, F.col("job_id")),
         F.format_string(SERVERLESS_RATIONALE, shortest("avg_per_run_cost")),
     )
+    return in_order(found, ordered, *order)
 
 
 # The resource each kind is about: its type, id column, name column, and the

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costwright.functions.common import in_order
 from costwright.functions.dates import last_days
 from costwright.functions.money import rounded
 from costwright.operators.optimize import short_name
@@ -48,10 +49,11 @@ def untagged_resources(
     as_of: date,
     days: int = 7,
     min_cost_usd: float = DEFAULTS.untagged_min_usd,
-    top_n: int = 200,
+    top_n: int | None = None,
     limits: Thresholds = DEFAULTS,
+    ordered: bool = True,
 ) -> DataFrame:
-    """The `top_n` costliest resources that lack a required tag.
+    """The resources that lack a required tag, costliest first; with `top_n` only so many.
 
     Tags are constant within a group, so they are tested before the grouping and
     tagged usage is never shuffled.
@@ -70,7 +72,7 @@ def untagged_resources(
         .where(F.col("cost") >= F.lit(min_cost_usd))
     )
     cost = F.col("total_cost_usd")
-    return (
+    found = (
         groups.withColumn("total_cost_usd", rounded("cost"))
         .drop("cost")
         .withColumn("missing_tags", F.array_compact(F.array(*missing)))
@@ -88,12 +90,13 @@ def untagged_resources(
                 UNTAGGED_HEADLINE, F.col("resource_type"), F.array_join("missing_tags", ", ")
             ),
         )
-        .orderBy(
-            F.desc("total_cost_usd"), "workspace_id", "resource_type", "resource_id",
-            *REQUIRED.values(), "tag_costcenter",
-        )
-        .limit(top_n)
     )
+    found = in_order(
+        found, ordered or top_n is not None,
+        F.desc("total_cost_usd"), "workspace_id", "resource_type", "resource_id",
+        *REQUIRED.values(), "tag_costcenter",
+    )
+    return found if top_n is None else found.limit(top_n)
 
 
 def expensive_node_types(

@@ -37,10 +37,13 @@ NO_RECOMMENDATIONS = "## 💡 Recommendations\n\n_No optimization opportunities
 TITLE_LINE = "\n**%d. %s**  "
 DETAIL_LINE = "_Savings:_ %s/mo · _Confidence:_ %s  "
 MORE_RECOMMENDATIONS = "\n_...and %d more_"
+MORE_PRODUCTS = "_...and %d more_"
 
 FINDINGS_PER_SEVERITY = 10
 RECOMMENDATIONS_SHOWN = 15
 USERS_SHOWN = 5
+PRODUCTS_SHOWN = 10
+TITLE_SHOWN = 200
 
 
 def _lines(df: DataFrame, report: str, section, texts: Column, first_seq=0) -> DataFrame:
@@ -77,7 +80,7 @@ def _table(df: DataFrame, order: list, heading: str, columns: tuple, cells: list
 def cost_summary_report(
     total: DataFrame, by_product: DataFrame, top_users: DataFrame, trend: DataFrame
 ) -> DataFrame:
-    """`total` is one row, `by_product` and `top_users` are top-n lists, `trend` periods."""
+    """`total` is one row, `by_product` all products, `top_users` a top-n list, `trend` periods."""
     name = "cost_summary"
 
     def day(column):
@@ -90,11 +93,13 @@ def cost_summary_report(
         F.format_string(WINDOW_LINE, day("first_date"), day("last_date")),
     ))
     product = F.coalesce(F.nullif("dimension_value", F.lit("")), F.lit("(unknown)"))
+    product_order = [F.desc("total_cost_usd"), "dimension_value"]
     products = _table(
-        by_product, [F.desc("total_cost_usd"), "dimension_value"],
+        by_product.orderBy(*product_order).limit(PRODUCTS_SHOWN), product_order,
         PRODUCT_HEADING, PRODUCT_COLUMNS,
         [product, fmt_usd("total_cost_usd"), F.format_number("record_count", 0)],
     )
+    more_products = by_product.agg((F.count("*") - PRODUCTS_SHOWN).alias("more")).where("more > 0")
     user = truncate(F.coalesce(F.nullif("user_email", F.lit("")), F.lit("unknown")), 40)
     user_order = [F.desc("total_cost_usd"), "user_email"]
     users = _table(
@@ -114,6 +119,8 @@ def cost_summary_report(
     rank = F.col("rank") * 10
     return (
         head.unionByName(_lines(products, name, 1, F.col("texts"), rank))
+        .unionByName(_lines(more_products, name, 1, F.array(
+            F.format_string(MORE_PRODUCTS, "more")), (PRODUCTS_SHOWN + 1) * 10))
         .unionByName(_lines(users, name, 2, F.col("texts"), rank))
         .unionByName(_lines(latest, name, 3, F.array(F.lit(TREND_HEADING), latest_line)))
     )
@@ -126,7 +133,7 @@ def _optional(df: DataFrame, name: str, kind: str) -> Column:
 def findings_report(findings: DataFrame) -> DataFrame:
     """Findings by severity, costliest first, ten of each and the number left out.
 
-    Reads its input twice (counts and top rows), so stage a costly one first.
+    Reads its input twice: once for the counts, once for the top rows.
     """
     name = "findings"
     daily = _optional(findings, "daily_cost_usd", "double")
@@ -186,7 +193,10 @@ def recommendations_report(recommendations: DataFrame) -> DataFrame:
     """
     name = "recommendations"
     savings = F.coalesce("expected_savings_usd_monthly", F.lit(0.0))
-    title = F.coalesce("title", "recommendation_type", F.lit("Recommendation"))
+    title = F.coalesce(
+        F.nullif("title", F.lit("")), F.nullif("recommendation_type", F.lit("")),
+        F.lit("Recommendation"),
+    )
     order = [F.desc("savings"), "title", "rationale"]
     top = (
         recommendations.select(
@@ -208,7 +218,7 @@ def recommendations_report(recommendations: DataFrame) -> DataFrame:
         F.format_string(SAVINGS_LINE, fmt_usd("savings")),
     ))
     item = F.array(
-        F.format_string(TITLE_LINE, F.col("rank"), F.col("title")),
+        F.format_string(TITLE_LINE, F.col("rank"), F.substring("title", 1, TITLE_SHOWN)),
         F.format_string(DETAIL_LINE, fmt_usd("savings"), F.col("confidence")),
         F.when(F.col("rationale") != "", F.col("rationale")),
     )

@@ -14,7 +14,6 @@ DEFAULT_ACTION = "investigate"
 DEFAULT_TITLE = "Investigate finding"
 DEFAULT_LEVEL = "medium"
 NO_TARGET = "unknown"
-TITLE_LENGTH = 200
 INVALID = "Invalid JSON from LLM"
 STRICT = {"allowSingleQuotes": "false"}
 # Every character that counts as white space around a response.
@@ -62,12 +61,17 @@ def parse_recommendations(
         F.col("estimated_monthly_savings_usd").try_cast("double"), F.lit(0.0)
     )
     identity = F.concat_ws("|", F.col("response_id").cast("string"), "item_no")
-    return items.join(parents, "finding_id", "left").select(
+    # Items without a finding would all meet on one NULL key of a shuffled join.
+    named = items.where("finding_id is not null").join(parents, "finding_id", "left")
+    nameless = items.where("finding_id is null").withColumn(
+        "target_resource", F.lit(None).cast("string")
+    )
+    return named.unionByName(nameless).select(
         F.sha2(identity, 256).alias("recommendation_id"),
         "response_id",
         F.array_compact(F.array("finding_id")).alias("finding_ids"),
         F.coalesce("action_type", F.lit(DEFAULT_ACTION)).alias("action_type"),
-        F.substring(F.coalesce("title", F.lit(DEFAULT_TITLE)), 1, TITLE_LENGTH).alias("title"),
+        F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"),
         F.coalesce("rationale", F.lit("")).alias("rationale"),
         savings.alias("estimated_monthly_savings_usd"),
         F.coalesce("confidence", F.lit(DEFAULT_LEVEL)).alias("confidence"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costwright.functions.dates import last_days
@@ -166,21 +166,55 @@ def daily_zscore_anomalies(
     )
 
 
+def _concentration(share_pct: float) -> tuple[str, Column, dict[str, Column]]:
+    share = F.col("top_sku_share_pct")
+    return CONCENTRATION, share > share_pct, {
+        "severity": F.lit("medium"),
+        "title": F.format_string(CONCENTRATION_TITLE, F.col("top_sku")),
+        "description": F.format_string(CONCENTRATION_DESCRIPTION, plain(share, 1)),
+        "affected_resource": F.col("top_sku"),
+        "metric_value": F.col("top_sku_cost_usd"),
+        "baseline_value": F.col("total_cost_usd"),
+        "evidence": F.to_json(F.struct(share.alias("share_pct"))),
+    }
+
+
+def _jump(wow_pct: float, limits: Thresholds) -> tuple[str, Column, dict[str, Column]]:
+    change = F.col("wow_change_pct")
+    return TREND, change >= wow_pct, {
+        "severity": F.when(change >= limits.wow_high_pct, "high").otherwise("medium"),
+        "title": F.format_string(TREND_TITLE, plain(change, 1)),
+        "description": F.format_string(
+            TREND_DESCRIPTION, plain("last_7d_cost_usd"), plain("prior_7d_cost_usd")
+        ),
+        "affected_resource": F.lit(WORKSPACE_TOTAL),
+        "metric_value": F.col("last_7d_cost_usd"),
+        "baseline_value": F.col("prior_7d_cost_usd"),
+        "evidence": F.to_json(F.struct(change.alias("wow_change_pct"))),
+    }
+
+
+def _from_metrics(metrics: DataFrame, as_of: date, *rules) -> DataFrame:
+    """One pass over the one row of metrics: a struct per rule that applies, exploded."""
+    found = [
+        F.when(applies, F.struct(
+            F.lit(category).alias("category"),
+            F.lit(as_of).cast("timestamp").alias("detected_at"),
+            F.sha2(F.concat_ws(
+                "|", F.lit(category), columns["affected_resource"], columns["title"]
+            ), 256).alias("finding_id"),
+            *[columns[name].alias(name) for name in columns],
+        ))
+        for category, applies, columns in rules
+    ]
+    return metrics.select(F.inline(F.array_compact(F.array(*found)))).select(*FINDING)
+
+
 def sku_concentration(
     metrics: DataFrame, as_of: date, share_pct: float = DEFAULTS.sku_share_pct
 ) -> DataFrame:
     """One finding when a single SKU takes more than `share_pct` of the spend."""
-    share = F.col("top_sku_share_pct")
-    return _finding(
-        metrics.where(share > share_pct), as_of, CONCENTRATION,
-        severity=F.lit("medium"),
-        title=F.format_string(CONCENTRATION_TITLE, F.col("top_sku")),
-        description=F.format_string(CONCENTRATION_DESCRIPTION, plain(share, 1)),
-        affected_resource=F.col("top_sku"),
-        metric_value=F.col("top_sku_cost_usd"),
-        baseline_value=F.col("total_cost_usd"),
-        evidence=F.to_json(F.struct(share.alias("share_pct"))),
-    )
+    return _from_metrics(metrics, as_of, _concentration(share_pct))
 
 
 def wow_jump(
@@ -190,19 +224,18 @@ def wow_jump(
     limits: Thresholds = DEFAULTS,
 ) -> DataFrame:
     """One finding when the last seven dates cost much more than the seven before."""
-    change = F.col("wow_change_pct")
-    return _finding(
-        metrics.where(change >= wow_pct), as_of, TREND,
-        severity=F.when(change >= limits.wow_high_pct, "high").otherwise("medium"),
-        title=F.format_string(TREND_TITLE, plain(change, 1)),
-        description=F.format_string(
-            TREND_DESCRIPTION, plain("last_7d_cost_usd"), plain("prior_7d_cost_usd")
-        ),
-        affected_resource=F.lit(WORKSPACE_TOTAL),
-        metric_value=F.col("last_7d_cost_usd"),
-        baseline_value=F.col("prior_7d_cost_usd"),
-        evidence=F.to_json(F.struct(change.alias("wow_change_pct"))),
-    )
+    return _from_metrics(metrics, as_of, _jump(wow_pct, limits))
+
+
+def metric_findings(
+    metrics: DataFrame,
+    as_of: date,
+    share_pct: float = DEFAULTS.sku_share_pct,
+    wow_pct: float = DEFAULTS.wow_pct,
+    limits: Thresholds = DEFAULTS,
+) -> DataFrame:
+    """The findings of sku_concentration and wow_jump from one evaluation of the metrics."""
+    return _from_metrics(metrics, as_of, _concentration(share_pct), _jump(wow_pct, limits))
 
 
 def all_findings(*findings: DataFrame) -> DataFrame:

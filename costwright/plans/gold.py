@@ -32,8 +32,16 @@ def daily_cost(silver: DataFrame) -> DataFrame:
 
 
 def cost_by_user(silver: DataFrame) -> DataFrame:
-    return silver.groupBy(*DAY_AND_WORKSPACE, user_of_record().alias("user_email")).agg(
-        *_sums(),
+    """Summed by user and resource first: three distinct counts copy each of their input rows
+    several times, which should be these groups and not the raw records."""
+    keys = (*DAY_AND_WORKSPACE, "user_email")
+    by_resource = silver.groupBy(
+        *DAY_AND_WORKSPACE, user_of_record().alias("user_email"),
+        "cluster_id", "warehouse_id", "job_id",
+    ).agg(*_sums())
+    kinds = dict(by_resource.dtypes)
+    return by_resource.groupBy(*keys).agg(
+        *(F.sum(c).cast(kinds[c]).alias(c) for c in ("total_usage", "total_cost_usd")),
         F.count_distinct("cluster_id").alias("distinct_clusters"),
         F.count_distinct("warehouse_id").alias("distinct_warehouses"),
         F.count_distinct("job_id").alias("distinct_jobs"),

@@ -19,10 +19,6 @@ TAG_COLUMNS = {
     "CostCenter": "tag_costcenter",
 }
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
-
-
 def price_intervals(prices: DataFrame, as_of: date) -> DataFrame:
     """Half-open validity intervals; an open end means the end of `as_of`."""
     now = F.lit(as_of + timedelta(days=1)).cast("timestamp")
@@ -36,74 +32,24 @@ def price_intervals(prices: DataFrame, as_of: date) -> DataFrame:
     ).where(F.col("price_start_time") < F.col("price_end_time"))
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Measured size of `df` in memory: text bytes plus 16 per column and row."""
-    row_bytes = F.lit(16 * len(df.columns))
-    for name, kind in df.dtypes:
-        if kind == "string":
-            row_bytes = row_bytes + F.coalesce(F.octet_length(name), F.lit(0))
-    return df.agg(F.sum(row_bytes.cast("long")).alias("bytes")).first()["bytes"] or 0
-
-
-def price_interval_join(
-    usage: DataFrame,
-    prices: DataFrame,
-    as_of: date,
-    price_bytes: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
+def price_interval_join(usage: DataFrame, prices: DataFrame, as_of: date) -> DataFrame:
     """LEFT JOIN each record to the price valid when its usage started.
 
-    Overlapping intervals give one row per match, as an ordinary join does.
-
-    SKU and cloud are few and skewed, so shuffling usage on them is the last
-    resort. The price list is measured first (a small job, unless the caller has
-    measured it and gives `price_bytes`); while it fits `broadcast_bytes` the usage
-    side stays where it is. A larger list is joined by month and salt.
+    Overlapping intervals give one row per match, as an ordinary join does. It is an
+    equi-join on SKU and cloud with the interval as residual: Spark broadcasts a list
+    that its statistics show to be small, and splits a hot SKU's records in a
+    shuffled join, whose price side holds one SKU's intervals per key.
     """
-    valid = price_intervals(prices, as_of)
-    if price_bytes is None:
-        price_bytes = size_in_bytes(valid)
-    if price_bytes <= broadcast_bytes:
-        return _join_prices(usage, F.broadcast(valid), ["sku_name", "cloud"])
-    return _join_prices_by_month(usage, valid, salts)
-
-
-def _join_prices(usage: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
-    u, p = usage.alias("u"), valid.alias("p")
-    on = (F.col("u.usage_start_time") >= F.col("p.price_start_time")) & (
-        F.col("u.usage_start_time") < F.col("p.price_end_time")
+    u, p = usage.alias("u"), price_intervals(prices, as_of).alias("p")
+    on = (
+        (F.col("u.sku_name") == F.col("p.sku_name"))
+        & (F.col("u.cloud") == F.col("p.cloud"))
+        & (F.col("u.usage_start_time") >= F.col("p.price_start_time"))
+        & (F.col("u.usage_start_time") < F.col("p.price_end_time"))
     )
-    for key in keys:
-        on = on & (F.col(f"u.{key}") == F.col(f"p.{key}"))
     return u.join(p, on, "left").select("u.*", "p.price_per_unit", "p.currency_code")
 
 
-def _month_number(time: Column) -> Column:
-    return F.year(time) * 12 + F.month(time)
-
-
-def _join_prices_by_month(usage: DataFrame, valid: DataFrame, salts: int) -> DataFrame:
-    """Equi-join on SKU, cloud, month and salt, with the interval as residual.
-
-    A record has one month and one salt; a price row is repeated for the months it
-    covers and for every salt. So a hot SKU spreads over months times salts
-    partitions, and each pair still meets exactly once.
-    """
-    keyed_usage = usage.withColumns({
-        "_month": _month_number(F.col("usage_start_time")),
-        "_salt": F.pmod(F.xxhash64("record_id", "usage_start_time"), F.lit(salts)),
-    })
-    last = F.col("price_end_time") - F.expr("INTERVAL 1 MICROSECOND")
-    months = F.sequence(_month_number(F.col("price_start_time")), _month_number(last))
-    keyed_prices = valid.withColumn("_month", F.explode(months)).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    joined = _join_prices(keyed_usage, keyed_prices, ["sku_name", "cloud", "_month", "_salt"])
-    return joined.drop("_month", "_salt")
-
-
 def with_cost(priced: DataFrame) -> DataFrame:
     """Quantity times price; a record without a price costs zero and stays."""
     price = F.coalesce("price_per_unit", F.lit(0).cast(PRICE))
@@ -122,18 +68,9 @@ def with_tags(usage: DataFrame) -> DataFrame:
     return usage.select("*", *tag_columns())
 
 
-def usage_enriched(
-    usage: DataFrame,
-    prices: DataFrame,
-    as_of: date,
-    price_bytes: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
+def usage_enriched(usage: DataFrame, prices: DataFrame, as_of: date) -> DataFrame:
     """The silver table. `usage` is the bronze table, already cut to its window."""
-    costed = with_cost(
-        price_interval_join(usage, prices, as_of, price_bytes, broadcast_bytes, salts)
-    )
+    costed = with_cost(price_interval_join(usage, prices, as_of))
     return costed.select(
         "record_id", "workspace_id", "sku_name", "cloud",
         "usage_date", "usage_month", "usage_unit", "usage_quantity", "estimated_cost_usd",

@@ -30,10 +30,11 @@ def load_or_empty(spark: SparkSession, source: str, schema: StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def billing_usage(source: DataFrame, as_of: date, days: int = 7) -> DataFrame:
-    """Usage records of the window with a quantity above zero."""
+def billing_usage(source: DataFrame, as_of: date, days: int | None = 7) -> DataFrame:
+    """Usage records of the window, or of all time (`days=None`), with a quantity above zero."""
     kept = [f.name for f in schemas.BILLING_USAGE.fields]
-    return source.where(last_days(as_of, days) & (F.col("usage_quantity") > 0)).select(
+    used = F.col("usage_quantity") > 0
+    return source.where(used if days is None else last_days(as_of, days) & used).select(
         *kept, F.date_format("usage_date", "yyyy-MM").alias("usage_month")
     )
 

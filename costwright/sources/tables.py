@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costwright import schemas
-from costwright.plans.staging import stage
 
 MODES = ("overwrite", "append", "errorifexists")
 
@@ -98,13 +97,12 @@ def merge_upsert(
         F.count("*").alias("_rows"),
         F.first(F.struct(F.lit(1).alias("_matched"), *update_columns)).alias("_new"),
     )
-    checked = F.when(
-        F.col("_rows") > 1,
-        F.raise_error(F.lit("several source rows match one target row")).cast("int"),
-    ).otherwise(F.col("_new")["_matched"])
+    # A filter above the join, as an unread column would be pruned with its check.
+    error = F.raise_error(F.lit("several source rows match one target row")).cast("boolean")
     updated = (
         target.join(folded, keys, "left")
-        .withColumn("_hit", checked == 1)
+        .where(F.when(F.col("_rows") > 1, error).otherwise(F.lit(True)))
+        .withColumn("_hit", F.col("_new")["_matched"] == 1)
         .select(*[
             F.when(F.col("_hit"), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
             if c in update_columns
@@ -123,10 +121,31 @@ def merge_upsert(
 def merge_into_table(
     source: DataFrame, name: str, keys: list[str], update_columns: list[str] | None = None
 ) -> None:
-    """Upsert into a table. The result is staged first, as the table is its own input."""
+    """Upsert into a partitioned table whose partition columns are among the keys.
+
+    Only partitions that the source has rows for are read and written again, once; a
+    partition is replaced when its new files are complete. A row without a value for a
+    partition column matches nothing and is added to its own partition.
+    """
     spark = source.sparkSession
-    merged = stage(merge_upsert(spark.table(name), source, keys, update_columns), "merge")
-    merged.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    if not parts or not set(parts) <= set(keys):
+        raise ValueError(f"{name} must be partitioned by some of the keys {keys}")
+    target = spark.table(name)
+    touched = source.select(*[F.col(c).alias(f"_{c}") for c in parts]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts]
+    merged = merge_upsert(target.join(touched, same, "left_semi"), source, keys, update_columns)
+    # By path, as Spark refuses a table that is both read and overwritten. With dynamic
+    # partitions that is safe: files are replaced only after all new ones are written.
+    details = dict(
+        (r["col_name"], r["data_type"])
+        for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    )
+    writer = merged.select(*target.columns).write.mode("overwrite").partitionBy(*parts)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(details["Location"])
+    if details.get("Partition Provider") == "Catalog":
+        spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
 
 
 def _as_audit_rows(df: DataFrame, table: str) -> DataFrame:

@@ -143,6 +143,15 @@ def test_untagged(spark):
     assert len(dicts(policy.untagged_resources(df, AS_OF, top_n=2))) == 2
 
 
+def test_lists_are_complete(spark):
+    """More rows than any list used to hold."""
+    df = rows.silver(spark, *[{"job_id": f"j{i}", "cost": 2, "tag_team": "untagged", "ago": a}
+                              for i in range(230) for a in range(6)])
+    assert policy.untagged_resources(df, AS_OF).count() == 230
+    assert optimize.recommend_serverless(df, AS_OF).count() == 230
+    assert optimize.recommend_serverless(df, AS_OF, top_n=3).count() == 3
+
+
 def test_expensive_nodes(spark):
     df = rows.silver(spark, *[{"cluster_id": c, "cost": 3} for c in ("w", "d", "n", "none")])
     meta = rows.clusters(
@@ -190,3 +199,15 @@ def test_chargeback(spark):
     assert (bill["pct_change_vs_last_month"], bill["untagged_cost_usd"]) == (50.0, 5.0)
     assert [d["resource_id"] for d in bill["top_drivers"]] == ["j", "d", "c"]
     assert got["gap", "2001-07"]["last_month_cost_usd"] is None
+
+
+def test_chargeback_of_cut_months(spark):
+    """No change against a month of which only a part is there, nor for such a month."""
+    df = rows.silver(spark, *[{"date": date(2001, m, 20), "cost": c, "cluster_id": "a"}
+                              for m, c in ((4, 1), (5, 30), (6, 60), (7, 10))])
+    got = {r["usage_month"]: r["pct_change_vs_last_month"]
+           for r in dicts(chargeback.team_chargeback(df, date(2001, 4, 20), AS_OF))}
+    assert got == {"2001-04": None, "2001-05": None, "2001-06": 100.0, "2001-07": None}
+    got = {r["usage_month"]: r["pct_change_vs_last_month"]
+           for r in dicts(chargeback.team_chargeback(df, date(2001, 4, 1), date(2001, 7, 31)))}
+    assert got == {"2001-04": None, "2001-05": 2900.0, "2001-06": 100.0, "2001-07": -83.3}

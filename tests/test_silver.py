@@ -36,10 +36,10 @@ def prices(spark, *records):
 
 
 def both_ways(u, p):
-    """The broadcast join and the month-and-salt join."""
+    """With the list broadcast and with both sides shuffled."""
     return [
-        silver.with_cost(silver.price_interval_join(u, p, AS_OF, broadcast_bytes=limit, salts=3))
-        for limit in (silver.BROADCAST_BYTES, -1)
+        silver.with_cost(silver.price_interval_join(u, p.hint(hint), AS_OF))
+        for hint in ("broadcast", "merge")
     ]
 
 
@@ -95,18 +95,13 @@ def test_price_join_against_brute_force(spark, used, listed):
         assert sorted(got, key=str) == sorted(expected, key=str)
 
 
-def test_size_decides_the_join(spark):
+def test_far_end_repeats_nothing(spark):
+    """An interval that ends in the year 9999 is one row on the join's price side."""
     u = usage(spark, ("r", START))
-    p = prices(spark, (START, None, "1"))
-
-    def plan(**options):
-        joined = silver.price_interval_join(u, p, AS_OF, **options)
-        return joined._jdf.queryExecution().optimizedPlan().toString()
-
-    assert "broadcast" in plan()
-    assert "broadcast" not in plan(broadcast_bytes=10)
-    assert "broadcast" not in plan(price_bytes=silver.BROADCAST_BYTES + 1)
-    assert silver.size_in_bytes(silver.price_intervals(p, AS_OF)) > 0
+    p = prices(spark, (START, datetime(9999, 12, 31), "1"))
+    joined = silver.price_interval_join(u, p, AS_OF)
+    assert joined.count() == 1
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_tags(spark):
@@ -163,7 +158,7 @@ def test_latest_cluster_version(spark):
 
 
 def test_hot_key_on_the_shuffled_price_join(spark):
-    """A third and more of the records on one SKU spread over months and salts."""
+    """A third and more of the records on one SKU give the same rows either way."""
     n = 3000
     u = spark.range(n).select(
         F.col("id").cast("string").alias("record_id"),

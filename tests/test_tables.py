@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 import rows
 from costwright import schemas
 from costwright.operators import optimize, responses, run_metrics
-from costwright.plans import staging
 from costwright.sources import bronze, tables
 from costwright.streaming import ingest
 from rows import AS_OF, dicts, one
@@ -76,14 +75,6 @@ def test_write_modes_and_new_columns(spark):
     assert spark.table(name).count() == 5
 
 
-def test_stage_reads_back_the_same_rows(spark):
-    df = spark.range(10).withColumn("m", F.create_map(F.lit("k"), F.col("id").cast("string")))
-    staged = staging.stage(df, "numbers")
-    assert staged.dtypes == df.dtypes
-    assert sorted(map(str, dicts(staged))) == sorted(map(str, dicts(df)))
-    assert staging.shared_folder(spark) in staged.inputFiles()[0]
-
-
 # ----------------------------------------------------------------- upsert
 
 TARGET = "k int, a string, b string"
@@ -110,8 +101,9 @@ def test_merge(spark):
 def test_merge_refuses_two_rows_for_one(spark):
     target = spark.createDataFrame([(1, "x", "x")], TARGET)
     twice = spark.createDataFrame([(1, "a", "a"), (1, "b", "b")], TARGET)
-    with pytest.raises(Exception, match="several source rows"):
-        tables.merge_upsert(target, twice, ["k"]).collect()
+    for read in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("k").collect()):
+        with pytest.raises(Exception, match="several source rows"):
+            read(tables.merge_upsert(target, twice, ["k"]))
     new_key = spark.createDataFrame([(5, "a", "a"), (5, "b", "b")], TARGET)
     assert tables.merge_upsert(target, new_key, ["k"]).count() == 3
 
@@ -131,12 +123,17 @@ def test_merge_against_brute_force(spark, target_keys, source_keys):
 
 
 def test_merge_into_table(spark):
-    name = "merge_into"
-    tables.write_table(spark.createDataFrame([(1, "x", "x"), (2, "y", "y")], TARGET), name)
+    name, columns = "merge_into", "k int, a string, day string"
+    first = [(1, "x", "d1"), (2, "y", "d1"), (1, "z", "d2"), (4, "n", None)]
+    tables.write_table(spark.createDataFrame(first, columns), name, partition_by=["day"])
+    before = {f for f in spark.table(name).inputFiles() if "day=d2" in f}
     tables.merge_into_table(
-        spark.createDataFrame([(2, "Y", "Y"), (3, "z", "z")], TARGET), name, ["k"])
-    assert {tuple(r) for r in spark.table(name).collect()} == {
-        (1, "x", "x"), (2, "Y", "Y"), (3, "z", "z")}
+        spark.createDataFrame([(2, "Y", "d1"), (3, "new", "d3")], columns), name, ["k", "day"])
+    assert {tuple(r) for r in spark.table(name).select("k", "a", "day").collect()} == {
+        (1, "x", "d1"), (2, "Y", "d1"), (1, "z", "d2"), (4, "n", None), (3, "new", "d3")}
+    assert before and before == {f for f in spark.table(name).inputFiles() if "day=d2" in f}
+    with pytest.raises(ValueError, match="partitioned"):
+        tables.merge_into_table(spark.createDataFrame([(1, "x", "d1")], columns), name, ["k"])
 
 
 # ------------------------------------------------------------ audit trail

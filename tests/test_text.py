@@ -103,7 +103,7 @@ def test_fences_parents_and_numbers(spark):
     text = json.dumps(items, indent=1)
     for wrapped in (text, f"```json\n{text}\n```", f"\u00a0 ```{text}```\n", f"```json```\n{text}"):
         a, b, c = parse(spark, wrapped)
-        assert (len(a["title"]), a["target_resource"], a["finding_ids"]) == (200, "ws-1", ["f1"])
+        assert (len(a["title"]), a["target_resource"], a["finding_ids"]) == (300, "ws-1", ["f1"])
         assert (b["target_resource"], b["finding_ids"]) == ("unknown", ["gone"])
         assert [r["estimated_monthly_savings_usd"] for r in (a, b, c)] == [12.5, 7.0, 0.0]
 
@@ -125,15 +125,20 @@ def test_finding_ids_are_not_repeated_by_duplicate_findings(spark):
 
 
 def python_extract(text):
-    text = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip()).strip())
-    first, last = text.find("{"), text.rfind("}")
-    if -1 < first < last:
-        text = text[first:last + 1]
+    """The rule in plain form: the outer braces if there are any, else all but the fences."""
+    braces = re.search(r"\{.*\}", text, re.DOTALL)
+    if braces:
+        body = braces[0]
+    else:
+        body = text.strip()
+        for fence in ("```json", "```"):
+            body = body.removeprefix(fence)
+        body = body.removesuffix("```").strip()
     try:
-        json.loads(text)
+        json.loads(body)
     except json.JSONDecodeError:
         return None
-    return text
+    return body
 
 
 PIECES = st.lists(
@@ -229,6 +234,23 @@ def test_recommendations_report(spark):
         "## 💡 Recommendations\n\n_No optimization opportunities found._")
 
 
+def test_titles_are_shown_or_replaced(spark):
+    records = [("", "KIND", "r", "LOW", 3.0), ("x" * 300, "T", "r", "LOW", 2.0), ("", "", "r", "LOW", 1.0)]
+    got = markdown(reports.recommendations_report(spark.createDataFrame(records, RECOMMENDATION)))
+    assert "**1. KIND**" in got and f"**2. {'x' * 200}**" in got and "**3. Recommendation**" in got
+
+
+def test_products_left_out_are_counted(spark):
+    total = spark.createDataFrame([(1.0, 1.0, date(2001, 7, 13), date(2001, 7, 20), 7)],
+        "total_cost_usd double, avg_daily_cost_usd double, first_date date, last_date date, days long")
+    products = spark.createDataFrame([(f"p{i:02}", 50.0 - i, 1) for i in range(13)],
+        "dimension_value string, total_cost_usd double, record_count long")
+    users = spark.createDataFrame([], "user_email string, total_cost_usd double, avg_daily_cost_usd double")
+    trend = spark.createDataFrame([], "period date, total_cost_usd double, pct_change_vs_prior double")
+    got = markdown(reports.cost_summary_report(total, products, users, trend))
+    assert "| p09 |" in got and "p10" not in got and got.endswith("\n_...and 3 more_")
+
+
 def cost_report(spark, periods):
     total = spark.createDataFrame(
         [(1500.0, 214.29, date(2001, 7, 13), date(2001, 7, 20), 7)],

@@ -36,22 +36,12 @@ ACCOUNT_BUDGET_PER_CUSTOMER = "3.00"
 _SCHEMAS: dict[str, StructType] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: tuple = ()) -> DataFrame:
-    """A given table.
-
-    A file of one row group is one task however many cores wait. With `spread_by`,
-    a scan of fewer partitions than cores is spread over them by those columns; one
-    of at least as many, as on a cluster, is left as it is. Filters and column
-    pruning still reach the scan.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *spread_by)
-    return df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _lookup(key: Column, values) -> Column:
@@ -137,7 +127,7 @@ def usage_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
     return (
-        table(spark, sf_dir, "lineitem", RECORD)
+        table(spark, sf_dir, "lineitem")
         .join(t("part"), F.expr("l_partkey = p_partkey"))
         .join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
         .join(t("orders"), F.expr("l_orderkey = o_orderkey"))
@@ -330,6 +320,6 @@ def response_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("["), full, F.lit("] as asked")))
         .otherwise(F.concat(F.lit("Here it is:\n"), full, F.lit("\nDone.")))
     )
-    return table(spark, sf_dir, "events", ("event_id",)).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("response_id"), text.alias("response_text")
     )

@@ -68,7 +68,7 @@ usage AS (
   JOIN customer ON o_custkey = c_custkey
   JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity > 0 AND CAST(l_shipdate AS DATE) <= {AS_OF}
+  WHERE l_quantity > 0
 ),
 prices AS (
   SELECT p_type || suffix AS sku_name, cloud, price_start_time, price_end_time,
@@ -217,7 +217,7 @@ first_load AS (
   SELECT usage_date, workspace_id, sku_name, billing_origin_product,
          sum(usage_quantity) AS total_usage, sum(estimated_cost_usd) AS total_cost_usd,
          count(*) AS record_count, 1 AS n
-  FROM silver WHERE {window(90)} AND usage_quantity < 25
+  FROM silver WHERE usage_quantity < 25
   GROUP BY usage_date, workspace_id, sku_name, billing_origin_product
 ),
 recent AS (SELECT *, 1 AS n FROM daily_cost WHERE {window(30)})""")
@@ -236,10 +236,15 @@ UNION ALL SELECT 'gold.cost_by_resource', count(*) FROM cost_by_resource WHERE {
 
 # ------------------------------------------------------- silver and gold
 
-oracle("price_interval_join", """
+for _name in ("price_interval_join", "price_interval_join_shuffled"):
+    oracle(_name, """
 SELECT record_id, sku_name, cloud, usage_date, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
        CAST(price_per_unit AS DOUBLE) AS price_per_unit, currency_code FROM silver""")
 
+oracle("usage_without_prices", """
+SELECT record_id, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
+       0.0::DOUBLE AS estimated_cost_usd FROM usage""")
+
 oracle("cost_computation", """
 SELECT record_id, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
        CAST(price_per_unit AS DOUBLE) AS price_per_unit,
@@ -282,7 +287,7 @@ SELECT usage_date, workspace_id, resource_type, resource_id,
 
 oracle("daily_totals_latest", f"""
 SELECT usage_date, {r('sum(total_cost_usd)', 8)} AS daily_total_usd
-FROM daily_cost WHERE {window(90)} GROUP BY usage_date ORDER BY usage_date DESC LIMIT 14""")
+FROM daily_cost GROUP BY usage_date ORDER BY usage_date DESC LIMIT 14""")
 
 # ---------------------------------------------------------- cost analysis
 
@@ -635,7 +640,7 @@ FROM (SELECT job_id, workspace_id, count(DISTINCT usage_date) AS active_days,
        AND lower(sku_name) NOT LIKE '%serverless%'
       GROUP BY job_id, workspace_id)
 WHERE total_cost_usd > 10 AND avg_per_run_cost < 5
-ORDER BY total_cost_usd DESC, job_id, workspace_id LIMIT 50"""
+ORDER BY total_cost_usd DESC, job_id, workspace_id"""
 
 oracle("rec_rightsizing", rightsizing(True))
 oracle("rec_rightsizing_no_metadata", rightsizing(False))
@@ -765,7 +770,7 @@ FROM (SELECT workspace_id, resource_id, resource_type, tag_environment, tag_proj
       HAVING sum(estimated_cost_usd) >= 1
          AND 'untagged' IN (tag_environment, tag_project, tag_team))
 ORDER BY total_cost_usd DESC, workspace_id, resource_type, resource_id, tag_environment,
-         tag_project, tag_team, tag_costcenter LIMIT 200"""
+         tag_project, tag_team, tag_costcenter"""
 oracle("untagged_resources", UNTAGGED)
 
 NODES = ("('Standard_E64s_v3', 'Standard_E64s_v5', 'Standard_M128s', 'Standard_NC24s_v3', "
@@ -922,7 +927,7 @@ parsed AS (
          CASE WHEN has_finding THEN 'finding-' || user_id ELSE '' END AS finding_ids,
          CASE WHEN complete THEN 'rightsize' ELSE 'investigate' END AS action_type,
          CASE WHEN complete THEN 'Resize ' || event_type
-              WHEN long_title THEN substr(repeat('long ', 60), 1, 200)
+              WHEN long_title THEN repeat('long ', 60)
               ELSE 'Investigate finding' END AS title,
          CASE WHEN complete THEN 'uses ' || event_type ELSE '' END AS rationale,
          CASE WHEN complete OR long_title THEN CAST({MONEY} AS DOUBLE) ELSE 0 END
@@ -1010,14 +1015,14 @@ drivers AS (
          sum(estimated_cost_usd) AS cost,
          coalesce(sum(estimated_cost_usd) FILTER (
            'untagged' IN (tag_environment, tag_project, tag_team)), 0) AS untagged
-  FROM silver WHERE {window(90)} GROUP BY ALL
+  FROM silver GROUP BY ALL
 ),
 bills AS (
   SELECT tag_team AS team, usage_month, CAST(usage_month || '-01' AS DATE) AS month_start,
          {r('sum(estimated_cost_usd)')} AS total_cost_usd,
          coalesce({r("sum(estimated_cost_usd) FILTER ('untagged' IN (tag_environment, tag_project, tag_team))")}, 0)
            AS untagged_cost_usd
-  FROM silver WHERE {window(90)} GROUP BY ALL
+  FROM silver GROUP BY ALL
 )""")
 
 X = "(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice - 250000 END)"

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costwright import schemas
 from costwright.functions import formats
 from costwright.functions.dates import days_ago, last_days
 from costwright.functions.money import rounded
@@ -23,7 +24,6 @@ from costwright.operators import (
     run_metrics,
 )
 from costwright.plans import gold, silver
-from costwright.plans.staging import stage
 from costwright.sources import bronze, tables
 from workload import fixtures
 from workload.fixtures import AS_OF, DAYS
@@ -37,19 +37,9 @@ ZSCORE, WOW_PCT, SHARE_PCT = 2.0, 10.0, 10.0
 RUN_ID = "run-1"
 RUN_START = datetime(2001, 7, 20, 6, 0, 0)
 RUN_END = datetime(2001, 7, 20, 6, 1, 30)
-FULL = 100_000  # days: every record up to the as-of date
+ALL_TIME = None  # no window: every record, also those after the as-of date
 
 
-# The silver columns the reports and the recommendations read.
-REC_COLUMNS = (
-    "usage_date", "workspace_id", "sku_name", "billing_origin_product", "cluster_id",
-    "warehouse_id", "job_id", "usage_quantity", "estimated_cost_usd",
-)
-SUMMARY_COLUMNS = (*REC_COLUMNS, "run_as_user", "owned_by", "tag_owner")
-FINDING_COLUMNS = (
-    *REC_COLUMNS, "pipeline_id", "tag_environment", "tag_project", "tag_team",
-    "tag_costcenter",
-)
 REPORT_FINDING = (
     "severity", "headline", "finding_type", "daily_cost_usd", "total_cost_usd",
     "pct_above_baseline", "dim_value",
@@ -93,34 +83,14 @@ def clusters(spark, sf_dir):
     return bronze.clusters(fixtures.cluster_source(spark, sf_dir))
 
 
-_PRICE_BYTES: dict[str, int] = {}
-
-
-def price_bytes(spark, sf_dir):
-    """The measured size of a folder's price list; every silver query joins it."""
-    if sf_dir not in _PRICE_BYTES:
-        _PRICE_BYTES[sf_dir] = silver.size_in_bytes(
-            silver.price_intervals(prices(spark, sf_dir), AS_OF)
-        )
-    return _PRICE_BYTES[sf_dir]
-
-
 def enriched(spark, sf_dir, days=DAYS):
-    return silver.usage_enriched(
-        usage(spark, sf_dir, days), prices(spark, sf_dir), AS_OF,
-        price_bytes=price_bytes(spark, sf_dir),
-    )
+    return silver.usage_enriched(usage(spark, sf_dir, days), prices(spark, sf_dir), AS_OF)
 
 
 def daily(spark, sf_dir, days=DAYS):
     return gold.daily_cost(enriched(spark, sf_dir, days))
 
 
-def staged_silver(spark, sf_dir, days, *columns):
-    """The silver columns that several branches of one query read, written once."""
-    return stage(enriched(spark, sf_dir, days).select(*columns), "silver")
-
-
 # ------------------------------------------------- sources and tables
 
 
@@ -162,7 +132,7 @@ def merge_upsert(spark, sf_dir):
     The first load had only records below 25 units; the others came late.
     """
     keys = ["usage_date", "workspace_id", "sku_name", "billing_origin_product"]
-    records = staged_silver(spark, sf_dir, DAYS, *keys, "usage_quantity", "estimated_cost_usd")
+    records = enriched(spark, sf_dir, ALL_TIME)
     first_load = gold.daily_cost(records.where("usage_quantity < 25"))
     update = gold.daily_cost(records.where(last_days(AS_OF, MONTH)))
     return flat(tables.merge_upsert(
@@ -172,13 +142,7 @@ def merge_upsert(spark, sf_dir):
 
 @query
 def ingest_row_counts(spark, sf_dir):
-    records_in = stage(usage(spark, sf_dir), "bronze")
-    records = stage(
-        silver.usage_enriched(
-            records_in, prices(spark, sf_dir), AS_OF, price_bytes=price_bytes(spark, sf_dir)
-        ),
-        "silver",
-    )
+    records_in, records = usage(spark, sf_dir), enriched(spark, sf_dir)
     return bronze.row_counts({
         "bronze.billing_usage": records_in,
         "bronze.list_prices": prices(spark, sf_dir),
@@ -194,23 +158,37 @@ def ingest_row_counts(spark, sf_dir):
 # ---------------------------------------------------------------- silver
 
 
-@query
-def price_interval_join(spark, sf_dir):
-    priced = silver.price_interval_join(
-        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF,
-        price_bytes=price_bytes(spark, sf_dir),
-    )
+def _priced(spark, sf_dir, price_list):
+    priced = silver.price_interval_join(usage(spark, sf_dir, ALL_TIME), price_list, AS_OF)
     return flat(priced.select(
         "record_id", "sku_name", "cloud", "usage_date", "usage_quantity",
         "price_per_unit", "currency_code",
     ))
 
 
+@query
+def price_interval_join(spark, sf_dir):
+    return _priced(spark, sf_dir, prices(spark, sf_dir))
+
+
+@query
+def price_interval_join_shuffled(spark, sf_dir):
+    """The same join where Spark may not broadcast the list, as with one too large for that."""
+    return _priced(spark, sf_dir, prices(spark, sf_dir).hint("merge"))
+
+
+@query
+def usage_without_prices(spark, sf_dir):
+    """A price list that is not there: every record stays and costs nothing."""
+    missing = bronze.load_or_empty(spark, f"{sf_dir}/no_such_prices.parquet", schemas.LIST_PRICES)
+    records = silver.usage_enriched(usage(spark, sf_dir, ALL_TIME), missing, AS_OF)
+    return flat(records.select("record_id", "usage_quantity", "estimated_cost_usd"))
+
+
 @query
 def cost_computation(spark, sf_dir):
     priced = silver.price_interval_join(
-        usage(spark, sf_dir, FULL), prices(spark, sf_dir), AS_OF,
-        price_bytes=price_bytes(spark, sf_dir),
+        usage(spark, sf_dir, ALL_TIME), prices(spark, sf_dir), AS_OF
     )
     return flat(silver.with_cost(priced).select(
         "record_id", "usage_quantity", "price_per_unit", "estimated_cost_usd"
@@ -219,7 +197,7 @@ def cost_computation(spark, sf_dir):
 
 @query
 def tag_extraction(spark, sf_dir):
-    return silver.with_tags(usage(spark, sf_dir, FULL)).select(
+    return silver.with_tags(usage(spark, sf_dir, ALL_TIME)).select(
         "record_id", *silver.TAG_COLUMNS.values()
     )
 
@@ -235,7 +213,7 @@ SILVER_COLUMNS = [
 
 @query
 def usage_enriched(spark, sf_dir):
-    return flat(enriched(spark, sf_dir, FULL).select(*SILVER_COLUMNS))
+    return flat(enriched(spark, sf_dir, ALL_TIME).select(*SILVER_COLUMNS))
 
 
 # ---------------------------------------------------------------- gold
@@ -243,27 +221,27 @@ def usage_enriched(spark, sf_dir):
 
 @query
 def gold_daily_cost(spark, sf_dir):
-    return flat(daily(spark, sf_dir, FULL))
+    return flat(daily(spark, sf_dir, ALL_TIME))
 
 
 @query
 def gold_cost_by_user(spark, sf_dir):
-    return flat(gold.cost_by_user(enriched(spark, sf_dir, FULL)))
+    return flat(gold.cost_by_user(enriched(spark, sf_dir, ALL_TIME)))
 
 
 @query
 def gold_cost_by_tags(spark, sf_dir):
-    return flat(gold.cost_by_tags(enriched(spark, sf_dir, FULL)))
+    return flat(gold.cost_by_tags(enriched(spark, sf_dir, ALL_TIME)))
 
 
 @query
 def gold_cost_by_resource(spark, sf_dir):
-    return flat(gold.cost_by_resource(enriched(spark, sf_dir, FULL)))
+    return flat(gold.cost_by_resource(enriched(spark, sf_dir, ALL_TIME)))
 
 
 @query
 def daily_totals_latest(spark, sf_dir):
-    return gold.latest_daily_totals(daily(spark, sf_dir))
+    return gold.latest_daily_totals(daily(spark, sf_dir, ALL_TIME))
 
 
 # ---------------------------------------------------------- cost analysis
@@ -422,13 +400,12 @@ def summary_metrics(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    """The run's metrics and findings, both from one written daily rollup."""
-    rollup = stage(daily(spark, sf_dir), "daily_cost")
+    """The run's metrics and findings, both from the daily rollup."""
+    rollup = daily(spark, sf_dir)
     metrics = run_metrics.run_metrics(rollup, AS_OF, DAYS)
     findings = run_metrics.all_findings(
         run_metrics.daily_zscore_anomalies(rollup, AS_OF, DAYS, zscore=ZSCORE),
-        run_metrics.sku_concentration(metrics, AS_OF, SHARE_PCT),
-        run_metrics.wow_jump(metrics, AS_OF, WOW_PCT),
+        run_metrics.metric_findings(metrics, AS_OF, SHARE_PCT, WOW_PCT),
     )
     return metrics.drop("top_sku", "top_sku_cost_usd"), findings
 
@@ -485,7 +462,7 @@ def rec_serverless(spark, sf_dir):
 
 
 def _recommendations(spark, sf_dir, records=None):
-    records = records or staged_silver(spark, sf_dir, DAYS, *REC_COLUMNS)
+    records = records or enriched(spark, sf_dir)
     meta = clusters(spark, sf_dir)
     return optimize.all_recommendations({
         optimize.RIGHT_SIZE: optimize.recommend_rightsizing(
@@ -494,7 +471,8 @@ def _recommendations(spark, sf_dir, records=None):
             records, meta, AS_OF, DAYS, ordered=False),
         optimize.ENABLE_PHOTON: optimize.recommend_photon(
             records, AS_OF, MONTH, ordered=False),
-        optimize.MIGRATE_SERVERLESS: optimize.recommend_serverless(records, AS_OF, DAYS),
+        optimize.MIGRATE_SERVERLESS: optimize.recommend_serverless(
+            records, AS_OF, DAYS, ordered=False),
     })
 
 
@@ -587,11 +565,11 @@ def tag_compliance(spark, sf_dir):
 
 
 def _cost_summary(spark, sf_dir, records=None):
-    records = records or staged_silver(spark, sf_dir, DAYS, *SUMMARY_COLUMNS)
+    records = records or enriched(spark, sf_dir)
     rollup = gold.daily_cost(records)
     return reports.cost_summary_report(
         cost.total_cost(rollup, AS_OF, MONTH),
-        cost.cost_breakdown(records, "product", AS_OF, MONTH),
+        cost.cost_breakdown(records, "product", AS_OF, MONTH, top_n=None),
         cost.top_spenders(gold.cost_by_user(records), "user", AS_OF, days=MONTH),
         cost.cost_trend(rollup, AS_OF, DAYS, "week"),
     )
@@ -599,18 +577,17 @@ def _cost_summary(spark, sf_dir, records=None):
 
 def _findings(spark, sf_dir, records=None):
     """The report on spikes, idle clusters and untagged resources."""
-    records = records or staged_silver(spark, sf_dir, DAYS, *FINDING_COLUMNS)
+    records = records or enriched(spark, sf_dir)
     found = run_metrics.all_findings(
         anomaly.cost_spikes(records, AS_OF, DAYS, ordered=False),
         anomaly.idle_clusters(records, clusters(spark, sf_dir), AS_OF, DAYS, ordered=False),
-        policy.untagged_resources(records, AS_OF, MONTH),
+        policy.untagged_resources(records, AS_OF, MONTH, ordered=False),
     )
-    return reports.findings_report(stage(found.select(*REPORT_FINDING), "findings"))
+    return reports.findings_report(found.select(*REPORT_FINDING))
 
 
 def _recommendation_lines(spark, sf_dir, records=None):
-    found = stage(_recommendations(spark, sf_dir, records), "recommendations")
-    return reports.recommendations_report(found)
+    return reports.recommendations_report(_recommendations(spark, sf_dir, records))
 
 
 @query
@@ -630,8 +607,7 @@ def recommendations_report(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
-    columns = dict.fromkeys((*SUMMARY_COLUMNS, *FINDING_COLUMNS, *REC_COLUMNS))
-    records = staged_silver(spark, sf_dir, DAYS, *columns)
+    records = enriched(spark, sf_dir)
     lines = (
         _cost_summary(spark, sf_dir, records)
         .unionByName(_findings(spark, sf_dir, records))
@@ -663,7 +639,7 @@ def llm_usage_rollup(spark, sf_dir):
 
 @query
 def team_chargeback(spark, sf_dir):
-    months = chargeback.team_chargeback(enriched(spark, sf_dir))
+    months = chargeback.team_chargeback(enriched(spark, sf_dir, ALL_TIME))
     text = F.transform(
         "top_drivers",
         lambda d: F.concat_ws(":", d["resource_type"], d["resource_id"],
@@ -675,7 +651,7 @@ def team_chargeback(spark, sf_dir):
 
 @query
 def format_functions(spark, sf_dir):
-    orders = fixtures.table(spark, sf_dir, "orders", ("o_orderkey",))
+    orders = fixtures.table(spark, sf_dir, "orders")
     amount = F.col("o_totalprice")
     signed = F.when(F.col("o_orderkey") % 3 != 0, amount - 250000)
     power = F.expr("CAST(1 << (4 * CAST(o_orderkey % 14 AS INT)) AS DOUBLE)")
