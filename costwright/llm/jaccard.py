@@ -142,8 +142,9 @@ def _scan(docs: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
 
     def batch_of(count: int, id_type: pa.DataType, kind: str, block: int, **cols: pa.Array) -> pa.RecordBatch:
         types = {"id": id_type, "data": pa.binary()}
-        fixed = {"kind": pa.array([kind] * count), "block": pa.array([block] * count, pa.int64())}
-        arrays = [fixed.get(c) or cols.get(c) or pa.nulls(count, types.get(c, pa.int64())) for c in names]
+        fixed = {"kind": pa.array([kind] * count, pa.string()), "block": pa.array([block] * count, pa.int64())}
+        given = fixed | cols
+        arrays = [given[c] if c in given else pa.nulls(count, types.get(c, pa.int64())) for c in names]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
