@@ -51,8 +51,9 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_column: str, text: str
     """
     marks = trusted.select(F.col(id_column).alias("__id")).filter("__id is not null").distinct()
     marked = (
-        docs.select(F.col(id_column).alias("__id"), _words(text).alias(_WORDS))
+        docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
         .join(marks.withColumn("__trusted", F.lit(1)), "__id", "left")
+        .select("__trusted", _words("__text").alias(_WORDS))
         .select("__trusted", F.explode(_grams(_WORDS, buckets)).alias("bucket"))
     )
     counts = marked.groupBy("bucket").agg(
