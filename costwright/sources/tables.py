@@ -226,35 +226,53 @@ def run_row(
     config: dict | None = None,
     timings: dict | None = None,
     errors: list[str] | None = None,
+    calls: DataFrame | None = None,
+    report: DataFrame | None = None,
 ) -> DataFrame:
-    """One row about the run: settings, metrics and timings as JSON, and counts."""
+    """One row about the run: settings, metrics, timings and report as JSON, and counts.
+
+    `calls` is the rollup of model calls per run and endpoint, of which this run's are
+    counted; `report` has the run's texts in its column `markdown`, one per report.
+    """
     kept = {"ignoreNullFields": "false"}
 
     def literal(values: dict):
         fields = [F.lit(v).alias(k) for k, v in values.items()]
         return F.struct(*fields) if fields else F.lit(None).cast("struct<none:string>")
 
-    counts = (
-        findings.agg(F.count("*").alias("f"), F.lit(0).cast("long").alias("r"))
-        .unionByName(recommendations.agg(F.lit(0).cast("long").alias("f"), F.count("*").alias("r")))
-        .select("f", "r", F.lit(None).cast("string").alias("m"))
-    )
-    summary = metrics.select(
-        F.lit(0).cast("long").alias("f"),
-        F.lit(0).cast("long").alias("r"),
-        F.to_json(F.struct(*metrics.columns), kept).alias("m"),
-    )
-    one = counts.unionByName(summary).agg(
+    # One row from each source, with the columns that it knows.
+    known = findings.agg(F.count("*").alias("f"))
+    known = known.unionByName(recommendations.agg(F.count("*").alias("r")), True)
+    summary = F.to_json(F.struct(*metrics.columns), kept)
+    known = known.unionByName(metrics.select(summary.alias("m")), True)
+    empty = findings.sparkSession.range(0)
+    made = empty.select(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("t"))
+    if calls is not None:
+        made = calls.where(F.col("run_id") == run_id).agg(
+            F.sum("calls").alias("c"), F.sum("total_tokens").alias("t")
+        )
+    known = known.unionByName(made, True)
+    text = empty.select(F.lit("").alias("p"))
+    if report is not None:
+        texts = F.transform(
+            F.array_sort(F.collect_list(F.struct("report", "markdown"))), lambda x: x["markdown"]
+        )
+        text = report.agg(F.array_join(texts, "\n\n").alias("p"))
+    one = known.unionByName(text, True).agg(
         F.sum("f").alias("findings_count"),
         F.sum("r").alias("recommendations_count"),
         F.max("m").alias("metrics"),
+        F.sum("c").alias("llm_calls"),
+        F.sum("t").alias("llm_tokens"),
+        F.coalesce(F.max("p"), F.lit("")).alias("report_markdown"),
     )
     snapshot = F.concat(
         F.lit('{"config":'), F.coalesce(F.to_json(literal(config or {}), kept), F.lit("{}")),
         F.lit(',"summary_metrics":'), F.col("metrics"),
         F.lit(',"node_timings_ms":'),
         F.coalesce(F.to_json(literal(timings or {}), kept), F.lit("{}")),
-        F.lit("}"),
+        F.lit(","),
+        F.substring(F.to_json(F.struct("report_markdown")), 2, 1 << 30),
     )
     error_text = F.to_json(F.array(*[F.lit(e) for e in errors])) if errors else F.lit(None)
     return _as_audit_rows(
@@ -272,6 +290,8 @@ def run_row(
             F.lit((ended_at - started_at).total_seconds()).alias("duration_seconds"),
             "findings_count",
             "recommendations_count",
+            "llm_calls",
+            "llm_tokens",
         ),
         "runs",
     )

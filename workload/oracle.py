@@ -626,6 +626,7 @@ FROM (SELECT warehouse_id, workspace_id, sku_name,
       GROUP BY warehouse_id, workspace_id, sku_name)
 WHERE total_dbu >= 5"""
 
+# The wording and names below equal the operators'.
 SERVERLESS = f"""
 SELECT *, 'MIGRATE_SERVERLESS' AS recommendation_type,
        {savings(90, 0.25)} AS expected_savings_usd_monthly, 'LOW' AS confidence,
@@ -773,6 +774,7 @@ ORDER BY total_cost_usd DESC, workspace_id, resource_type, resource_id, tag_envi
          tag_project, tag_team, tag_costcenter"""
 oracle("untagged_resources", UNTAGGED)
 
+# The wording and names below equal the operators'.
 NODES = ("('Standard_E64s_v3', 'Standard_E64s_v5', 'Standard_M128s', 'Standard_NC24s_v3', "
          "'Standard_ND40rs_v2')")
 oracle("expensive_node_types", f"""
@@ -820,6 +822,7 @@ FROM (SELECT rank, lines, unnest(generate_series(1, len(lines))) AS pos
             FROM ({source})))"""
 
 
+# The wording and names below equal the operators'.
 COST_LINES = f"""
 SELECT 'cost_summary' AS report, 0 AS section, seq, line FROM (
   SELECT unnest([0, 1, 2, 3]) AS seq,
@@ -854,6 +857,7 @@ UNION ALL SELECT 'cost_summary', 3, seq, line FROM (
         FROM ({trend("CAST(date_trunc('week', usage_date) AS DATE)")}))
   WHERE n >= 2)"""
 
+# The wording and names below equal the operators'.
 REPORT_FINDINGS = f"""
 reported AS (
   SELECT severity, daily_cost_usd AS cost,
@@ -886,6 +890,7 @@ FROM (SELECT section, line,
 UNION ALL SELECT 'findings', section, 11, '- _...and ' || (n - 10) || ' more_'
 FROM counted WHERE n > 10"""
 
+# The wording and names below equal the operators'.
 RECOMMENDATION_LINES = f"""
 SELECT 'recommendations' AS report, 0 AS section, seq, line FROM (
   SELECT unnest([0, 1]) AS seq,
@@ -968,10 +973,17 @@ SELECT 'run-1' AS run_id, CAST(NULL AS VARCHAR) AS job_run_id,
        CAST(90 AS DOUBLE) AS duration_seconds,
        CAST((SELECT count(*) FROM {EVERY_FINDING}) AS INTEGER) AS findings_count,
        CAST((SELECT count(*) FROM parsed) AS INTEGER) AS recommendations_count,
-       CAST(0 AS INTEGER) AS llm_calls, CAST(0 AS BIGINT) AS llm_tokens,
+       CAST((SELECT count(*) FROM run_calls) AS INTEGER) AS llm_calls,
+       CAST(coalesce((SELECT sum(k) FROM run_calls), 0) AS BIGINT) AS llm_tokens,
        (SELECT total_cost_usd FROM metrics) AS total_cost_usd,
-       CAST(90 AS INTEGER) AS config_days, CAST(1.5 AS DOUBLE) AS analyze_ms""",
-       RUN_CTES + "," + PARSED)
+       CAST(90 AS INTEGER) AS config_days, CAST(1.5 AS DOUBLE) AS analyze_ms,
+       (SELECT string_agg(line, E'\\n' ORDER BY section, seq) FROM ({COST_LINES}))
+         AS report_markdown""",
+       RUN_CTES + "," + PARSED + """,
+run_calls AS (
+  SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+  WHERE user_id = 1 AND event_type <> 'error' AND event_id % 5 <> 0
+)""")
 
 oracle("extract_json_object", f"""
 SELECT event_id AS response_id,

@@ -516,6 +516,8 @@ def persist_run(spark, sf_dir):
         findings, recommendations, metrics, RUN_ID, RUN_START, RUN_END,
         config={"lookback_days": DAYS, "top_n_skus": 10}, timings={"analyze": 1.5},
         errors=["load: none"],
+        calls=responses.usage_rollup(fixtures.call_source(spark, sf_dir)),
+        report=reports.report_text(_cost_summary(spark, sf_dir)),
     )
     total = F.get_json_object("config_snapshot", "$.summary_metrics.total_cost_usd")
     days = F.get_json_object("config_snapshot", "$.config.lookback_days")
@@ -523,6 +525,7 @@ def persist_run(spark, sf_dir):
     return flat(row.select(
         "*", total.cast("double").alias("total_cost_usd"),
         days.cast("int").alias("config_days"), timing.cast("double").alias("analyze_ms"),
+        F.get_json_object("config_snapshot", "$.report_markdown").alias("report_markdown"),
     ).drop("config_snapshot"))
 
 
