@@ -126,3 +126,15 @@ def rated(docs: DataFrame, weights: list[int], text: str = "text", least_ratio:
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least_ratio))
+
+
+def passing(docs: DataFrame, weights: list[int], text: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
+    """The rows of docs that rated() keeps, with the columns of docs.
+
+    The row number stands between the rules and the filter: a filter that Spark pushes into
+    their projections would repeat each of them wherever a later one reads it.
+    """
+    rows = rated(docs, weights, text, least_ratio).select(
+        *docs.columns, F.col("kept").alias("__kept"), F.monotonically_increasing_id().alias("__row")
+    )
+    return rows.filter("__kept and __row >= 0").select(docs.columns)
