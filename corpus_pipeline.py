@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     shipped(spark)
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     weights = quality.ratio_weights(docs, trusted, "doc_id", "text")
-    return quality.rated(docs, weights).filter("kept").select(docs.columns)
+    return quality.passing(docs, weights)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
