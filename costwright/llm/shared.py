@@ -24,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if not hasattr(context, "_costwright_shared"):
+        context._costwright_shared = tempfile.mkdtemp(prefix="shared-")
+    return context._costwright_shared
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
