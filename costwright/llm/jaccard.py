@@ -9,7 +9,8 @@ order of n-grams. Vertical cuts of that order are used twice:
   partners. Sets that are empty in too many fragments to leave more than d(m) others
   give signatures of empty fragments too, so no pair is missed.
 * To verify them. Per pair and coarser fragment the overlap is counted separately and the
-  counts are summed, which gives the exact intersection.
+  counts are summed, which gives the exact intersection. Before that, a pair is
+  dropped when the parity bitmaps of its sets differ in more bits than the sets may in shingles.
 
 Equal sets are one node from the start. In the first round every node is compared with the
 least node that it shares a signature with; in the second all pairs that share a
@@ -38,6 +39,8 @@ from costwright.llm.shared import removed, written
 WORDS, PERCENT = 4, 85
 #: Fragments in which overlaps are counted.
 PARTS = 8
+#: Bits of a set's parity bitmap: each shingle flips one, so two bitmaps differ in no more bits than their sets.
+SKETCH_BITS = 1024
 #: Documents of one shard of signatures; shards grow in number with the documents.
 SHARD_DOCS = 8192
 #: Words whose hash a worker remembers; a full memory is emptied.
@@ -205,7 +208,10 @@ def _shared(sent: pd.DataFrame) -> pd.DataFrame:
 
 
 def _parts(docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, part, hashes): each document's set, cut into PARTS fragments; empty ones have no row."""
+    """(node, n, part, hashes): each document's set, cut into PARTS fragments; empty ones have no row.
+
+    Part -1 holds the set's parity bitmap.
+    """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +226,8 @@ def _parts(docs: DataFrame, words: int) -> DataFrame:
                     node = int(np.add.reduce(mixed(hashes ^ _U(len(hashes)))).view(np.int64))
                     ends = np.searchsorted(((hashes >> _U(32)) * _U(PARTS)) >> _U(32), np.arange(PARTS + 1))
                     signed = hashes.view(np.int64)
+                    odd = np.bincount((hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    rows.append((node, len(hashes), -1, np.packbits(odd.astype(np.uint8)).view(np.int64)))
                     rows += [
                         (node, len(hashes), p, signed[ends[p] : ends[p + 1]])
                         for p in range(PARTS)
@@ -235,12 +243,24 @@ def _parts(docs: DataFrame, words: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough: overlaps counted per fragment, then summed."""
+    rough = parts.filter("part = -1").select("node", F.col("n").cast("long").alias("n"), F.col("hashes").alias("bits"))
+    a, b = rough.toDF("a", "na", "bits_a"), rough.toDF("b", "nb", "bits_b")
+    differ = F.aggregate(
+        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    pairs = (
+        pairs.join(b, "b")
+        .join(a, "a")
+        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+        .select("a", "b")
+    )
+    parts = parts.filter("part >= 0")
     left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("hashes").alias("ha"))
     right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("hashes").alias("hb"))
     counted = (
         pairs.join(right, "b")
         .join(left, ["a", "part"])
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("both"))
     )
     # a set that two rows with one id both hold is there twice
