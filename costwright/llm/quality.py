@@ -49,10 +49,11 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_column: str, text: str
 
     trusted: ids in id_column; repeated and null ones do no harm. Without trusted n-grams all are 0.
     """
+    # one plan at every size: a list of trusted ids grows with the corpus and is never broadcast
     marks = trusted.select(F.col(id_column).alias("__id")).filter("__id is not null").distinct()
     marked = (
         docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
-        .join(marks.withColumn("__trusted", F.lit(1)), "__id", "left")
+        .join(marks.withColumn("__trusted", F.lit(1)).hint("merge"), "__id", "left")
         .select("__trusted", _words("__text").alias(_WORDS))
         .select("__trusted", F.explode(_grams(_WORDS, buckets)).alias("bucket"))
     )
