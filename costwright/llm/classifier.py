@@ -74,18 +74,18 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         np.zeros((2, DIM), np.float32),
         np.zeros(2, np.float32),
     )
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, np.ndarray] = {}
     rows = []
     for text in texts:
-        found: list[int] = []
         words = text.encode().split()
         for word in words:
             if word not in known:
-                known[word] = features(word)
-            found += known[word]
-        found += [AGAIN] * repeats(words)
-        buckets, counts = np.unique(np.array(found, np.int32), return_counts=True)
+                known[word] = np.array(features(word), np.int32)
+        found = np.concatenate([*(known[w] for w in words), np.full(repeats(words), AGAIN, np.int32)])
+        buckets, counts = np.unique(found, return_counts=True)
         rows.append((buckets, (counts / max(1, len(found))).astype(np.float32)))
+        if len(known) > MEMORY // 4:
+            known.clear()
     steps = epochs * len(rows)
     step = 0
     for _ in range(epochs):
