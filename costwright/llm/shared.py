@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written in the shared folder and read back: cuts lineage, survives lost executors."""
+    """df as a table written in the shared folder and read back: cuts lineage, survives lost executors.
+
+    Nothing needs the shuffle files behind it any more; Spark deletes them once the driver's
+    JVM has collected the objects that stand for them, which is asked for here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
