@@ -18,7 +18,7 @@ from costwright.llm.shared import SPACE
 
 #: Hash buckets of the two multinomials; their weights, one number each, are the only thing sent around.
 BUCKETS = 10_000
-#: Added to the count of each bucket.
+#: Pseudo-counts per bucket, spread like the raw corpus: few trusted documents pull no ratio below zero by themselves.
 SMOOTHING = 1.0
 #: Least mean log ratio, in natural units, of a document that is kept.
 LEAST_RATIO = -0.04
@@ -65,9 +65,12 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_column: str, text: str
         raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["trusted"]
     if not sum(good):
         return [0] * buckets
-    extra = SMOOTHING * buckets
-    shift = math.log(sum(raw) + extra) - math.log(sum(good) + extra)
-    return [round(UNIT * (math.log(g + SMOOTHING) - math.log(r + SMOOTHING) + shift)) for g, r in zip(good, raw)]
+    extra, total, trusted_total = SMOOTHING * buckets, sum(raw), sum(good)
+    shares = [r / total for r in raw]
+    return [
+        round(UNIT * math.log((g + extra * p) / ((trusted_total + extra) * p))) if p else 0
+        for g, p in zip(good, shares)
+    ]
 
 
 def _repeated(words: str, hashes: str, places: str) -> Column:

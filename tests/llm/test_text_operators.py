@@ -206,8 +206,10 @@ def test_quality_equals_plain_version(ready):
             bucket = (h - (1 << 64) if h >> 63 else h) % 97
             raw[bucket] += 1
             good[bucket] += i % 3 == 0 and i < 80 and i != 5
-    logs = lambda c: [math.log((c[b] + 1) / (sum(c.values()) + 97)) for b in range(97)]
-    assert weights == pytest.approx([quality.UNIT * (g - x) for g, x in zip(logs(good), logs(raw))], abs=1)
+    share = [raw[b] / sum(raw.values()) for b in range(97)]
+    trusted_share = [(good[b] + 97 * p) / (sum(good.values()) + 97) for b, p in enumerate(share)]
+    want = [quality.UNIT * math.log(t / p) if p else 0 for t, p in zip(trusted_share, share)]
+    assert weights == pytest.approx(want, abs=1)
     rows = {r.doc_id: r for r in quality.rated(docs, weights).collect()}
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     for i, want in enumerate(plain_rated(texts, weights)):
