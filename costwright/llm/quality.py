@@ -18,8 +18,9 @@ from costwright.llm.shared import SPACE
 
 #: Hash buckets of the two multinomials; their weights, one number each, are the only thing sent around.
 BUCKETS = 10_000
-#: Pseudo-counts per bucket, spread like the raw corpus: few trusted documents pull no ratio below zero by themselves.
-SMOOTHING = 1.0
+#: Pseudo-counts per bucket, spread like the raw corpus. Chance alone lowers a clean document's mean by at most
+#: 1 / (8 * SMOOTHING), however few the trusted documents are; that has to stay well below LEAST_RATIO.
+SMOOTHING = 20.0
 #: Least mean log ratio, in natural units, of a document that is kept.
 LEAST_RATIO = -0.04
 UNIT = 1_000_000

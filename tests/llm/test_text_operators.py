@@ -207,7 +207,7 @@ def test_quality_equals_plain_version(ready):
             raw[bucket] += 1
             good[bucket] += i % 3 == 0 and i < 80 and i != 5
     share = [raw[b] / sum(raw.values()) for b in range(97)]
-    trusted_share = [(good[b] + 97 * p) / (sum(good.values()) + 97) for b, p in enumerate(share)]
+    trusted_share = [(good[b] + quality.SMOOTHING * 97 * p) / (sum(good.values()) + quality.SMOOTHING * 97) for b, p in enumerate(share)]
     want = [quality.UNIT * math.log(t / p) if p else 0 for t, p in zip(trusted_share, share)]
     assert weights == pytest.approx(want, abs=1)
     rows = {r.doc_id: r for r in quality.rated(docs, weights).collect()}
