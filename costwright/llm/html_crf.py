@@ -16,7 +16,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,7 +33,9 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 #: Elements whose content is never text of the page.
 _SILENT = set("script style template noscript head title textarea select svg math iframe object".split())
 _RAW = set("script style textarea title iframe noscript".split())
-#: An opening tag closes an open one of these names, up to the nearest of the second set.
+#: Elements of SVG and MathML whose children are elements of HTML again.
+_HTML_IN_FOREIGN = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: An opening tag closes open ones of these names, up to the nearest of the second set.
 _CLOSES = {
     "p": ({"p"}, {"div", "td", "li", "article", "section", "body", "blockquote"}),
     "li": ({"li"}, {"ul", "ol"}),
@@ -42,6 +44,8 @@ _CLOSES = {
     "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"optgroup", "select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,8192})>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z""", re.S)
@@ -65,7 +69,9 @@ def _names(attributes: str) -> list[str]:
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page's body in page order; white space is one space, references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    # of each open element: its name, what is above, the nearest block, whether it is of SVG or MathML
+    stack: list[tuple[str, frozenset[str], str, bool]] = [("", frozenset(), "", False)]
+    opened: dict[str, list[int]] = {}  # places of the open elements of a name
     parts: list[str] = []
     linked = 0
     links = silent = 0
@@ -76,17 +82,20 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            near = next((tag for tag, _ in reversed(stack) if tag not in _INLINE), "")
-            out.append(Block(text, near, stack[-1][1], min(1.0, linked / len(text))))
+            out.append(Block(text, stack[-1][2], stack[-1][1], min(1.0, linked / len(text))))
         parts, linked = [], 0
 
     def pop(to: int) -> None:
         nonlocal links, silent
-        for tag, _ in stack[to:]:
+        for tag, *_ in stack[to:]:
+            opened[tag].pop()
             links -= tag == "a"
             silent -= tag in _SILENT
         del stack[to:]
 
+    def last(names: Iterable[str]) -> int:
+        return max((places[-1] for name in names if (places := opened.get(name))), default=0)
+
     def add(text: str) -> None:
         nonlocal linked
         if text and not silent:
@@ -105,7 +114,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            place = next((i for i in range(len(stack) - 1, max(0, len(stack) - 64), -1) if stack[i][0] == tag), 0)
+            place = last((tag,))
             if tag not in _INLINE:
                 flush()
             if place:
@@ -120,17 +129,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in _CLOSES:
             names, until = _CLOSES[tag]
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[i][0] in names:
-                    pop(i)
-                    break
-                if stack[i][0] in until:
-                    break
-        if m[3].endswith("/") and tag in ("svg", "iframe", "object"):
+            while (place := last(names)) > last(until):
+                pop(place)
+        parent, above, near, foreign = stack[-1]
+        foreign = tag in ("svg", "math") or foreign and parent not in _HTML_IN_FOREIGN
+        if m[3].endswith("/") and (foreign or tag in ("iframe", "object")):
             continue
-        above = stack[-1][1]
         own = {f"t:{tag}", *_names(m[3])}
-        stack.append((tag, above if own <= above else above | own))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, above if own <= above else above | own, near if tag in _INLINE else tag, foreign))
         links += tag == "a"
         silent += tag in _SILENT
         if tag in _RAW:

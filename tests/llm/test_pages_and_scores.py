@@ -94,6 +94,36 @@ def test_blocks():
     assert len(html_crf.blocks("<div>" * 5000 + "deep" + "<p>x" * 3000)) == 3001
 
 
+ARTICLE = "<article><p>First part.</p><p>Second part.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg>" + "<path d='M0 0'/>" * 200 + "</svg>",
+        "<svg>" + "<circle/><title/><g><desc>x<br/></desc></g>" * 200 + "</svg>",
+        "<svg>" + "<path>" * 200 + "</svg>",
+        "<math>" + "<mspace/>" * 200 + "</math>",
+        "<select>" + "<option>Land" * 200 + "</select>",
+        "<select>" + "<optgroup label=a><option>x<option>y" * 200 + "</select>",
+        "<datalist hidden>" + "<option value=x>" * 200 + "</datalist>",
+        "<nav>" + "<font size=1>" * 200 + "</nav>",
+        "<nav>" + "<span>" * 200 + "</nav>",
+        "<table>" + "<tr><td>" + "<font>" * 200 + "<tr><td></table>",
+    ],
+)
+def test_many_open_elements_before_the_article(before):
+    found = html_crf.blocks(f"<body>{before}{ARTICLE}</body>")
+    plain = html_crf.blocks(f"<body>{ARTICLE}</body>")
+    assert [(b.text, b.near, b.above) for b in found] == [(b.text, b.near, b.above) for b in plain]
+
+
+def test_implied_ends_of_options():
+    page = "<datalist><option>a<option>b</datalist><option>c<option>d<p>e"
+    assert [(b.text, b.near) for b in html_crf.blocks(page)] == [(x, "option") for x in "abcd"] + [("e", "p")]
+    assert html_crf.blocks("<select><optgroup><option>a<optgroup><option>b</select><p>c")[0].above == {"t:p"}
+
+
 def test_chain_equals_enumeration():
     r = np.random.default_rng(3)
     chain = html_crf.Chain(moves=r.normal(size=(2, 2)))
