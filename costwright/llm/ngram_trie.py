@@ -31,13 +31,13 @@ from costwright.llm.bpe import slices
 from costwright.llm.jaccard import WordHashes
 from costwright.llm.shared import written
 
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter context.
 PRIOR = 100.0
 #: Code 0 is probability 0; codes 1 to CODES are evenly spread in log10 from -DEPTH to 0.
-DEPTH, CODES = 8.0, 4095
-#: Tokens of all blocks for each shard; shards grow in number with the tokens.
-SHARD_TOKENS, LEAST_SHARDS = 4_000_000, 8
+DEPTH, CODES = 8.0, 65535
+#: Tokens of all blocks for each shard, which holds up to ORDER - 1 n-grams of each; shards grow in number with the tokens.
+SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 8
 #: Characters of text in a block.
 BLOCK_CHARS = 8_000_000
 
@@ -258,7 +258,11 @@ class Block:
             node[at] = number
 
     def pieces(self, shards: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(shard, what the block has of it): words, counts, and per level successors a context, words, counts."""
+        """(shard, what the block has of it): words, counts, the successors' hashes, and per level
+        successors a context, their places among those hashes, counts.
+
+        The hashes stand by falling frequency, so places are mostly small and need a third of a hash's bytes.
+        """
         shard = _shard(self.words, shards)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         levels = [cuts]
@@ -269,11 +273,16 @@ class Block:
             a, b = cuts[s], cuts[s + 1]
             if a == b:
                 continue
-            found = [steps(self.words[a:b]), self.counts[a:b]]
+            spans = [levels[k + 1][s : s + 2] for k in range(len(self.context))]
+            used = np.bincount(np.concatenate([w[x:y] for w, (x, y) in zip(self.word, spans)] or [np.empty(0, np.int64)]))
+            by_use = np.argsort(-used, kind="stable")[: np.count_nonzero(used)]
+            place = np.empty(len(used), "<u4")
+            place[by_use] = np.arange(len(by_use))
+            found = [steps(self.words[a:b]), self.counts[a:b], half[by_use]]
             for k, context in enumerate(self.context):
                 (x, y), (c, d) = levels[k + 1][s : s + 2], levels[k][s : s + 2]
                 found.append(np.bincount(context[x:y] - c, minlength=d - c).astype("<u4"))
-                found += [half[self.word[k][x:y]], self.n[k][x:y]]
+                found += [place[self.word[k][x:y]], self.n[k][x:y]]
             yield s, found
 
 
@@ -293,7 +302,9 @@ def answer(shard: int, shards: int, pieces: list[list[np.ndarray]], prior: float
     An answer: counts of the words; per level codes of the contexts' backoffs and of the n-grams' probabilities.
     """
     words = [np.cumsum(p[0], dtype=_U) for p in pieces]
-    depth = (len(pieces[0]) - 2) // 3
+    depth = (len(pieces[0]) - 3) // 3
+    for p in pieces:
+        p[4::3] = [p[2][place] for place in p[4::3]]  # hashes again
     vocabulary, number = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.bincount(number, np.concatenate([p[1] for p in pieces]), len(vocabulary)).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
@@ -301,16 +312,22 @@ def answer(shard: int, shards: int, pieces: list[list[np.ndarray]], prior: float
     levels, totals, size = [], None, len(vocabulary)
     for k in range(depth):
         keys = [
-            np.repeat(node, p[2 + 3 * k]).astype(_U) << _U(32) | p[3 + 3 * k].astype(_U) for node, p in zip(nodes, pieces)
+            np.repeat(node, p[3 + 3 * k]).astype(_U) << _U(32) | p[4 + 3 * k].astype(_U) for node, p in zip(nodes, pieces)
         ]
-        unique, number = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(number, np.concatenate([p[4 + 3 * k] for p in pieces]), len(unique))
+        ends = np.cumsum([len(x) for x in keys])
+        keys = np.concatenate(keys)
+        unique, number = np.unique(keys, return_inverse=True)
+        del keys
+        n = np.bincount(number, np.concatenate([p[5 + 3 * k] for p in pieces]), len(unique))
+        for p in pieces:
+            p[5 + 3 * k] = None  # not read again
         context = (unique >> _U(32)).astype(np.int64)
         if k == 0:
             totals = np.bincount(context, n, size)
-        nodes = np.split(number, np.cumsum([len(x) for x in keys])[:-1])
+        nodes = np.split(number.astype(np.uint32), ends[:-1])
         levels.append((unique, n))
         size = len(unique)
+    del nodes, number
     first, span = shard_range(shard, shards)
     # only what training has seen stays in the trie
     kept_words = (counts > 0) | (totals > 0) if depth else counts > 0
@@ -331,9 +348,9 @@ def answer(shard: int, shards: int, pieces: list[list[np.ndarray]], prior: float
         reply = [np.where(node >= 0, known[node] if len(known) else 0, 0).astype("<u8")]
         for k in range(depth):
             _, _, probability, backoff = trie.levels[k]
-            context = np.repeat(node, p[2 + 3 * k])
+            context = np.repeat(node, p[3 + 3 * k])
             reply.append(np.where(node >= 0, backoff[node] if len(backoff) else 0, CODES).astype("<u2"))
-            node = trie.successors(k, context, p[3 + 3 * k])
+            node = trie.successors(k, context, p[4 + 3 * k])
             reply.append(np.where(node >= 0, probability[node] if len(probability) else 0, 0).astype("<u2"))
         answers.append(reply)
     return answers, int(counts.sum()), int((counts > 0).sum())
@@ -377,7 +394,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     ends.append(size)
                 hashes = np.concatenate([*found, np.array([START], _U)])
                 words, tokens = np.unique(hashes, return_inverse=True)
-                data = pack([steps(words), tokens[:-1].astype("<u4"), np.array(ends, "<u8")])
+                by_use = np.argsort(-np.bincount(tokens), kind="stable")  # small numbers for frequent words take fewer bytes
+                rank = np.empty(len(words), "<u4")
+                rank[by_use] = np.arange(len(words))
+                data = pack([words[by_use], rank[tokens[:-1]], np.array(ends, "<u8")])
                 own = [ids.slice(at, len(part)), held.slice(at, len(part))]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
@@ -394,7 +414,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def _load(data: bytes, held: np.ndarray, order: int) -> Block:
     words, tokens, ends = unpack(data)
-    return Block(np.cumsum(words, dtype=_U), tokens.astype(np.int64), ends.astype(np.int64), held, order)
+    place = np.empty(len(words), np.int64)
+    place[np.argsort(words)] = np.arange(len(words))
+    return Block(np.sort(words), place[tokens], ends.astype(np.int64), held, order)
 
 
 def score(

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from costwright.llm import html_crf, ngram_trie, warc_zip
+from costwright.llm import html_crf, ngram_trie, queries, warc_zip
 from costwright.llm.shared import shipped
 
 
@@ -212,6 +212,33 @@ def test_scores_without_training(ready):
     assert rows[2].n_tokens == 1 and ngram_trie.score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_registered_scores_use_three_words(ready, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(12)], k=r.randint(0, 60))) for _ in range(120)]
+    docs = ready.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op2_ngram_trie"](ready, str(tmp_path)).collect()}
+    for (i, t), want in zip(enumerate(texts), plain_scores([(t, got[i].held_out) for i, t in enumerate(texts)], 3, ngram_trie.PRIOR)):
+        assert got[i].score == pytest.approx(want[5], rel=2e-3)
+
+
+def test_messages_hold_every_ngram_in_fewer_bytes():
+    r = np.random.default_rng(4)
+    words = np.unique(np.append(r.integers(0, 2**64, 5000, np.uint64), np.uint64(ngram_trie.START)))
+    tokens = np.minimum(r.zipf(1.3, 60_000), len(words)) - 1
+    block = ngram_trie.Block(words, tokens, np.array([20_000, 60_000]), np.zeros(2, bool), 3)
+    hashes = (words >> np.uint64(32)).astype("<u4")
+    sent = old = 0
+    levels = [[], []]
+    for _, found in block.pieces(4):
+        for k, level in enumerate(levels):
+            level.append(found[2][found[4 + 3 * k]])
+        sent += len(ngram_trie.pack(found))
+        old += len(ngram_trie.pack([*found[:2], *(x for k in (0, 1) for x in (found[3 + 3 * k], levels[k][-1], found[5 + 3 * k]))]))
+    assert all(np.array_equal(np.concatenate(x), hashes[w]) for x, w in zip(levels, block.word))
+    assert sent < 0.8 * old
+
+
 def test_elias_fano():
     r = np.random.default_rng(8)
     for n, universe in [(0, 10), (1, 1), (1, 1 << 61), (5, 5), (1000, 1000), (1000, 1 << 40), (5000, 70_000), (3000, 1 << 63)]:
