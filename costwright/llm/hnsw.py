@@ -1,17 +1,22 @@
 """Embedding near-duplicates with a hierarchical navigable small-world graph per shard.
 
 Equal vectors become one node first. Nodes are dealt to shards by a hash; each shard builds its
-graph, and every node queries every shard, in blocks of queries. A query's beam widens until its
-worst entry is clearly below the threshold. Each block then audits itself: on some of its queries,
-those with links first, the links found are held against all vectors of the shard; while the
-recall is too low the beam of the whole block doubles, and a beam as wide as the shard is
-a full comparison. Links are verified by cosine in double precision. A block
-reports its nodes' link counts and a spanning forest of its links, never all pairs.
+graph, and every node queries every shard, in blocks of queries of one home shard. A query's beam
+widens until it finds a link or its worst entry is clearly below the threshold; a query that
+finds one is compared with the whole shard, so it has all its links there or none. Each block then
+audits itself on queries chosen by a hash: while too many of those that have links in the shard
+have found none, the beam of all that found none doubles, and a beam as wide as the
+shard is a full comparison. Links are verified by cosine in double precision. A block
+reports its nodes' link counts, how often it found each node of the shard, and a spanning
+forest of its links, never all pairs. A node that found nothing in a shard has the links that
+the shard's nodes found to it.
 """
 
 from __future__ import annotations
 
 import io
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +33,9 @@ LINKS = 16
 BUILD_BEAM, BEAM = 64, 32
 #: A beam is wide enough when its worst entry is this far below the threshold.
 MARGIN = 0.03
-#: Queries that a block audits, and the recall that it has to reach.
-AUDITED, RECALL = 64, 0.995
-#: Most nodes of a shard and queries of a block; at least LEAST_SHARDS shards.
+#: Queries that a block audits, and the mean recall that those with a link have to reach.
+AUDITED, RECALL = 512, 0.995
+#: Most nodes of a shard and usual queries of a block; at least LEAST_SHARDS shards.
 SHARD_NODES, BLOCK_QUERIES, LEAST_SHARDS = 25_000, 4096, 6
 #: Queries that walk a graph together; bounds the memory of what they have visited.
 TOGETHER = 256
@@ -195,40 +200,52 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """Places of the shard's vectors with cosine of at least `least` to each query; exact, queries: unit, double."""
+def links_of(
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None
+) -> list[np.ndarray]:
+    """Places of the shard's vectors with cosine of at least `least` to each query; exact, queries: unit, double.
+
+    own: the place of each query itself, which is no link, or -1.
+    """
     single = queries.astype(np.float32)
+    own = np.full(len(queries), -1) if own is None else own
     found: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
 
+    def compared(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(which), TOGETHER):
+            part = which[at : at + TOGETHER]
+            for q, row in zip(part, queries[part] @ exact.T >= least):
+                links = np.flatnonzero(row)
+                yield q, links[links != own[q]]
+
+    def complete(which: np.ndarray) -> None:
+        for q, links in compared(which):
+            found[q] = links
+
     def search(which: np.ndarray, beam: int) -> None:
         while len(which):
             if beam >= len(exact):
-                for at in range(0, len(which), TOGETHER):
-                    part = which[at : at + TOGETHER]
-                    for q, row in zip(part, queries[part] @ exact.T >= least):
-                        found[q] = np.flatnonzero(row)
-                return
+                return complete(which)
             ids, sims = graph.nearest(single[which], beam)
             rows, places = np.nonzero((ids >= 0) & (sims >= least - MARGIN))
             hits = ids[rows, places]
-            good = np.einsum("ij,ij->i", exact[hits], queries[which[rows]]) >= least
-            split = np.searchsorted(rows[good], np.arange(len(which) + 1))
-            for i, q in enumerate(which):
-                found[q] = hits[good][split[i] : split[i + 1]]
-            which = which[sims[:, -1] >= least - MARGIN]
+            good = (np.einsum("ij,ij->i", exact[hits], queries[which[rows]]) >= least) & (hits != own[which[rows]])
+            some = np.zeros(len(which), bool)
+            some[rows[good]] = True
+            complete(which[some])
+            which = which[~some & (sims[:, -1] >= least - MARGIN)]
             beam *= 2
 
-    beam, all_ = BEAM, np.arange(len(queries))
-    search(all_, beam)
-    linked = sorted(all_, key=lambda q: (-(len(found[q]) > 1), q))
-    audited = np.array(linked[: AUDITED // 2] + linked[-(AUDITED // 2) :])
-    truth = queries[audited] @ exact.T >= least
-    while beam < len(exact):
-        hit = sum(int(truth[i, found[q]].sum()) for i, q in enumerate(audited))
-        if hit >= RECALL * truth.sum():
-            break
+    beam = BEAM
+    search(np.arange(len(queries)), beam)
+    audited = np.argsort([zlib.crc32(q.tobytes()) for q in queries], kind="stable")[:AUDITED]
+    truth = {q: links for q, links in compared(audited) if len(links)}
+    # a query has all its links or none, so its recall is 1 or 0
+    while beam < len(exact) and sum(len(found[q]) > 0 for q in truth) < RECALL * len(truth):
         beam *= 2
-        search(all_, beam)
+        search(np.array([q for q in range(len(queries)) if not len(found[q])], int), beam)
+    for q, links in truth.items():
+        found[q] = links
     return found
 
 
@@ -261,19 +278,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _search(queries: pd.DataFrame, index: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Per query node the rows that it links to in this shard, and forest links (a, b) with a null count."""
+    """Links of query nodes of one home shard into this shard.
+
+    Per query node n, the rows that it links to here, with this shard as home; per node of this shard back, the rows of the
+    queries that link to it, with the queries' home; and forest links (a, b) without counts.
+    """
     if not len(queries) or not len(index):
-        return pd.DataFrame({"a": [], "b": [], "n": []})
+        return pd.DataFrame({c: [] for c in ("a", "b", "home", "n", "back")})
     held = np.load(io.BytesIO(index["data"].iloc[0]))
     graph, node, copies = Graph.from_bytes(index["graph"].iloc[0]), held["node"], held["copies"]
     vectors, own = unit(np.stack(queries["vec"].to_numpy()).astype(np.float64)), queries["node"].to_numpy()
-    found = links_of(graph, held["exact"], vectors, least)
-    found = [f[node[f] != q] for f, q in zip(found, own)]
-    counted = [(int(q), None, int(copies[f].sum())) for f, q in zip(found, own) if len(f)]
-    a = np.repeat(own, [len(f) for f in found])
-    b = node[np.concatenate(found)] if found else a
-    rows = counted + [(x, y, None) for x, y in _forest(a, b)]
-    return pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"a": "Int64", "b": "Int64", "n": "Int64"})
+    place = {x: i for i, x in enumerate(node.tolist())}
+    found = links_of(graph, held["exact"], vectors, least, np.array([place.get(x, -1) for x in own.tolist()]))
+    sizes = [len(f) for f in found]
+    shard, home = int(index["shard"].iloc[0]), int(queries["home"].iloc[0])
+    a, hits = np.repeat(own, sizes), np.concatenate(found)
+    back = np.bincount(hits, np.repeat(queries["copies"].to_numpy(), sizes), len(node)).astype(np.int64)
+    rows = [(int(q), None, shard, int(copies[f].sum()), None) for f, q in zip(found, own) if len(f)]
+    rows += [(int(node[i]), None, home, None, int(back[i])) for i in np.flatnonzero(back)]
+    rows += [(x, y, None, None, None) for x, y in _forest(a, node[hits])]
+    return pd.DataFrame(rows, columns=["a", "b", "home", "n", "back"]).astype("Int64")
 
 
 def near_duplicates(
@@ -294,23 +318,27 @@ def near_duplicates(
     nodes = sound.distinct().groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "vectors")
     total = nodes.count()
-    shards, blocks = max(LEAST_SHARDS, -(-total // SHARD_NODES)), max(1, -(-total // BLOCK_QUERIES))
+    shards = max(LEAST_SHARDS, -(-total // SHARD_NODES))
+    own_blocks = max(1, round(total / shards / BLOCK_QUERIES))
+    blocks = shards * own_blocks
     sharded = nodes.withColumn("dim", F.size("vec")).withColumn("shard", F.expr(f"cast(pmod(xxhash64(node), {shards}) as int)"))
     index = sharded.groupBy("dim", "shard").applyInPandas(_index, "dim int, shard int, graph binary, data binary")
     index = written(index, "graphs").withColumn("block", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
     queries = (
-        sharded.select("dim", "node", "vec")
-        .withColumn("block", F.expr(f"cast(pmod(xxhash64(node, 1), {blocks}) as int)"))
+        sharded.select("dim", "node", "vec", "copies", F.col("shard").alias("home"))
+        .withColumn("block", F.expr(f"cast(home * {own_blocks} + pmod(xxhash64(node, 1), {own_blocks}) as int)"))
         .withColumn("shard", F.explode(F.expr(f"sequence(0, {shards - 1})")))
     )
     keys = ("dim", "shard", "block")
     found = written(
         queries.groupBy(*keys)
         .cogroup(index.groupBy(*keys))
-        .applyInPandas(lambda q, i: _search(q, i, least), "a long, b long, n long"),
+        .applyInPandas(lambda q, i: _search(q, i, least), "a long, b long, home long, n long, back long"),
         "links",
     )
-    counts = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    # a node has found all its links into a home shard or none, so the greater count has each link once
+    counts = found.filter("home is not null").groupBy(F.col("a").alias("node"), "home").agg(F.sum("n").alias("n"), F.sum("back").alias("back"))
+    counts = counts.groupBy("node").agg(F.sum(F.greatest("n", "back")).alias("n"))
     grouped = components(found.filter("b is not null").select("a", "b"))
     result = (
         nodes.join(counts, "node", "left")

@@ -180,3 +180,53 @@ def test_audit_widens_a_poor_beam(monkeypatch):
     found = hnsw.links_of(graph, unit, unit, 0.9)
     truth = unit @ unit.T >= 0.9
     assert sum(len(f) for f in found) >= 0.99 * truth.sum()
+
+
+def test_recall_of_small_groups_beside_a_hot_one():
+    """A full-size shard of which a third is one group: queries with a single partner find it."""
+    r = np.random.default_rng(7)
+    n, dim = hnsw.SHARD_NODES, 32
+    vectors = r.normal(size=(n, dim))
+    hot = r.permutation(n)[: n // 3]
+    vectors[hot] = vectors[hot[0]] + 0.1 * r.normal(size=(len(hot), dim))
+    rest = np.setdiff1d(np.arange(n), hot)[:1200]
+    vectors[rest[:600]] = vectors[rest[600:]] + 0.05 * r.normal(size=(600, dim))
+    unit = hnsw.unit(vectors)
+    graph = hnsw.Graph(unit.astype(np.float32)).build()
+    own = np.concatenate([rest[:300], rest[600:900], hot[:50]])
+    found = hnsw.links_of(graph, unit, unit[own], 0.9, own)
+    truth = unit[own] @ unit.T >= 0.9
+    truth[np.arange(len(own)), own] = False
+    recall = [truth[i, f].sum() / truth[i].sum() for i, f in enumerate(found) if truth[i].any()]
+    assert len(recall) >= 600 and np.mean(recall) >= hnsw.RECALL
+    assert not any(q in f for q, f in zip(own, found))
+
+
+def test_audit_sees_single_partners(monkeypatch):
+    """No graph at all: what the walks miss of pairs counts beside a hot group."""
+    monkeypatch.setattr(hnsw.Graph, "nearest", lambda self, v, beam: (np.full((len(v), 1), -1), np.full((len(v), 1), -2.0)))
+    r = np.random.default_rng(2)
+    vectors = r.normal(size=(1000, 32))
+    vectors[:300] = vectors[0] + 0.05 * r.normal(size=(300, 32))
+    vectors[300:400] = vectors[400:500]
+    unit = hnsw.unit(vectors + 0.01 * r.normal(size=vectors.shape))
+    queries = unit[300:500]
+    found = hnsw.links_of(hnsw.Graph(unit.astype(np.float32)), unit, queries, 0.9, np.arange(300, 500))
+    assert [f.tolist() for f in found] == [[(i + 100 - 300) % 200 + 300] for i in range(300, 500)]
+
+
+def test_links_found_from_one_end_count_for_both(ready, monkeypatch):
+    vectors = clustered(5, 300)
+    rows = list(enumerate(vectors)) + [(1000, vectors[7]), (1001, vectors[8])]
+    whole = hnsw._search
+
+    def one_end(queries, index, least):  # nodes of odd homes find nothing in shards below their own
+        if len(queries) and len(index) and queries["home"].iloc[0] % 2 and queries["home"].iloc[0] > index["shard"].iloc[0]:
+            queries = queries.iloc[:0]
+        return whole(queries, index, least)
+
+    monkeypatch.setattr(hnsw, "_search", one_end)
+    frame = ready.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(frame, least=0.9).collect()}
+    unit = hnsw.unit(np.array([v for _, v in rows], np.float64))
+    assert got == {i: int(k) - 1 for (i, _), k in zip(rows, (unit @ unit.T >= 0.9).sum(axis=1))}
