@@ -38,6 +38,12 @@ _LEAST_VALUE, _LEAST_ACCESS = 12, 18
 
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Between lines of a wrapped value: line ends, real or escaped, with quotes, marks and prefixes.
+_BREAK = re.compile(r"""(?:\\+[rn]|["'`,;>#*|\\\s]|(?<=["'`\s])(?:\+|//|--)(?=\s))++""")
+_LINE_END = re.compile(r"\\+[rn]|\n")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: The same at the start and end of a line of armour.
+_FRAMED = re.compile(r"""[\s"'`>#*|]*+(?://\s+|--\s+|\+\s+)?["'`]?([A-Za-z0-9+/_=-]*)""")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 
@@ -148,12 +154,54 @@ def _armoured(text: str) -> Iterator[tuple[str, int, int]]:
         end = text.find(tail, m.end())
         if end < 0:
             continue
-        lines = [x for x in text[m.end() : end].split("\n") if ":" not in x]  # headers of old formats
-        data = decoded("".join("".join(lines).split()))
-        if data and (is_der(data) or is_openssh(data) or "Proc-Type:" in text[m.end() : end]):
+        body = text[m.end() : end]
+        if any(is_der(d) or is_openssh(d) or "Proc-Type:" in body for d in map(decoded, _bodies(body)) if d):
             yield "pem", m.start(), end + len(tail)
 
 
+def _bodies(body: str) -> Iterator[str]:
+    """The base64 of an armoured body: as it stands, then without escaped line ends and marks around its lines."""
+    lines = [x for x in body.split("\n") if ":" not in x]  # headers of old formats
+    yield "".join("".join(lines).split())
+    lines = [x for x in _LINE_END.sub("\n", body.replace("\\/", "/")).split("\n") if ":" not in x]
+    lines = [_FRAMED.match(x)[1] for x in lines]
+    lines = [x for x in lines if re.search("[A-Za-z0-9]", x)]
+    yield "".join(lines)
+    mark = re.match("[+/-]*", lines[0])[0] if lines else ""  # no key begins with these
+    if mark:
+        yield "".join(x.removeprefix(mark) for x in lines)
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """Values over several lines without armour; the lines are of one width, the last may be shorter."""
+    reach = 0
+    for m in _RUN.finditer(text):
+        if m.start() < reach or not m[0].startswith(("M", "b3BlbnNzaC", "AAAA")):
+            continue
+        if m[0][0] == "A" and not (decoded(m[0][:12]) or b"")[4:].startswith((b"ssh-", b"ecdsa")):
+            continue
+        need = len(text)
+        if m[0][0] == "M":  # the length of a DER value tells where it ends
+            head = decoded(m[0][:8]) or b""
+            size = head[1] & 0x7F if len(head) > 1 and head[1] >= 0x80 else 0
+            if head[:1] != b"0" or size > 4 or len(head) < 2 + size:
+                continue
+            total = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])
+            need = -(-total * 4 // 3)
+        lines, length, end = [m[0]], len(m[0]), m.end()
+        while length < need and len(lines[-1]) == len(m[0]):
+            gap = _BREAK.match(text, end)
+            line = gap and _LINE_END.search(gap[0]) and _LINE.match(text, gap.end())
+            if not line or len(line[0]) > len(m[0]):
+                break
+            lines.append(line[0])
+            length, end = length + len(line[0].rstrip("=")), line.end()
+        data = decoded("".join(lines)) if len(lines) > 1 else None
+        if data and (is_der(data) or is_openssh(data)):
+            yield "der" if is_der(data) else "openssh", m.start(), end
+            reach = end
+
+
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         yield from _armoured(text)
@@ -161,6 +209,7 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _JWT.finditer(text):
             if is_jwt(m[0]):
                 yield "jwt", m.start(), m.end()
+    yield from _wrapped(text)
     for m in _RUN.finditer(text):
         data = decoded(m[0])
         if data is None:

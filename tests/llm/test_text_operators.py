@@ -157,6 +157,19 @@ def test_structures_are_confirmed():
     assert not kinds(pem.replace(lines[:10], "AAAAAAAAAA"))
 
 
+@pytest.mark.parametrize("around", ["{}\n", "{}\\n", "{}\\r\\n", "{}\\\\n", "> {}\n", "# {}\n", "// {}\n", "+{}\n", '    "{}\\n" +\n'])
+def test_keys_with_escaped_or_marked_lines(around):
+    value = der(0x30, der(2, b"\x00"), der(4, random.Random(5).randbytes(600)))
+    flat = base64.b64encode(value).decode()
+    lines = [flat[i : i + 64] for i in range(0, len(flat), 64)]
+    text = "".join(around.format(x) for x in ["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    assert "pem" in [kind for kind, *_ in secrets.find_secrets(f"key: {text} end")]
+    assert not any(x in secrets.redact(f"key: {text} end") for x in lines)
+    bare = "".join(around.format(x) for x in lines)
+    if not around.startswith("+"):
+        assert not any(x in secrets.redact(f"key: {bare} the end") for x in lines)
+
+
 def test_redaction_covers_overlaps(ready):
     text = "x password=0123456789abcdef01 y"
     assert secrets.redact(text) == "x [SECRET] y" and secrets.redact(None) is None
