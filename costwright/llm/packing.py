@@ -70,8 +70,9 @@ class Words(dict):
         """Ids of a text, little-endian unsigned 32-bit."""
         if "<|" in text:  # may hold a special token, which is found before normalising
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isascii() or not _NOT_LATIN.search(text) and unicodedata.is_normalized("NFC", text):
-            words = _LATIN_WORDS.findall(text.lower())
+        low = text.lower()  # some Latin capitals have small letters beyond the range
+        if text.isascii() or not _NOT_LATIN.search(text) and not _NOT_LATIN.search(low) and unicodedata.is_normalized("NFC", text):
+            words = _LATIN_WORDS.findall(low)
         else:
             words = _WORDS.findall(self.normalizer.normalize_str(text))
         return b"".join(map(self.__getitem__, words))

@@ -67,6 +67,14 @@ def test_bpe_of_an_empty_table(ready):
     assert bpe.decode(bpe.encode(frame(ready, []), BYTE_BPE), BYTE_BPE).count() == 0
 
 
+def test_ids_of_all_latin_letters_equal_library():
+    words, library = packing.load(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    for code in range(0x250):
+        for text in (chr(code), f"ab{chr(code)}cd {chr(code)}x 1{chr(code)}"):
+            ids = np.frombuffer(words.ids(text), "<u4").tolist()
+            assert ids == library.encode(text, add_special_tokens=False).ids, hex(code)
+
+
 def test_cuts_fill_classes():
     for length in [*range(1, 3000), 4096, 4097, 8192, 100_001]:
         pieces = packing.cuts(length)
