@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwright.llm import bpe, classifier, hnsw, html_crf, jaccard, ngram_trie, packing, quality, secrets, warc_zip
-from costwright.llm.shared import crc_fold, shipped, table
+from costwright.llm import (
+    bpe,
+    classifier,
+    exact,
+    hnsw,
+    html_crf,
+    jaccard,
+    merkle,
+    ngram_trie,
+    packing,
+    periodic,
+    quality,
+    secrets,
+    warc_zip,
+)
+from costwright.llm.oracle import ORACLE_SQL as ORACLE_SQL
+from costwright.llm.shared import SPACE, crc_fold, id_text, shipped, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +101,48 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_veb_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(crc_fold("doc_id", 5) == 0, merkle.record_digest(*others, small))
+    manifest = merkle.build(docs, merkle.record_digest(*others, F.col("text")), carry={"tampered": tampered})
+    return merkle.proofs(manifest, claimed="tampered").drop("tampered")
+
+
+def op12_progressive_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Of each tenth document by the hash of its id, the words from some place on repeat with some period."""
+    words = F.filter(F.split("text", f"{SPACE}+"), lambda w: w != "")
+    h = F.crc32(id_text("doc_id").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.select("*", F.size("words").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr(
+        "concat(slice(words, 1, cast(a as int)), slice(flatten(array_repeat("
+        "slice(words, cast(a + 1 as int), cast(p as int)), cast((n - a) div p + 1 as int))), 1, cast(n - a as int)))"
+    )
+    text = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(planted, " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = "concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')))"
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -109,7 +167,8 @@ QUERIES: dict[str, Query] = {
         op8_secret_structures,
         op9_subword_classifier,
         op10_harmonic_packing,
+        op11_veb_merkle_manifest,
+        op12_progressive_exact,
+        op13_periodic_runs,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
