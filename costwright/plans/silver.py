@@ -50,6 +50,53 @@ def price_interval_join(usage: DataFrame, prices: DataFrame, as_of: date) -> Dat
     return u.join(p, on, "left").select("u.*", "p.price_per_unit", "p.currency_code")
 
 
+def price_interval_join_sliced(
+    usage: DataFrame,
+    prices: DataFrame,
+    as_of: date,
+    first: date,
+    last: date,
+    slice_days: int = 30,
+) -> DataFrame:
+    """The same rows as `price_interval_join`, for price lists with very many intervals.
+
+    Time is cut into slices. A price is repeated for each slice that its interval touches, a
+    record belongs to one slice, and the join is on SKU, cloud and slice with the interval
+    as residual. So a record is compared with the prices of its slice and not with all of its
+    SKU, and a hot SKU is spread over its slices. Usage must start between `first` and
+    `last`, both included, which bounds the slices of an open or very long interval; a record
+    outside is an error.
+    """
+    origin, ends = F.lit(first).cast("timestamp"), F.lit(last + timedelta(days=1)).cast("timestamp")
+
+    def slice_of(time: Column) -> Column:
+        return F.floor((F.unix_seconds(time) - F.unix_seconds(origin)) / (slice_days * 86400))
+
+    start = F.col("usage_start_time")
+    outside = F.raise_error(F.lit(f"usage before {first} or after {last}")).cast("bigint")
+    within = start.isNull() | ((start >= origin) & (start < ends))
+    u = usage.withColumn("_slice", F.when(within, slice_of(start)).otherwise(outside)).alias("u")
+
+    begin = F.greatest(F.col("price_start_time"), origin)
+    # the last moment that the interval holds
+    end = F.least(F.col("price_end_time"), ends) - F.expr("INTERVAL 1 MICROSECOND")
+    slices = F.sequence(slice_of(begin), slice_of(end))
+    p = (
+        price_intervals(prices, as_of)
+        .where((F.col("price_start_time") < ends) & (F.col("price_end_time") > origin))
+        .withColumn("_slice", F.explode(slices))
+        .alias("p")
+    )
+    on = (
+        (F.col("u.sku_name") == F.col("p.sku_name"))
+        & (F.col("u.cloud") == F.col("p.cloud"))
+        & (F.col("u._slice") == F.col("p._slice"))
+        & (F.col("u.usage_start_time") >= F.col("p.price_start_time"))
+        & (F.col("u.usage_start_time") < F.col("p.price_end_time"))
+    )
+    return u.join(p, on, "left").select("u.*", "p.price_per_unit", "p.currency_code").drop("_slice")
+
+
 def with_cost(priced: DataFrame) -> DataFrame:
     """Quantity times price; a record without a price costs zero and stays."""
     price = F.coalesce("price_per_unit", F.lit(0).cast(PRICE))

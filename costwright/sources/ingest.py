@@ -1,16 +1,20 @@
-"""The daily full refresh of the bronze, silver and gold tables."""
+"""The bronze, silver and gold tables: full refresh, readers, and late records."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costwright import schemas
+from costwright.functions.dates import last_days
 from costwright.plans import gold, silver
 from costwright.sources import bronze
-from costwright.sources.tables import write_table
+from costwright.sources.tables import replace_partitions, write_table
+
+Source = str | DataFrame
 
 LAYERS = ("bronze", "silver", "gold")
 
@@ -23,41 +27,68 @@ ROLLUPS = {
 }
 
 
+@dataclass(frozen=True)
+class Layers:
+    """The written layers under a prefix. Windows are literal ranges of the partition column."""
+
+    spark: SparkSession
+    prefix: str = ""
+
+    def name(self, layer: str, table: str) -> str:
+        return f"{self.prefix}{layer}.{table}"
+
+    def usage_enriched(self, as_of: date, days: int) -> DataFrame:
+        table = self.spark.table(self.name("silver", "usage_enriched"))
+        return table.where(last_days(as_of, days))
+
+    def rollup(self, table: str, as_of: date, days: int) -> DataFrame:
+        """A gold table's window: daily_cost, cost_by_user, cost_by_tags or cost_by_resource."""
+        return self.spark.table(self.name("gold", table)).where(last_days(as_of, days))
+
+    def clusters(self) -> DataFrame:
+        return self.spark.table(self.name("bronze", "clusters"))
+
+    def prices(self) -> DataFrame:
+        return self.spark.table(self.name("bronze", "list_prices"))
+
+
 def refresh(
     spark: SparkSession,
-    usage: str,
-    prices: str,
-    clusters: str,
-    job_runs: str,
+    usage: Source,
+    prices: Source,
+    clusters: Source,
+    job_runs: Source,
     as_of: date,
     days: int = 7,
     prefix: str = "",
 ) -> DataFrame:
-    """Rebuild every layer from the named sources; returns the rows per table.
+    """Rebuild every layer from its sources; returns the rows per table.
 
-    Usage must be readable. The other sources may be missing, which makes their
-    tables empty and usage unpriced. Each layer reads the written layer before it,
-    so the price join runs once for all rollups. Usage is laid out by month, the
-    rollups by date, so later windows read only their own folders.
+    A source is a table's name, a path or a DataFrame. Usage must be readable. The other named
+    sources may be missing, which makes their tables empty and usage unpriced. Each layer
+    reads the written layer before it, so the price join runs once for all rollups. Usage
+    and rollups are laid out by date, so later windows read only their own folders.
     """
-
-    def name(layer: str, table: str) -> str:
-        return f"{prefix}{layer}.{table}"
+    layers = Layers(spark, prefix)
+    name = layers.name
 
     def keep(df: DataFrame, layer: str, table: str, *partition_by: str) -> DataFrame:
         write_table(df, name(layer, table), "overwrite", list(partition_by) or None)
         return spark.table(name(layer, table))
 
-    source = spark.read.parquet(usage) if "/" in usage else spark.table(usage)
+    def load(source: Source, schema):
+        if isinstance(source, DataFrame):
+            return source
+        return bronze.load_or_empty(spark, source, schema)
+
+    if isinstance(usage, str):
+        usage = spark.read.parquet(usage) if "/" in usage else spark.table(usage)
     for layer in LAYERS:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {prefix}{layer}")
 
-    def load(source_name, schema):
-        return bronze.load_or_empty(spark, source_name, schema)
-
     tables = {}
     records = keep(
-        bronze.billing_usage(source, as_of, days), "bronze", "billing_usage", "usage_month"
+        by_date(bronze.billing_usage(usage, as_of, days)), "bronze", "billing_usage", "usage_date"
     )
     tables[name("bronze", "billing_usage")] = records
     price_list = keep(
@@ -71,13 +102,41 @@ def refresh(
         bronze.job_runs(load(job_runs, schemas.JOB_RUNS), as_of, days), "bronze", "job_runs"
     )
     enriched = keep(
-        silver.usage_enriched(records, price_list, as_of),
-        "silver", "usage_enriched", "usage_month",
+        by_date(silver.usage_enriched(records, price_list, as_of)),
+        "silver", "usage_enriched", "usage_date",
     )
     tables[name("silver", "usage_enriched")] = enriched
     for table, rollup in ROLLUPS.items():
-        # Aggregated rows of all dates lie in every task; gather them by date, or each
-        # task would write a small file per date. AQE splits a date that grows too big.
-        by_date = rollup(enriched).hint("rebalance", F.col("usage_date"))
-        tables[name("gold", table)] = keep(by_date, "gold", table, "usage_date")
+        tables[name("gold", table)] = keep(
+            by_date(rollup(enriched)), "gold", table, "usage_date"
+        )
     return bronze.row_counts(tables)
+
+
+def by_date(df: DataFrame) -> DataFrame:
+    """Rows gathered by date for the write: rows of all dates lie in every task, each of
+    which would write a small file per date. AQE splits a date that grows too big."""
+    return df.hint("rebalance", F.col("usage_date"))
+
+
+def apply_late(layers: Layers, late: DataFrame, as_of: date) -> list[date]:
+    """Bring silver and gold up to date with records that came late; returns the dates touched.
+
+    `late` are bronze usage records. Only they are priced; silver partitions of their dates are
+    written again with them, replacing records of the same id, so applying them twice changes
+    nothing. Each rollup is recomputed for these dates alone. Other dates are neither read nor
+    written: the dates, of which there are as many as days at most, become literals.
+    """
+    spark = layers.spark
+    dates = sorted(r[0] for r in late.select("usage_date").distinct().collect() if r[0])
+    if not dates:
+        return dates
+    target = layers.name("silver", "usage_enriched")
+    touched = F.col("usage_date").isin(dates)
+    kept = spark.table(target).where(touched).join(late.select("record_id"), "record_id", "left_anti")
+    enriched = silver.usage_enriched(late.where(touched), layers.prices(), as_of)
+    replace_partitions(by_date(kept.unionByName(enriched)), target)
+    for table, rollup in ROLLUPS.items():
+        changed = rollup(spark.table(target).where(touched))
+        replace_partitions(by_date(changed), layers.name("gold", table))
+    return dates

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costwright import schemas
@@ -13,7 +13,10 @@ MODES = ("overwrite", "append", "errorifexists")
 
 
 def create_audit_tables(spark: SparkSession, database: str) -> int:
-    """Create the schema and its audit tables where missing; returns how many exist."""
+    """Create the schema and its audit tables where missing; returns how many exist.
+
+    All are partitioned by run, the unit that is stored and replaced as a whole.
+    """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database}")
     for name, schema in schemas.AUDIT.items():
         defaults = schemas.AUDIT_DEFAULTS[name]
@@ -26,13 +29,11 @@ def create_audit_tables(spark: SparkSession, database: str) -> int:
                 value = defaults[field.name]
                 text += f" DEFAULT {value!r}"
             columns.append(text)
-        layout = ""
         if name in schemas.AUDIT_TIME_COLUMN:
             columns.append(f"{_day_column(name)} date")
-            layout = f"PARTITIONED BY ({_day_column(name)})"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({', '.join(columns)}) "
-            f"USING parquet {layout}"
+            "USING parquet PARTITIONED BY (run_id)"
         )
     present = {t.name for t in spark.catalog.listTables(database)}
     missing = set(schemas.AUDIT) - present
@@ -83,9 +84,8 @@ def merge_upsert(
     inserted; a NULL key matches nothing. Two source rows for one target row are an
     error, raised while the result is read.
 
-    Update and insert are a left and an anti join, both of which Spark can split at a
-    hot key; a full outer join it cannot. Repeated source keys are folded to one row
-    before the join.
+    One full outer join, so that both sides are evaluated once. Rows with a NULL key are
+    spread over the tasks, as they meet nobody.
     """
     if update_columns is None:
         update_columns = [c for c in source.columns if c not in keys]
@@ -93,29 +93,48 @@ def merge_upsert(
     if unknown:
         raise ValueError(f"source columns missing from the target: {sorted(unknown)}")
 
-    folded = source.groupBy(*keys).agg(
-        F.count("*").alias("_rows"),
-        F.first(F.struct(F.lit(1).alias("_matched"), *update_columns)).alias("_new"),
-    )
+    def sided(df, side, first_row):
+        unmatched = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        place = F.when(unmatched, first_row + F.monotonically_increasing_id()).otherwise(0)
+        named = [F.col(c).alias(f"{side}_{c}") for c in df.columns]
+        return df.select(*named, place.alias(f"{side}__place"), F.lit(True).alias(f"{side}__row"))
+
+    old, new = sided(target, "old", F.lit(1)), sided(source, "new", F.lit(1 << 60))
+    joined_on = [*keys, "_place"]
+    same_key = Window.partitionBy(*[f"new_{k}" for k in joined_on])
+    new = new.withColumn("new__rows", F.count("*").over(same_key))
+    condition = [F.col(f"old_{k}") == F.col(f"new_{k}") for k in joined_on]
     # A filter above the join, as an unread column would be pruned with its check.
     error = F.raise_error(F.lit("several source rows match one target row")).cast("boolean")
-    updated = (
-        target.join(folded, keys, "left")
-        .where(F.when(F.col("_rows") > 1, error).otherwise(F.lit(True)))
-        .withColumn("_hit", F.col("_new")["_matched"] == 1)
-        .select(*[
-            F.when(F.col("_hit"), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
-            if c in update_columns
-            else F.col(c)
-            for c in target.columns
-        ])
+    twice = F.col("old__row") & (F.col("new__rows") > 1)
+    rows = old.join(new, condition, "full").where(F.when(twice, error).otherwise(F.lit(True)))
+
+    def value(c):
+        if c not in source.columns:
+            return F.col(f"old_{c}")
+        from_source = F.col("new__row").isNotNull() if c in update_columns else F.col("old__row").isNull()
+        return F.when(from_source, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}"))
+
+    return rows.select(*[value(c).alias(c) for c in target.columns])
+
+
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """Write the partitions of a table that `df` has rows for; all others keep their files.
+
+    By path, as Spark refuses a table that is both read and overwritten. With dynamic
+    partitions that is safe: files are replaced only after all new ones are written.
+    """
+    spark = df.sparkSession
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    details = dict(
+        (r["col_name"], r["data_type"])
+        for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
     )
-    absent = [
-        F.col(f.name) if f.name in source.columns else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in target.schema.fields
-    ]
-    inserted = source.join(target.select(*keys), keys, "left_anti").select(*absent)
-    return updated.unionByName(inserted)
+    writer = df.select(*spark.table(name).columns).write.mode("overwrite").partitionBy(*parts)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(details["Location"])
+    if details.get("Partition Provider") == "Catalog":
+        spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
 
 
 def merge_into_table(
@@ -135,17 +154,7 @@ def merge_into_table(
     touched = source.select(*[F.col(c).alias(f"_{c}") for c in parts]).distinct()
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts]
     merged = merge_upsert(target.join(touched, same, "left_semi"), source, keys, update_columns)
-    # By path, as Spark refuses a table that is both read and overwritten. With dynamic
-    # partitions that is safe: files are replaced only after all new ones are written.
-    details = dict(
-        (r["col_name"], r["data_type"])
-        for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
-    )
-    writer = merged.select(*target.columns).write.mode("overwrite").partitionBy(*parts)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(details["Location"])
-    if details.get("Partition Provider") == "Catalog":
-        spark.catalog.recoverPartitions(name)
-    spark.catalog.refreshTable(name)
+    replace_partitions(merged, name)
 
 
 def _as_audit_rows(df: DataFrame, table: str) -> DataFrame:
@@ -297,11 +306,63 @@ def run_row(
     )
 
 
+def _storable(rows: DataFrame, table: str) -> DataFrame:
+    """The rows with the day of their time; one that lacks a required value is an error.
+
+    Parquet columns are nullable whatever the table says, so the check is part of the
+    write: it sits in the written column and cannot be pruned.
+    """
+    required = [f.name for f in schemas.AUDIT[table].fields if not f.nullable]
+    lacking = sorted(set(required) - set(rows.columns))
+    if lacking:
+        raise ValueError(f"{table} requires {lacking}")
+    checked = {
+        c: F.when(
+            F.col(c).isNull(), F.raise_error(F.lit(f"{c} of {table} is required"))
+            .cast(rows.schema[c].dataType)
+        ).otherwise(F.col(c))
+        for c in required
+    }
+    rows = rows.withColumns(checked)
+    if table in schemas.AUDIT_TIME_COLUMN:
+        rows = rows.withColumn(
+            _day_column(table), F.to_date(schemas.AUDIT_TIME_COLUMN[table])
+        )
+    return rows
+
+
 def append_audit(rows: DataFrame, database: str, table: str, dry_run: bool = False) -> None:
     """Append to an audit table; a dry run writes nothing."""
-    if dry_run:
-        return
-    if table in schemas.AUDIT_TIME_COLUMN:
-        day = F.to_date(schemas.AUDIT_TIME_COLUMN[table])
-        rows = rows.withColumn(_day_column(table), day)
-    write_table(rows, f"{database}.{table}", mode="append")
+    if not dry_run:
+        write_table(_storable(rows, table), f"{database}.{table}", mode="append")
+
+
+def insert_partial(rows: DataFrame, database: str, table: str) -> None:
+    """Append rows that have only some of the columns; the catalog's defaults fill the rest."""
+    stored = _storable(rows, table)
+    columns = ", ".join(stored.columns)
+    stored.sparkSession.sql(
+        f"INSERT INTO {database}.{table} ({columns}) SELECT {columns} FROM {{rows}}", rows=stored
+    )
+
+
+def replace_run(rows: DataFrame, database: str, table: str, run_id: str) -> None:
+    """Store the rows of a run in place of those that an earlier attempt of it stored.
+
+    The run is a partition, which is overwritten, also by no rows at all; other runs keep
+    their files. A row of another run is an error.
+    """
+    other = F.raise_error(F.lit(f"a row of another run than {run_id}"))
+    stored = _storable(rows, table).withColumn(
+        "run_id", F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(other)
+    )
+    columns = [c for c in stored.columns if c != "run_id"]
+    # A filter on the run keeps its check, as the column itself becomes the partition's name.
+    stored = stored.where(F.col("run_id") == run_id)
+    names = ", ".join(columns)
+    stored.sparkSession.sql(
+        f"INSERT OVERWRITE TABLE {database}.{table} PARTITION (run_id = {{run}}) ({names}) "
+        f"SELECT {names} FROM {{rows}}",
+        rows=stored,
+        run=run_id,
+    )

@@ -188,3 +188,61 @@ def test_unknown_dimension(spark, bad):
         cost.cost_trend(rows.daily(spark, (0, 1)), AS_OF, granularity=bad)
     with pytest.raises(ValueError):
         cost.top_spenders(df, bad, AS_OF)
+
+
+# ----------------------------------------------------- long price histories
+
+
+def priced_rows(joined):
+    columns = ["record_id", "sku_name", "usage_start_time", "price_per_unit", "currency_code"]
+    return sorted(map(str, joined.select(*columns).collect()))
+
+
+def sliced(u, p, first=datetime(2001, 6, 1).date(), last=datetime(2001, 7, 31).date(), days=30):
+    return silver.price_interval_join_sliced(u, p, AS_OF, first, last, days)
+
+
+def test_sliced_join_has_the_rows_of_the_plain_one(spark):
+    """Boundaries, overlaps, open and very long intervals, slices of every width."""
+    instants = [START + timedelta(hours=h) for h in (-700, -1, 0, 1, 23, 24, 25, 240, 719, 720)]
+    u = usage(
+        spark, *[(str(i), t) for i, t in enumerate(instants)], ("none", None), ("other", START, "B"),
+        ("no sku", START, None), ("edge", datetime(2001, 7, 31, 23, 59, 59, 999999)),
+    )
+    p = prices(
+        spark, (START, START + timedelta(days=1), "1"), (START, None, "2"),
+        (datetime(1, 1, 2), datetime(9999, 12, 31), "3"), (START, START, "4"),
+        (START + timedelta(days=1), START + timedelta(hours=25), "5"),
+        (datetime(2001, 6, 1), START, "6", "B"), (datetime(2002, 1, 1), datetime(2003, 1, 1), "7"),
+        (datetime(2000, 1, 1), datetime(2001, 6, 1), "8"),
+    )
+    plain = priced_rows(silver.price_interval_join(u, p, AS_OF))
+    for days in (1, 7, 30, 400):
+        assert priced_rows(sliced(u, p, days=days)) == plain
+    assert sliced(u, p).columns == silver.price_interval_join(u, p, AS_OF).columns
+
+
+def test_usage_outside_the_slices_is_an_error(spark):
+    for at in (datetime(2001, 5, 31, 23), datetime(2001, 8, 1)):
+        with pytest.raises(Exception, match="usage before"):
+            sliced(usage(spark, ("x", at)), prices(spark, (START, None, "1"))).count()
+
+
+def test_sliced_join_with_ten_thousand_intervals(spark):
+    """One hot SKU: a record meets the prices of its slice, and its records spread over slices."""
+    hour = "TIMESTAMP '2001-06-01 00:00:00' + make_interval(0, 0, 0, 0, CAST({} AS INT))"
+    listed = spark.range(10_000).selectExpr(
+        f"{hour.format('id / 7')} AS price_start_time",
+        f"{hour.format('id / 7 + 1')} AS price_end_time", "'acc' AS account_id",
+        "'A' AS sku_name", "'AWS' AS cloud", "'USD' AS currency_code", "'DBU' AS usage_unit",
+        "struct(CAST(id AS DECIMAL(10,4)) AS `default`) AS pricing",
+    )
+    used = spark.range(3000).selectExpr(
+        "CAST(id AS STRING) AS record_id", "'A' AS sku_name", "'AWS' AS cloud",
+        f"{hour.format('(id * 37) % 1440')} AS usage_start_time",
+        "CAST(1 AS DECIMAL(18,4)) AS usage_quantity",
+    )
+    joined = sliced(used, listed, days=1)
+    assert priced_rows(joined) == priced_rows(silver.price_interval_join(used, listed, AS_OF))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and "Generate explode" in plan

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -281,3 +282,123 @@ def test_refresh_needs_usage(spark, tmp_path):
     missing = str(tmp_path / "missing")
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         full.refresh(spark, missing, missing, missing, missing, AS_OF)
+
+
+# ------------------------------------------------- stored runs and defaults
+
+
+def test_a_run_is_stored_once_however_often_it_is_written(spark):
+    database = "stored_runs"
+    tables.create_audit_tables(spark, database)
+    _, found = findings(spark)
+    name = f"{database}.findings"
+    for run in ("a", "b", "a"):
+        tables.replace_run(tables.findings_rows(found, run), database, "findings", run)
+    before = {f for f in spark.table(name).inputFiles() if "run_id=b" in f}
+    tables.replace_run(tables.findings_rows(found.limit(1), "a"), database, "findings", "a")
+    counts = {r["run_id"]: r["count"] for r in dicts(spark.table(name).groupBy("run_id").count())}
+    assert counts == {"a": 1, "b": found.count()}
+    tables.replace_run(tables.findings_rows(found.limit(0), "a"), database, "findings", "a")
+    assert {r["run_id"] for r in dicts(spark.table(name))} == {"b"}
+    assert before and before == set(spark.table(name).inputFiles())
+    with pytest.raises(Exception, match="another run"):
+        tables.replace_run(tables.findings_rows(found, "c"), database, "findings", "a")
+
+
+def test_partial_rows_take_defaults_and_required_values_are_enforced(spark):
+    database = "partial_rows"
+    tables.create_audit_tables(spark, database)
+    at = F.lit(START)
+    one_row = spark.range(1).select(F.lit("r").alias("run_id"), at.alias("started_at"))
+    tables.insert_partial(one_row, database, "runs")
+    stored = one(spark.table(f"{database}.runs"))
+    assert (stored["run_id"], stored["findings_count"], stored["llm_tokens"]) == ("r", 0, 0)
+    assert stored["status"] is None
+    with pytest.raises(ValueError, match="started_at"):
+        tables.insert_partial(one_row.drop("started_at"), database, "runs")
+    no_id = one_row.withColumn("run_id", F.lit(None).cast("string"))
+    for write in (tables.insert_partial, tables.append_audit):
+        with pytest.raises(Exception, match="run_id of runs is required"):
+            write(no_id, database, "runs")
+    assert spark.table(f"{database}.runs").count() == 1
+
+
+def test_upsert_evaluates_both_sides_once(spark):
+    target = spark.createDataFrame([(1, "x", "x")], TARGET)
+    spark.createDataFrame([(2, "y", "y")], TARGET).write.mode("overwrite").saveAsTable("upsert_from")
+    target.write.mode("overwrite").saveAsTable("upsert_into")
+    merged_rows = tables.merge_upsert(spark.table("upsert_into"), spark.table("upsert_from"), ["k"])
+    plan = merged_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upsert_into") <= 1 and plan.count("Relation ") == 2
+
+
+# ------------------------------------------------------- layers kept up to date
+
+
+def billing(spark, *records):
+    """Bronze usage: (id, days before AS_OF, quantity)."""
+    columns = "id string, ago int, usage_quantity decimal(18,4)"
+    rows_in = spark.createDataFrame([(i, a, q) for i, a, q in records], columns)
+    day = F.date_sub(F.lit(AS_OF), F.col("ago"))
+    known = {
+        "record_id": F.col("id"), "workspace_id": F.lit("ws"), "sku_name": F.lit("s"),
+        "cloud": F.lit("AWS"), "usage_start_time": day.cast("timestamp"), "usage_date": day,
+        "usage_quantity": F.col("usage_quantity"),
+        "usage_metadata": F.struct(*[
+            F.lit("job" if n == "job_id" else None).cast("string").alias(n)
+            for n in schemas.USAGE_METADATA.names]),
+    }
+    return rows_in.select(*[
+        known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schemas.BILLING_USAGE.fields])
+
+
+def price(spark):
+    row = (datetime(2000, 1, 1), None, None, "s", "AWS", "USD", "DBU", (Decimal("2.0000"),))
+    return spark.createDataFrame([row], schemas.LIST_PRICES)
+
+
+def test_late_records_touch_their_dates_only(spark):
+    from costwright.sources import ingest as full
+
+    empty = [spark.createDataFrame([], s) for s in (schemas.CLUSTERS, schemas.JOB_RUNS)]
+    first = [("a", 1, Decimal(1)), ("b", 2, Decimal(2)), ("c", 3, Decimal(3))]
+    full.refresh(spark, billing(spark, *first), price(spark), *empty, AS_OF, 7, "late_")
+    layers = full.Layers(spark, "late_")
+    old = str(AS_OF - timedelta(days=3))
+
+    def files():
+        return {f for n in ("late_silver.usage_enriched", "late_gold.daily_cost")
+                for f in spark.table(n).inputFiles() if old in f}
+
+    before = files()
+    # one new record, one that replaces a known one, one for a date without records
+    late = [("d", 1, Decimal(10)), ("b", 2, Decimal(5)), ("e", 5, Decimal(7))]
+    for _ in range(2):
+        dates = full.apply_late(
+            layers, bronze.billing_usage(billing(spark, *late), AS_OF, 7), AS_OF)
+    assert dates == [AS_OF - timedelta(days=n) for n in (5, 2, 1)]
+    assert full.apply_late(layers, bronze.billing_usage(billing(spark), AS_OF, 7), AS_OF) == []
+    assert before and before == files()
+
+    everything = [first[0], first[2], *late]
+    full.refresh(spark, billing(spark, *everything), price(spark), *empty, AS_OF, 7, "whole_")
+    whole = full.Layers(spark, "whole_")
+    for name in full.ROLLUPS:
+        got, expected = (sorted(map(str, x.rollup(name, AS_OF, 7).collect())) for x in (layers, whole))
+        assert got == expected and len(got) == 4
+    got, expected = (sorted(map(str, x.usage_enriched(AS_OF, 7).collect())) for x in (layers, whole))
+    assert got == expected
+
+
+def test_windows_read_their_partitions_and_reports_read_no_source(spark):
+    from workload import layers, queries
+
+    written = layers.stored(spark, SF_DIR)
+    assert layers.stored(spark, SF_DIR) is written
+    plan = written.rollup("daily_cost", AS_OF, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_date" in plan
+    for query in (queries.report_text, queries.findings_report, queries.prioritize_recommendations):
+        plan = query(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "l_shipdate" not in plan
+    assert plan.count("price_start_time") == 0

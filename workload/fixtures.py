@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -168,6 +168,28 @@ def price_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def usage_span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """The first and last date of all usage records."""
+    day = F.to_date("l_shipdate")
+    return tuple(table(spark, sf_dir, "lineitem").agg(F.min(day), F.max(day)).first())
+
+
+def price_history_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that change on every date on which their SKU was used; the last one stays open."""
+    used = usage_source(spark, sf_dir).select("sku_name", "cloud", "usage_date").distinct()
+    until = F.lead("usage_date").over(Window.partitionBy("sku_name", "cloud").orderBy("usage_date"))
+    changes = used.withColumn("until", until)
+    current = price_source(spark, sf_dir).where("price_end_time IS NULL")
+    kind = PRICE.simpleString()
+    step = "CAST(dayofyear(usage_date) % 50 AS DECIMAL(4,0)) * CAST(0.0001 AS DECIMAL(5,4))"
+    return current.join(changes, ["sku_name", "cloud"]).selectExpr(
+        "CAST(usage_date AS TIMESTAMP) AS price_start_time",
+        "CAST(until AS TIMESTAMP) AS price_end_time",
+        "account_id", "sku_name", "cloud", "currency_code", "usage_unit",
+        f"struct(CAST(pricing.`default` + {step} AS {kind}) AS `default`) AS pricing",
+    )
+
+
 def cluster_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configuration versions of most clusters; the rest have no metadata."""
     key = F.col("s_suppkey")

@@ -234,13 +234,109 @@ UNION ALL SELECT 'gold.cost_by_tags', count(*) FROM (
                   tag_costcenter FROM silver WHERE {window(90)})
 UNION ALL SELECT 'gold.cost_by_resource', count(*) FROM cost_by_resource WHERE {window(90)}""")
 
+
+def profile(name: str, source: str, cost: str = "", days: int | None = 90) -> str:
+    dated = days is not None
+    return f"""
+SELECT '{name}' AS table_name, count(*) AS row_count,
+       {'min(usage_date)' if dated else 'CAST(NULL AS DATE)'} AS first_date,
+       {'max(usage_date)' if dated else 'CAST(NULL AS DATE)'} AS last_date,
+       {'count(DISTINCT usage_date)' if dated else 'CAST(0 AS BIGINT)'} AS dates,
+       {r(f'sum({cost})', 4) if cost else 'CAST(NULL AS DOUBLE)'} AS cost_usd
+FROM {source} {f"WHERE {window(days)}" if dated else ''}"""
+
+
+COST_BY_TAGS = """
+cost_by_tags AS (
+  SELECT usage_date, workspace_id, tag_environment, tag_project, tag_team, tag_costcenter,
+         sum(usage_quantity) AS total_usage, sum(estimated_cost_usd) AS total_cost_usd,
+         count(*) AS record_count
+  FROM silver GROUP BY usage_date, workspace_id, tag_environment, tag_project, tag_team,
+                       tag_costcenter
+)"""
+ROLLUPS = ("daily_cost", "cost_by_user", "cost_by_tags", "cost_by_resource")
+
+oracle("refresh_layers", " UNION ALL ".join([
+    profile("bronze.billing_usage", "usage"),
+    profile("bronze.list_prices", "prices", days=None),
+    profile("bronze.clusters", "clusters", days=None),
+    profile("silver.usage_enriched", "silver", "estimated_cost_usd"),
+    *(profile(f"gold.{name}", name, "total_cost_usd") for name in ROLLUPS),
+    f"""
+SELECT 'bronze.job_runs', count(*), NULL, NULL, 0, NULL FROM orders
+WHERE {window(90, 'CAST(o_orderdate AS DATE)')}""",
+]), COST_BY_TAGS)
+
+oracle("stored_rollups", " UNION ALL ".join(f"""
+SELECT usage_date, '{name}' AS rollup, count(*) AS rows,
+       CAST(sum(total_usage) AS DOUBLE) AS total_usage,
+       CAST(sum(total_cost_usd) AS DOUBLE) AS total_cost_usd
+FROM {name} WHERE {window(30)} GROUP BY usage_date""" for name in ROLLUPS), COST_BY_TAGS)
+
+_ROLLUP_KEYS = {
+    "daily_cost": ("workspace_id", "sku_name", "billing_origin_product"),
+    "cost_by_user": ("workspace_id", "user_email"),
+    "cost_by_tags": ("workspace_id", "tag_environment", "tag_project", "tag_team",
+                     "tag_costcenter"),
+    "cost_by_resource": ("workspace_id", "resource_type", "resource_id"),
+}
+oracle("late_records", " UNION ALL ".join(f"""
+SELECT usage_date, '{name}' AS rollup, concat_ws('|', {', '.join(keys)}) AS keys,
+       CAST(total_usage AS DOUBLE) AS total_usage,
+       CAST(total_cost_usd AS DOUBLE) AS total_cost_usd
+FROM {name} WHERE {window(30)}""" for name, keys in _ROLLUP_KEYS.items()), COST_BY_TAGS)
+
+oracle("merge_into_table", f"""
+SELECT coalesce(f.usage_date, u.usage_date) AS usage_date, count(*) AS rows,
+       CAST(sum(CASE WHEN f.n IS NULL THEN u.total_usage ELSE f.total_usage END) AS DOUBLE)
+         AS total_usage,
+       CAST(sum(CASE WHEN u.n IS NULL THEN f.total_cost_usd ELSE u.total_cost_usd END) AS DOUBLE)
+         AS total_cost_usd,
+       CAST(sum(CASE WHEN u.n IS NULL THEN f.record_count ELSE u.record_count END) AS BIGINT)
+         AS record_count,
+       CASE WHEN bool_or({window(30, 'coalesce(f.usage_date, u.usage_date)')})
+            THEN 'true' ELSE 'false' END AS rewritten
+FROM first_load f FULL JOIN recent u
+  ON f.usage_date = u.usage_date AND f.workspace_id = u.workspace_id
+ AND f.sku_name = u.sku_name AND f.billing_origin_product = u.billing_origin_product
+GROUP BY coalesce(f.usage_date, u.usage_date)""",
+       f"""
+first_load AS (
+  SELECT usage_date, workspace_id, sku_name, billing_origin_product,
+         sum(usage_quantity) AS total_usage, sum(estimated_cost_usd) AS total_cost_usd,
+         count(*) AS record_count, 1 AS n
+  FROM silver WHERE usage_quantity < 25 AND {window(90)}
+  GROUP BY usage_date, workspace_id, sku_name, billing_origin_product
+),
+recent AS (SELECT *, 1 AS n FROM daily_cost WHERE {window(30)})""")
+
 # ------------------------------------------------------- silver and gold
 
-for _name in ("price_interval_join", "price_interval_join_shuffled"):
+for _name in ("price_interval_join", "price_interval_join_shuffled", "price_interval_join_sliced"):
     oracle(_name, """
 SELECT record_id, sku_name, cloud, usage_date, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
        CAST(price_per_unit AS DOUBLE) AS price_per_unit, currency_code FROM silver""")
 
+oracle("price_history_join", f"""
+SELECT u.record_id, u.sku_name, u.cloud, u.usage_date,
+       CAST(u.usage_quantity AS DOUBLE) AS usage_quantity,
+       CAST(h.price AS DOUBLE) AS price_per_unit,
+       CASE WHEN h.price IS NOT NULL THEN 'USD' END AS currency_code
+FROM usage u LEFT JOIN history h
+  ON u.sku_name = h.sku_name AND u.cloud = h.cloud AND u.usage_date >= h.day
+ AND u.usage_date < coalesce(h.until, {AS_OF} + 1)""", """
+changes AS (
+  SELECT sku_name, cloud, usage_date AS day,
+         lead(usage_date) OVER (PARTITION BY sku_name, cloud ORDER BY usage_date) AS until
+  FROM (SELECT DISTINCT sku_name, cloud, usage_date FROM usage)
+),
+history AS (
+  SELECT c.*, CAST(p.price + CAST(dayofyear(day) % 50 AS DECIMAL(4,0)) * CAST(0.0001 AS DECIMAL(5,4))
+              AS DECIMAL(10,4)) AS price
+  FROM changes c JOIN prices p ON c.sku_name = p.sku_name AND c.cloud = p.cloud
+  WHERE p.price_end_time IS NULL
+)""")
+
 oracle("usage_without_prices", """
 SELECT record_id, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
        0.0::DOUBLE AS estimated_cost_usd FROM usage""")
@@ -666,6 +762,45 @@ EVERY_RECOMMENDATION = "recommended AS (" + " UNION ALL ".join([
 ]) + ")"
 oracle("all_recommendations", "SELECT * FROM recommended", EVERY_RECOMMENDATION)
 
+oracle("stored_runs", f"""
+SELECT 'findings' AS audit_table, run_id, finding_id AS id, category AS type, 'OPEN' AS status,
+       {AS_OF} AS day
+FROM ({finding(EVERY_FINDING, 'upper(severity)')}) f, (VALUES ('run-1'), ('run-2')) r(run_id)
+UNION ALL
+SELECT 'recommendations', run_id, recommendation_id, recommendation_type, 'PROPOSED', {AS_OF}
+FROM recommended, (VALUES ('run-1'), ('run-2')) r(run_id)""",
+       f"{RUN_CTES}, {EVERY_RECOMMENDATION}")
+
+
+def stored_text(**columns: str) -> str:
+    return "concat_ws('|', " + ", ".join(f"'{n}=' || {v}" for n, v in columns.items()) + ")"
+
+
+_AT = "'2001-07-20 06:01:30'"
+_USERS = "(SELECT DISTINCT user_id AS u FROM events WHERE user_id % 10 <> 9)"
+oracle("audit_defaults", f"""
+SELECT 'llm_calls' AS audit_table, {stored_text(
+    call_id="event_id", run_id="'run-' || user_id",
+    called_at="strftime(ts, '%Y-%m-%d %H:%M:%S')", endpoint="event_type")} AS stored
+FROM events
+UNION ALL
+SELECT 'runs', {stored_text(
+    run_id="'run-' || user_id", started_at="strftime(min(ts), '%Y-%m-%d %H:%M:%S')",
+    findings_count="0", recommendations_count="0", llm_calls="0", llm_tokens="0")}
+FROM events GROUP BY user_id
+UNION ALL
+SELECT 'findings', {stored_text(
+    finding_id="'finding-' || u", run_id="'run-1'", detected_at=_AT,
+    finding_type="'anomaly'", severity="'LOW'", status="'OPEN'")} FROM {_USERS}
+UNION ALL
+SELECT 'recommendations', {stored_text(
+    recommendation_id="'do-finding-' || u", run_id="'run-1'", created_at=_AT,
+    recommendation_type="'RIGHT_SIZE'", title="'resize'", status="'PROPOSED'")} FROM {_USERS}
+UNION ALL
+SELECT 'actions', {stored_text(
+    action_id="'act-finding-' || u", run_id="'run-1'", finding_id="'finding-' || u",
+    proposed_at=_AT, action_type="'notify'")} FROM {_USERS}""")
+
 S = "greatest(coalesce(expected_savings_usd_monthly, 0), 0)"
 TIER = f"""CASE WHEN {S} > 1000 THEN 'P0' WHEN {S} >= 500 THEN 'P1' WHEN {S} >= 100 THEN 'P2'
        ELSE 'P3' END"""

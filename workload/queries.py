@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -24,8 +25,8 @@ from costwright.operators import (
     run_metrics,
 )
 from costwright.plans import gold, silver
-from costwright.sources import bronze, tables
-from workload import fixtures
+from costwright.sources import bronze, ingest, tables
+from workload import fixtures, layers
 from workload.fixtures import AS_OF, DAYS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,30 +141,195 @@ def merge_upsert(spark, sf_dir):
     ))
 
 
+COUNTED = (
+    "bronze.billing_usage", "bronze.list_prices", "bronze.clusters", "silver.usage_enriched",
+    *(f"gold.{name}" for name in ingest.ROLLUPS),
+)
+
+
 @query
 def ingest_row_counts(spark, sf_dir):
-    records_in, records = usage(spark, sf_dir), enriched(spark, sf_dir)
-    return bronze.row_counts({
-        "bronze.billing_usage": records_in,
-        "bronze.list_prices": prices(spark, sf_dir),
-        "bronze.clusters": clusters(spark, sf_dir),
-        "silver.usage_enriched": records,
-        "gold.daily_cost": gold.daily_cost(records),
-        "gold.cost_by_user": gold.cost_by_user(records),
-        "gold.cost_by_tags": gold.cost_by_tags(records),
-        "gold.cost_by_resource": gold.cost_by_resource(records),
-    })
+    """Rows per table of the written layers."""
+    written = layers.stored(spark, sf_dir)
+    return bronze.row_counts({n: spark.table(f"{written.prefix}{n}") for n in COUNTED})
+
+
+@query
+def refresh_layers(spark, sf_dir):
+    """A full refresh of all layers, as read back: rows, dates and partitions of each table."""
+    written = layers.refreshed(spark, sf_dir)
+
+    def profile(name):
+        df = spark.table(f"{written.prefix}{name}")
+        date = F.col("usage_date") if "usage_date" in df.columns else F.lit(None).cast("date")
+        cost = next((c for c in df.columns if c in ("estimated_cost_usd", "total_cost_usd")), None)
+        return df.groupBy().agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("row_count"),
+            F.min(date).alias("first_date"),
+            F.max(date).alias("last_date"),
+            F.count_distinct(date).alias("dates"),
+            rounded(F.sum(cost) if cost else F.lit(None), 4).alias("cost_usd"),
+        )
+
+    found = None
+    for name in (*COUNTED, "bronze.job_runs"):
+        found = profile(name) if found is None else found.unionByName(profile(name))
+    return found
+
+
+@query
+def stored_rollups(spark, sf_dir):
+    """Totals per date of each written rollup in the last month; only its folders are read."""
+    written, found = layers.stored(spark, sf_dir), None
+    for name in ingest.ROLLUPS:
+        totals = written.rollup(name, AS_OF, MONTH).groupBy("usage_date").agg(
+            F.lit(name).alias("rollup"), F.count("*").alias("rows"),
+            F.sum("total_usage").alias("total_usage"), F.sum("total_cost_usd").alias("total_cost_usd"),
+        )
+        found = totals if found is None else found.unionByName(totals)
+    return flat(found)
+
+
+@query
+def late_records(spark, sf_dir):
+    """Rollups kept up to date: records of 25 units and more of the last week came late.
+
+    The layers are first written without them, then brought up to date twice.
+    """
+    source = fixtures.usage_source(spark, sf_dir)
+    late = last_days(AS_OF, 7) & (F.col("usage_quantity") >= 25)
+    prefix = f"costwright_{uuid.uuid4().hex[:12]}_"
+    ingest.refresh(
+        spark, source.where(~late), fixtures.price_source(spark, sf_dir),
+        fixtures.cluster_source(spark, sf_dir), fixtures.job_run_source(spark, sf_dir),
+        AS_OF, MONTH, prefix,
+    )
+    written = ingest.Layers(spark, prefix)
+    for _ in range(2):
+        ingest.apply_late(written, bronze.billing_usage(source.where(late), AS_OF, 7), AS_OF)
+    found = None
+    for name in ingest.ROLLUPS:
+        rows = written.rollup(name, AS_OF, MONTH)
+        keys = [c for c, kind in rows.dtypes if kind == "string"]
+        one = rows.select(
+            "usage_date", F.lit(name).alias("rollup"), F.concat_ws("|", *keys).alias("keys"),
+            "total_usage", "total_cost_usd",
+        )
+        found = one if found is None else found.unionByName(one)
+    return flat(found)
+
+
+@query
+def merge_into_table(spark, sf_dir):
+    """The upsert of `merge_upsert` into a written table, a row per date of the result.
+
+    `rewritten` tells whether any file of the date is new: only dates of the last month are.
+    """
+    keys = ["usage_date", "workspace_id", "sku_name", "billing_origin_product"]
+    records = layers.stored(spark, sf_dir).usage_enriched(AS_OF, DAYS)
+    schema = f"costwright_{uuid.uuid4().hex[:12]}"
+    name, before = f"{schema}.daily_cost", f"{schema}.files_before"
+    spark.sql(f"CREATE SCHEMA {schema}")
+    first_load = gold.daily_cost(records.where("usage_quantity < 25"))
+    tables.write_table(ingest.by_date(first_load), name, partition_by=["usage_date"])
+    file = F.col("_metadata.file_path").alias("file")
+    tables.write_table(spark.table(name).select(file).distinct(), before)
+
+    update = gold.daily_cost(records.where(last_days(AS_OF, MONTH)))
+    tables.merge_into_table(update, name, keys, ["total_cost_usd", "record_count"])
+    by_file = spark.table(name).groupBy("usage_date", file).agg(
+        F.count("*").alias("rows"), F.sum("total_usage").alias("total_usage"),
+        F.sum("total_cost_usd").alias("total_cost_usd"), F.sum("record_count").alias("record_count"),
+    )
+    old = spark.table(before).select("file", F.lit(True).alias("old"))
+    return flat(by_file.join(old, "file", "left").groupBy("usage_date").agg(
+        F.sum("rows").alias("rows"), F.sum("total_usage").alias("total_usage"),
+        F.sum("total_cost_usd").alias("total_cost_usd"), F.sum("record_count").alias("record_count"),
+        F.bool_or(F.col("old").isNull()).alias("rewritten"),
+    ))
+
+
+@query
+def stored_runs(spark, sf_dir):
+    """Findings and recommendations of two runs, one of them stored twice, as read back."""
+    database = f"costwright_{uuid.uuid4().hex[:12]}"
+    tables.create_audit_tables(spark, database)
+    _, findings = _run(spark, sf_dir)
+    found = _recommendations(spark, sf_dir)
+    for run in (RUN_ID, "run-2", RUN_ID):
+        tables.replace_run(tables.findings_rows(findings, run), database, "findings", run)
+        rows = tables.recommendations_rows(found, run, RUN_END)
+        tables.replace_run(rows, database, "recommendations", run)
+    stored = spark.table(f"{database}.findings").select(
+        F.lit("findings").alias("audit_table"), "run_id", F.col("finding_id").alias("id"),
+        F.col("finding_type").alias("type"), "status", F.col("detected_date").alias("day"),
+    )
+    return stored.unionByName(spark.table(f"{database}.recommendations").select(
+        F.lit("recommendations").alias("audit_table"), "run_id",
+        F.col("recommendation_id").alias("id"), F.col("recommendation_type").alias("type"),
+        "status", F.col("created_date").alias("day"),
+    ))
+
+
+@query
+def audit_defaults(spark, sf_dir):
+    """Rows with only some columns, inserted into each audit table and read back whole.
+
+    Calls come from the event log, runs from their calls, findings and actions from the
+    findings of each user.
+    """
+    database = f"costwright_{uuid.uuid4().hex[:12]}"
+    tables.create_audit_tables(spark, database)
+    calls = fixtures.call_source(spark, sf_dir)
+    runs = calls.groupBy("run_id").agg(F.min("called_at").alias("started_at"))
+    found = fixtures.finding_source(spark, sf_dir).select(
+        "finding_id", F.lit(RUN_ID).alias("run_id"), F.lit(RUN_END).alias("detected_at"),
+        F.lit("anomaly").alias("finding_type"), F.lit("LOW").alias("severity"),
+    )
+    wanted = found.select(
+        F.concat(F.lit("do-"), "finding_id").alias("recommendation_id"), "run_id",
+        F.lit(RUN_END).alias("created_at"), F.lit("RIGHT_SIZE").alias("recommendation_type"),
+        F.lit("resize").alias("title"),
+    )
+    actions = found.select(
+        F.concat(F.lit("act-"), "finding_id").alias("action_id"), "run_id", "finding_id",
+        F.lit(RUN_END).alias("proposed_at"), F.lit("notify").alias("action_type"),
+    )
+    partial = {
+        "llm_calls": calls.select("call_id", "run_id", "called_at", "endpoint"), "runs": runs,
+        "findings": found, "recommendations": wanted, "actions": actions,
+    }
+    stored = None
+    for name, rows in partial.items():
+        tables.insert_partial(rows, database, name)
+        kept = spark.table(f"{database}.{name}").select(*schemas.AUDIT[name].names)
+        texts = [
+            F.concat(
+                F.lit(f"{c}="),
+                F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind == "timestamp"
+                else F.col(c).cast("string"),
+            )
+            for c, kind in kept.dtypes
+        ]
+        row = F.concat_ws("|", *texts)
+        one = kept.select(F.lit(name).alias("audit_table"), row.alias("stored"))
+        stored = one if stored is None else stored.unionByName(one)
+    return stored
 
 
 # ---------------------------------------------------------------- silver
 
 
+PRICED = [
+    "record_id", "sku_name", "cloud", "usage_date", "usage_quantity", "price_per_unit",
+    "currency_code",
+]
+
+
 def _priced(spark, sf_dir, price_list):
     priced = silver.price_interval_join(usage(spark, sf_dir, ALL_TIME), price_list, AS_OF)
-    return flat(priced.select(
-        "record_id", "sku_name", "cloud", "usage_date", "usage_quantity",
-        "price_per_unit", "currency_code",
-    ))
+    return flat(priced.select(*PRICED))
 
 
 @query
@@ -177,6 +343,27 @@ def price_interval_join_shuffled(spark, sf_dir):
     return _priced(spark, sf_dir, prices(spark, sf_dir).hint("merge"))
 
 
+@query
+def price_interval_join_sliced(spark, sf_dir):
+    """The same join by slices of time, as for a list with very many intervals."""
+    records = usage(spark, sf_dir, ALL_TIME)
+    first, last = fixtures.usage_span(spark, sf_dir)
+    priced = silver.price_interval_join_sliced(
+        records, prices(spark, sf_dir), AS_OF, first, last
+    )
+    return flat(priced.select(*PRICED))
+
+
+@query
+def price_history_join(spark, sf_dir):
+    """Every order date changes all prices: thousands of intervals a SKU, sliced by time."""
+    records = usage(spark, sf_dir, ALL_TIME)
+    first, last = fixtures.usage_span(spark, sf_dir)
+    history = bronze.list_prices(fixtures.price_history_source(spark, sf_dir))
+    priced = silver.price_interval_join_sliced(records, history, AS_OF, first, last)
+    return flat(priced.select(*PRICED))
+
+
 @query
 def usage_without_prices(spark, sf_dir):
     """A price list that is not there: every record stays and costs nothing."""
@@ -400,8 +587,8 @@ def summary_metrics(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    """The run's metrics and findings, both from the daily rollup."""
-    rollup = daily(spark, sf_dir)
+    """The run's metrics and findings, both from the written daily rollup."""
+    rollup = layers.stored(spark, sf_dir).rollup("daily_cost", AS_OF, DAYS)
     metrics = run_metrics.run_metrics(rollup, AS_OF, DAYS)
     findings = run_metrics.all_findings(
         run_metrics.daily_zscore_anomalies(rollup, AS_OF, DAYS, zscore=ZSCORE),
@@ -461,9 +648,9 @@ def rec_serverless(spark, sf_dir):
     return optimize.recommend_serverless(enriched(spark, sf_dir), AS_OF, DAYS)
 
 
-def _recommendations(spark, sf_dir, records=None):
-    records = records or enriched(spark, sf_dir)
-    meta = clusters(spark, sf_dir)
+def _recommendations(spark, sf_dir):
+    written = layers.stored(spark, sf_dir)
+    records, meta = written.usage_enriched(AS_OF, DAYS), written.clusters()
     return optimize.all_recommendations({
         optimize.RIGHT_SIZE: optimize.recommend_rightsizing(
             records, meta, AS_OF, MONTH, ordered=False),
@@ -567,30 +754,34 @@ def tag_compliance(spark, sf_dir):
 # ----------------------------------------------------------------- reports
 
 
-def _cost_summary(spark, sf_dir, records=None):
-    records = records or enriched(spark, sf_dir)
-    rollup = gold.daily_cost(records)
+def _cost_summary(spark, sf_dir):
+    written = layers.stored(spark, sf_dir)
+    records = written.usage_enriched(AS_OF, DAYS)
+    rollup = written.rollup("daily_cost", AS_OF, DAYS)
     return reports.cost_summary_report(
         cost.total_cost(rollup, AS_OF, MONTH),
         cost.cost_breakdown(records, "product", AS_OF, MONTH, top_n=None),
-        cost.top_spenders(gold.cost_by_user(records), "user", AS_OF, days=MONTH),
+        cost.top_spenders(
+            written.rollup("cost_by_user", AS_OF, DAYS), "user", AS_OF, days=MONTH
+        ),
         cost.cost_trend(rollup, AS_OF, DAYS, "week"),
     )
 
 
-def _findings(spark, sf_dir, records=None):
+def _findings(spark, sf_dir):
     """The report on spikes, idle clusters and untagged resources."""
-    records = records or enriched(spark, sf_dir)
+    written = layers.stored(spark, sf_dir)
+    records = written.usage_enriched(AS_OF, DAYS)
     found = run_metrics.all_findings(
         anomaly.cost_spikes(records, AS_OF, DAYS, ordered=False),
-        anomaly.idle_clusters(records, clusters(spark, sf_dir), AS_OF, DAYS, ordered=False),
+        anomaly.idle_clusters(records, written.clusters(), AS_OF, DAYS, ordered=False),
         policy.untagged_resources(records, AS_OF, MONTH, ordered=False),
     )
     return reports.findings_report(found.select(*REPORT_FINDING))
 
 
-def _recommendation_lines(spark, sf_dir, records=None):
-    return reports.recommendations_report(_recommendations(spark, sf_dir, records))
+def _recommendation_lines(spark, sf_dir):
+    return reports.recommendations_report(_recommendations(spark, sf_dir))
 
 
 @query
@@ -610,11 +801,10 @@ def recommendations_report(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
-    records = enriched(spark, sf_dir)
     lines = (
-        _cost_summary(spark, sf_dir, records)
-        .unionByName(_findings(spark, sf_dir, records))
-        .unionByName(_recommendation_lines(spark, sf_dir, records))
+        _cost_summary(spark, sf_dir)
+        .unionByName(_findings(spark, sf_dir))
+        .unionByName(_recommendation_lines(spark, sf_dir))
     )
     return reports.report_text(lines)
 
