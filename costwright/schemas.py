@@ -115,8 +115,10 @@ AUDIT_DEFAULTS = {
     "llm_calls": {},
 }
 
-# Tables read by time are laid out by the day of that time.
+# The tables are laid out by the day of this time.
 AUDIT_TIME_COLUMN = {
+    "runs": "started_at",
+    "actions": "proposed_at",
     "findings": "detected_at",
     "recommendations": "created_at",
     "llm_calls": "called_at",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
@@ -86,33 +88,35 @@ def refresh(
     for layer in LAYERS:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {prefix}{layer}")
 
-    tables = {}
-    records = keep(
-        by_date(bronze.billing_usage(usage, as_of, days)), "bronze", "billing_usage", "usage_date"
-    )
-    tables[name("bronze", "billing_usage")] = records
-    price_list = keep(
-        bronze.list_prices(load(prices, schemas.LIST_PRICES)), "bronze", "list_prices"
-    )
-    tables[name("bronze", "list_prices")] = price_list
-    tables[name("bronze", "clusters")] = keep(
-        bronze.clusters(load(clusters, schemas.CLUSTERS)), "bronze", "clusters"
-    )
-    tables[name("bronze", "job_runs")] = keep(
-        bronze.job_runs(load(job_runs, schemas.JOB_RUNS), as_of, days), "bronze", "job_runs"
+    raw = {
+        "billing_usage": (by_date(bronze.billing_usage(usage, as_of, days)), "usage_date"),
+        "list_prices": (bronze.list_prices(load(prices, schemas.LIST_PRICES)),),
+        "clusters": (bronze.clusters(load(clusters, schemas.CLUSTERS)),),
+        "job_runs": (bronze.job_runs(load(job_runs, schemas.JOB_RUNS), as_of, days),),
+    }
+    kept = at_once(
+        lambda table: keep(raw[table][0], "bronze", table, *raw[table][1:]), raw
     )
     enriched = keep(
-        by_date(silver.usage_enriched(records, price_list, as_of)),
+        by_date(silver.usage_enriched(kept["billing_usage"], kept["list_prices"], as_of)),
         "silver", "usage_enriched", "usage_date",
     )
+    rollups = at_once(
+        lambda table: keep(by_date(ROLLUPS[table](enriched)), "gold", table, "usage_date"), ROLLUPS
+    )
+    tables = {name("bronze", t): df for t, df in kept.items()}
     tables[name("silver", "usage_enriched")] = enriched
-    for table, rollup in ROLLUPS.items():
-        tables[name("gold", table)] = keep(
-            by_date(rollup(enriched)), "gold", table, "usage_date"
-        )
+    tables |= {name("gold", t): df for t, df in rollups.items()}
     return bronze.row_counts(tables)
 
 
+def at_once(write: Callable, names: Iterable[str]) -> dict:
+    """Independent writes as concurrent Spark jobs, so that a small one does not leave cores idle."""
+    names = list(names)
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(write, names)))
+
+
 def by_date(df: DataFrame) -> DataFrame:
     """Rows gathered by date for the write: rows of all dates lie in every task, each of
     which would write a small file per date. AQE splits a date that grows too big."""
@@ -136,7 +140,11 @@ def apply_late(layers: Layers, late: DataFrame, as_of: date) -> list[date]:
     kept = spark.table(target).where(touched).join(late.select("record_id"), "record_id", "left_anti")
     enriched = silver.usage_enriched(late.where(touched), layers.prices(), as_of)
     replace_partitions(by_date(kept.unionByName(enriched)), target)
-    for table, rollup in ROLLUPS.items():
-        changed = rollup(spark.table(target).where(touched))
-        replace_partitions(by_date(changed), layers.name("gold", table))
+    records = spark.table(target).where(touched)
+    at_once(
+        lambda table: replace_partitions(
+            by_date(ROLLUPS[table](records)), layers.name("gold", table)
+        ),
+        ROLLUPS,
+    )
     return dates

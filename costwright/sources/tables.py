@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ MODES = ("overwrite", "append", "errorifexists")
 def create_audit_tables(spark: SparkSession, database: str) -> int:
     """Create the schema and its audit tables where missing; returns how many exist.
 
-    All are partitioned by run, the unit that is stored and replaced as a whole.
+    All are partitioned by the day of their time.
     """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database}")
     for name, schema in schemas.AUDIT.items():
@@ -29,11 +30,10 @@ def create_audit_tables(spark: SparkSession, database: str) -> int:
                 value = defaults[field.name]
                 text += f" DEFAULT {value!r}"
             columns.append(text)
-        if name in schemas.AUDIT_TIME_COLUMN:
-            columns.append(f"{_day_column(name)} date")
+        columns.append(f"{_day_column(name)} date")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({', '.join(columns)}) "
-            "USING parquet PARTITIONED BY (run_id)"
+            f"USING parquet PARTITIONED BY ({_day_column(name)})"
         )
     present = {t.name for t in spark.catalog.listTables(database)}
     missing = set(schemas.AUDIT) - present
@@ -323,12 +323,8 @@ def _storable(rows: DataFrame, table: str) -> DataFrame:
         ).otherwise(F.col(c))
         for c in required
     }
-    rows = rows.withColumns(checked)
-    if table in schemas.AUDIT_TIME_COLUMN:
-        rows = rows.withColumn(
-            _day_column(table), F.to_date(schemas.AUDIT_TIME_COLUMN[table])
-        )
-    return rows
+    day = F.to_date(schemas.AUDIT_TIME_COLUMN[table])
+    return rows.withColumns(checked).withColumn(_day_column(table), day)
 
 
 def append_audit(rows: DataFrame, database: str, table: str, dry_run: bool = False) -> None:
@@ -349,20 +345,25 @@ def insert_partial(rows: DataFrame, database: str, table: str) -> None:
 def replace_run(rows: DataFrame, database: str, table: str, run_id: str) -> None:
     """Store the rows of a run in place of those that an earlier attempt of it stored.
 
-    The run is a partition, which is overwritten, also by no rows at all; other runs keep
-    their files. A row of another run is an error.
+    Only the days that the run has or had rows on are written again, with the rows of other
+    runs as they were; no rows at all remove the earlier ones. The rows are evaluated once, into a table of
+    their own, so a failure before the exchange of files leaves what was stored. A row of another
+    run is an error. Runs that share a day must not be stored at the same time.
     """
+    spark, name, day = rows.sparkSession, f"{database}.{table}", _day_column(table)
+    staged = f"{database}.{table}_{uuid.uuid4().hex[:12]}"
     other = F.raise_error(F.lit(f"a row of another run than {run_id}"))
-    stored = _storable(rows, table).withColumn(
-        "run_id", F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(other)
-    )
-    columns = [c for c in stored.columns if c != "run_id"]
-    # A filter on the run keeps its check, as the column itself becomes the partition's name.
-    stored = stored.where(F.col("run_id") == run_id)
-    names = ", ".join(columns)
-    stored.sparkSession.sql(
-        f"INSERT OVERWRITE TABLE {database}.{table} PARTITION (run_id = {{run}}) ({names}) "
-        f"SELECT {names} FROM {{rows}}",
-        rows=stored,
-        run=run_id,
-    )
+    checked = F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(other)
+    write_table(_storable(rows, table).withColumn("run_id", checked), staged)
+
+    def days_of(df: DataFrame) -> set:
+        return {r[0] for r in df.select(day).distinct().collect()}
+
+    old, new = spark.table(name), spark.table(staged)
+    had, has = days_of(old.where(F.col("run_id") == run_id)), days_of(new)
+    kept = old.where(F.col(day).isin(had | has) & (F.col("run_id") != run_id))
+    emptied = had - has - days_of(kept)
+    replace_partitions(kept.unionByName(new, allowMissingColumns=True), name)
+    for date in sorted(emptied):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({day} = DATE '{date}')")
+    spark.sql(f"DROP TABLE {staged}")

@@ -292,17 +292,28 @@ def test_a_run_is_stored_once_however_often_it_is_written(spark):
     tables.create_audit_tables(spark, database)
     _, found = findings(spark)
     name = f"{database}.findings"
-    for run in ("a", "b", "a"):
-        tables.replace_run(tables.findings_rows(found, run), database, "findings", run)
-    before = {f for f in spark.table(name).inputFiles() if "run_id=b" in f}
-    tables.replace_run(tables.findings_rows(found.limit(1), "a"), database, "findings", "a")
-    counts = {r["run_id"]: r["count"] for r in dicts(spark.table(name).groupBy("run_id").count())}
-    assert counts == {"a": 1, "b": found.count()}
-    tables.replace_run(tables.findings_rows(found.limit(0), "a"), database, "findings", "a")
-    assert {r["run_id"] for r in dicts(spark.table(name))} == {"b"}
-    assert before and before == set(spark.table(name).inputFiles())
+
+    def stored(run, days=0, n=9):
+        rows = tables.findings_rows(found.limit(n), run)
+        return rows.withColumn("detected_at", F.col("detected_at") + F.make_dt_interval(F.lit(days)))
+
+    def counts():
+        found = spark.table(name).groupBy("run_id", "detected_date").count()
+        return {(r["run_id"], r["detected_date"].day): r["count"] for r in dicts(found)}
+
+    for run, days in (("a", 0), ("b", 0), ("c", 2), ("a", 0)):
+        tables.replace_run(stored(run, days), database, "findings", run)
+    assert counts() == {("a", 20): 3, ("b", 20): 3, ("c", 22): 3}
+    untouched = {f for f in spark.table(name).inputFiles() if "2001-07-22" in f}
+    # fewer rows, on another day; then none at all
+    tables.replace_run(stored("a", 1, 2), database, "findings", "a")
+    assert counts() == {("a", 21): 2, ("b", 20): 3, ("c", 22): 3}
+    tables.replace_run(stored("a", 0, 0), database, "findings", "a")
+    assert counts() == {("b", 20): 3, ("c", 22): 3}
+    assert untouched and untouched <= set(spark.table(name).inputFiles())
     with pytest.raises(Exception, match="another run"):
-        tables.replace_run(tables.findings_rows(found, "c"), database, "findings", "a")
+        tables.replace_run(stored("d"), database, "findings", "a")
+    assert {t.name for t in spark.catalog.listTables(database)} >= {"findings", "runs"}
 
 
 def test_partial_rows_take_defaults_and_required_values_are_enforced(spark):
