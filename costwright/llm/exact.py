@@ -14,34 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costwright.llm.shared import removed, written
+from costwright.llm.shared import marked, removed, repeated_keys, written
 
 #: Characters of a text that its prefix hash covers.
 PREFIX_CHARS = 64
-#: Bits of the bitmap of keys that occur twice or more: 512 rows of 4 KB, whatever the size of the input.
-BITS = 1 << 24
-
-
-def _bit(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(BITS - 1)) + 1
-
-
-def _repeated(rows: DataFrame, key: Column) -> DataFrame:
-    """(bucket, bits): a bitmap of the keys that two rows or more have."""
-    often = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bit = _bit(F.col("key"))
-    return often.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
-    )
-
-
-def _marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
-    """rows with a further column: whether the bitmap holds their key. The bitmap is broadcast: its size is bounded."""
-    rows = rows.withColumn("key_bit", _bit(key)).withColumn("bucket", F.bitmap_bucket_number("key_bit"))
-    byte = "conv(hex(substring(bits, cast(bitmap_bit_position(key_bit) div 8 as int) + 1, 1)), 16, 10)"
-    bit = F.expr(f"shiftright(cast({byte} as int), cast(bitmap_bit_position(key_bit) % 8 as int)) & 1")
-    found = rows.join(F.broadcast(bitmap), "bucket", "left")
-    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bits", "key_bit")
 
 
 def exact_groups(
@@ -64,10 +40,10 @@ def exact_groups(
     by_size = F.xxhash64("size")
     by_prefix = F.xxhash64("size", F.substring("text", 1, PREFIX_CHARS))
 
-    sizes = written(_repeated(rows, by_size), "sizes")
-    same_size = _marked(rows, by_size, sizes, "same_size")
-    prefixes = written(_repeated(same_size.filter("same_size"), by_prefix), "prefixes")
-    same_prefix = _marked(same_size, by_prefix, prefixes, "same_prefix")
+    sizes = written(repeated_keys(rows, by_size), "sizes")
+    same_size = marked(rows, by_size, sizes, "same_size")
+    prefixes = written(repeated_keys(same_size.filter("same_size"), by_prefix), "prefixes")
+    same_prefix = marked(same_size, by_prefix, prefixes, "same_prefix")
     open_row = F.col("same_size") & F.col("same_prefix")
     full = F.unhex(F.sha2("text", 256))
     keyed = same_prefix.select(

@@ -45,10 +45,44 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def removed(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing will read again."""
-    spark = df.sparkSession
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        removed_folder(df.sparkSession, path)
+
+
+def removed_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Bits of a bitmap of keys: 512 rows of 4 KB, whatever the number of keys.
+BITS = 1 << 24
+
+
+def _bit(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(BITS - 1)) + 1
+
+
+def repeated_keys(rows: DataFrame, key: Column, least: int = 2) -> DataFrame:
+    """(bucket, bits): a bitmap of the keys (hashes as long) that so many rows or more have."""
+    often = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    bit = _bit(F.col("key"))
+    return often.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
+    )
+
+
+def marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """rows with a further column: whether the bitmap holds their key; keys that share a bit are taken as held.
+
+    The bitmap is broadcast, as its size is bounded.
+    """
+    place, bucket, bits = (unused(rows, c) for c in ("key_bit", "bucket", "bits"))
+    bitmap = bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
+    rows = rows.withColumn(place, _bit(key)).withColumn(bucket, F.bitmap_bucket_number(place))
+    byte = f"conv(hex(substring({bits}, cast(bitmap_bit_position({place}) div 8 as int) + 1, 1)), 16, 10)"
+    bit = F.expr(f"shiftright(cast({byte} as int), cast(bitmap_bit_position({place}) % 8 as int)) & 1")
+    found = rows.join(F.broadcast(bitmap), bucket, "left")
+    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(place, bucket, bits)
 
 
 def id_text(column: str) -> Column:
@@ -56,6 +90,14 @@ def id_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of an id's text, modulo folds."""
     return F.crc32(id_text(column).cast("binary")) % F.lit(folds)

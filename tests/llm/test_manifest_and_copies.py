@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import connect, differences
-from costwright.llm import exact, merkle, periodic, queries
+from costwright.llm import exact, merkle, periodic, queries, shared
 from costwright.llm.oracle import ORACLE_SQL
 from costwright.llm.shared import shipped
 
@@ -50,10 +50,10 @@ EXACT_ROWS = [
 ]
 
 
-@pytest.mark.parametrize("bits", [exact.BITS, 8])
+@pytest.mark.parametrize("bits", [shared.BITS, 8])
 def test_exact_groups(ready, monkeypatch, bits):
     """A full bitmap lets single rows through, which changes nothing."""
-    monkeypatch.setattr(exact, "BITS", bits)
+    monkeypatch.setattr(shared, "BITS", bits)
     docs = ready.createDataFrame(EXACT_ROWS, "doc_id long, text string")
     docs = docs.select("*", *(F.lit(1).alias(c) for c in ("keep_id", "size", "bits", "row", "bucket", "id", "full")))
     found = exact.exact_groups(docs).collect()
