@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -77,6 +78,11 @@ class ByteBpe:
         self._first: dict[str, bytes] = {}
         self._after_space: dict[str, bytes] = {}
 
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; bytes that are not UTF-8 become replacement characters."""
+        token = self.token
+        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
     def by_rules(self, data: bytes) -> list[int]:
         """The merge rules applied as they are defined: lowest rank first, leftmost first."""
         ids = [self.ids[data[i : i + 1]] for i in range(len(data))]
@@ -123,29 +129,33 @@ class ByteBpe:
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of distinct words, through one trie over all of them."""
-        children: list[dict[int, int]] = [{}]
+        # a node's parent and byte are one number, so the trie is one dict; words come sorted, so a node is
+        # numbered after its parent and before whatever follows it, which is the order of a depth-first walk
+        down: dict[int, int] = {}
+        letters = bytearray(1)
+        depths = array("I", [0])
         ends: dict[bytes, int] = {}
-        for word in words:
+        for word in sorted(words):
             node = 0
-            for byte in word:
-                down = children[node]
-                at = down.get(byte)
+            for depth, byte in enumerate(word, 1):
+                at = down.get(node << 8 | byte)
                 if at is None:
-                    at = down[byte] = len(children)
-                    children.append({})
+                    at = down[node << 8 | byte] = len(letters)
+                    letters.append(byte)
+                    depths.append(depth)
                 node = at
             ends[word] = node
-        last, before = [-1] * len(children), [0] * len(children)
+        down.clear()
+        last, before = array("i", [-1]) * len(letters), array("I", [0]) * len(letters)
         path, prefix = [0], b""
         if len(self._beside) > MEMORY:
             self._beside.clear()
         endings, beside = self.endings, self._beside
-        stack = [(node, byte, 1) for byte, node in children[0].items()]
-        while stack:
-            node, byte, depth = stack.pop()
+        for node in range(1, len(letters)):
+            depth = depths[node]
             del path[depth:]
             path.append(node)
-            prefix = prefix[: depth - 1] + byte.to_bytes()
+            prefix = prefix[: depth - 1] + bytes((letters[node],))
             for start in range(depth - 1, -1, -1):
                 token = endings.get(prefix[start:])
                 if token is None:
@@ -158,8 +168,6 @@ class ByteBpe:
                     if known:
                         last[node], before[node] = token, path[start]
                         break
-            for b, down in children[node].items():
-                stack.append((down, b, depth + 1))
         out = {}
         for word, node in ends.items():
             back = []
@@ -215,32 +223,18 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-class Decoder:
-    """The bytes of each id, all that decoding needs."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            self.token = token_bytes(json.load(f))
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are not UTF-8 become replacement characters."""
-        token = self.token
-        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-
-
-@lru_cache(maxsize=2)
-def load_decoder(path: str) -> Decoder:
-    return Decoder(path)
-
-
 #: Characters of text that are encoded together; bounds a worker's memory.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
+
 
+def slices(texts: Iterable[str | None] | pa.Array, most: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """texts in runs of at most `most` characters, or one text that is longer; null counts as empty.
 
-def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """texts in runs of at most `most` characters, or one text that is longer."""
+    Values of an Arrow array become Python's a run at a time.
+    """
     run, size = [], 0
     for text in texts:
+        text = (text.as_py() if isinstance(text, pa.Scalar) else text) or ""
         if run and size + len(text) > most:
             yield run
             run, size = [], 0
@@ -250,37 +244,48 @@ def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
         yield run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    vocabulary: str,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    decoded: str | None = None,
+) -> DataFrame:
     """The kept columns of every row with `ids`: its text's ids, little-endian unsigned 32-bit.
 
     Whole texts; a null text counts as empty and an empty one has no ids. Special tokens
-    in a text become their ids. Rows stay one to one, repeated rows included; other columns
-    are not read. One pass, no shuffle.
+    in a text become their ids. With `decoded` a further column of that name has the text that the ids
+    give back, from the same pass and the same vocabulary in memory. Rows stay one to one,
+    repeated rows included; an empty table gives no rows; other columns are not read. No shuffle.
     """
     chosen = docs.select(*keep, docs[text].alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    names = [*keep, "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            at = 0
+            texts, at = batch.column(len(keep)), 0
             for part in slices(texts):
                 kept = [c.slice(at, len(part)) for c in batch.columns[: len(keep)]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(bpe.encode(part), pa.binary())], names=[*keep, "ids"])
                 at += len(part)
+                ids = bpe.encode(part)
+                columns = [*kept, pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(bpe.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return chosen.mapInArrow(run, f"{schema}, ids binary")
+    return chosen.mapInArrow(run, f"{schema}, ids binary" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str, text: str = "decoded") -> DataFrame:
-    """Rows with `ids` as made by encode(), with their decoded text in a further column."""
+    """Rows with `ids` as made by encode(), with their decoded text in a further column; null ids give an empty text."""
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = load_decoder(vocabulary)
+        bpe = load(vocabulary)
         for batch in batches:
-            texts = [decoder.decode(i or b"") for i in batch.column(names.index("ids")).to_pylist()]
+            texts = [bpe.decode(i or b"") for i in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -56,8 +56,7 @@ def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
-    return bpe.decode(encoded, BYTE_BPE).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, decoded="decoded").select(
         "doc_id",
         F.expr("cast(length(ids) / 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
