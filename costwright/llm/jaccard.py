@@ -10,12 +10,13 @@ order of n-grams. Vertical cuts of that order are used twice:
   give signatures of empty fragments too, so no pair is missed.
 * To verify them. Per pair and coarser fragment the overlap is counted separately and the
   counts are summed, which gives the exact intersection. Before that, a pair is
-  dropped when the parity bitmaps of its sets differ in more bits than the sets may in shingles.
+  dropped when its sets' sizes are too far apart or when their parity bitmaps differ in more bits than the sets may in shingles.
 
-Equal sets are one node from the start. In the first round every node is compared with the
-least node that it shares a signature with; in the second all pairs that share a
-signature and are still in different components are. So a group of copies costs
-one comparison each, and no link between different texts that matters for a component is lost.
+Equal sets are one node from the start. Signatures that the same nodes share are one. In the first round every node is
+compared with the least node that it shares a signature with; in the second all pairs that share a
+signature and are still in different components are, by size and bitmap inside the join, so that only
+pairs that can be similar leave it. So a group of copies costs one comparison each, and
+no link between different texts that matters for a component is lost.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costwright.llm.bpe import slices
 from costwright.llm.components import components
-from costwright.llm.shared import removed, written
+from costwright.llm.shared import marked, removed, repeated_keys, written
 
 WORDS, PERCENT = 4, 85
 #: Fragments in which overlaps are counted.
@@ -131,20 +132,39 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=_U), rows.astype(np.int64)
 
 
-_KINDS = "kind string, block long, row long, id {id}, n long, node long, sig long, shard long, data binary"
+_KINDS = (
+    "kind string, block long, row long, id {id}, n long, node long, content long, bits array<long>, "
+    "sig long, shard long, data binary"
+)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """A hash of a set."""
+    return int(np.add.reduce(mixed(hashes ^ _U(len(hashes)))).view(np.int64))
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit numbers."""
+    odd = np.bincount((hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _content(text: str) -> Column:
+    """A hash of the text itself, by which its row is found again."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _scan(docs: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
     """One pass over the texts. Rows of kind
-    doc: id, set size n and node (a hash of the set; null for an empty one) of each document;
+    doc: id, set size n, node (a hash of the set; null for an empty one), hash of the text and bitmap of each document;
     near: block, row and signature of nodes that share a signature with another of their block;
     send: the distinct signatures of a block that belong to a shard, each with one of its rows.
     """
     kind = docs.schema[0].dataType
-    names = ["kind", "block", "row", "id", "n", "node", "sig", "shard", "data"]
+    names = ["kind", "block", "row", "id", "n", "node", "content", "bits", "sig", "shard", "data"]
 
     def batch_of(count: int, id_type: pa.DataType, kind: str, block: int, **cols: pa.Array) -> pa.RecordBatch:
-        types = {"id": id_type, "data": pa.binary()}
+        types = {"id": id_type, "data": pa.binary(), "bits": pa.list_(pa.int64())}
         fixed = {"kind": pa.array([kind] * count, pa.string()), "block": pa.array([block] * count, pa.int64())}
         given = fixed | cols
         arrays = [given[c] if c in given else pa.nulls(count, types.get(c, pa.int64())) for c in names]
@@ -153,27 +173,30 @@ def _scan(docs: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, block = WordHashes(), TaskContext.get().partitionId() << 24
         for batch in batches:
-            texts, ids, at = batch.column(1).to_pylist(), batch.column(0), 0
-            for part in slices([t or "" for t in texts]):
-                sizes, nodes, own, sigs, rows = [], [], set(), [], []
+            ids, at = batch.column(0), 0
+            for part in slices(batch.column(1)):
+                sizes, nodes, bits, own, sigs, rows = [], [], [], set(), [], []
                 for row, text in enumerate(part):
                     hashes = memory.shingles(text, words)
                     sizes.append(len(hashes))
                     if not len(hashes):
                         nodes.append(None)
+                        bits.append(None)
                         continue
-                    node = int(np.add.reduce(mixed(hashes ^ _U(len(hashes)))).view(np.int64))
+                    node = node_of(hashes)
                     nodes.append(node)
+                    bits.append(bitmap(hashes))
                     if node not in own:
                         own.add(node)
                         found = signatures(hashes, percent)
                         sigs.append(found)
                         rows.append(np.full(len(found), row))
-                kept = ids.slice(at, len(part))
+                kept, content = ids.slice(at, len(part)), batch.column(2).slice(at, len(part))
                 at += len(part)
                 count = pa.array(range(len(part)), pa.int64())
-                yield batch_of(len(part), ids.type, "doc", block, row=count, id=kept,
-                               n=pa.array(sizes, pa.int64()), node=pa.array(nodes, pa.int64()))
+                yield batch_of(len(part), ids.type, "doc", block, row=count, id=kept, content=content,
+                               n=pa.array(sizes, pa.int64()), node=pa.array(nodes, pa.int64()),
+                               bits=pa.array(bits, pa.list_(pa.int64())))
                 if sigs:
                     sig, row = np.concatenate(sigs), np.concatenate(rows)
                     order = np.argsort(sig, kind="stable")
@@ -207,64 +230,73 @@ def _shared(sent: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": block[order][many], "row": row[order][many], "sig": sig[many].view(np.int64)})
 
 
-def _parts(docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, part, hashes): each document's set, cut into PARTS fragments; empty ones have no row.
+def _fragments(wanted: DataFrame, words: int) -> DataFrame:
+    """(key, part, node, n, hashes) of rows (text, node, key): the text's set, cut into PARTS fragments.
 
-    Part -1 holds the set's parity bitmap.
+    A text whose set is not the wanted node gives nothing; empty fragments have no row.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            for part in slices([t or "" for t in batch.column(0).to_pylist()]):
+            texts, nodes, keys, at = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
+            for part in slices(texts):
                 rows = []
-                for text in part:
+                for text, node, key in zip(part, nodes[at:], keys[at:]):
                     hashes = memory.shingles(text, words)
-                    if not len(hashes):
+                    if not len(hashes) or node_of(hashes) != node:
                         continue
-                    node = int(np.add.reduce(mixed(hashes ^ _U(len(hashes)))).view(np.int64))
                     ends = np.searchsorted(((hashes >> _U(32)) * _U(PARTS)) >> _U(32), np.arange(PARTS + 1))
                     signed = hashes.view(np.int64)
-                    odd = np.bincount((hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    rows.append((node, len(hashes), -1, np.packbits(odd.astype(np.uint8)).view(np.int64)))
                     rows += [
-                        (node, len(hashes), p, signed[ends[p] : ends[p + 1]])
+                        (key, p, node, len(hashes), signed[ends[p] : ends[p + 1]])
                         for p in range(PARTS)
                         if ends[p] < ends[p + 1]
                     ]
-                columns = list(zip(*rows)) or [()] * 4
+                at += len(part)
+                columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "part", "hashes"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "part", "node", "n", "hashes"]
                 )
 
-    return docs.mapInArrow(run, "node long, n long, part long, hashes array<long>")
+    chosen = wanted.select("text", "node", "key")
+    return chosen.mapInArrow(run, "key long, part long, node long, n long, hashes array<long>")
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: overlaps counted per fragment, then summed."""
-    rough = parts.filter("part = -1").select("node", F.col("n").cast("long").alias("n"), F.col("hashes").alias("bits"))
-    a, b = rough.toDF("a", "na", "bits_a"), rough.toDF("b", "nb", "bits_b")
-    differ = F.aggregate(
-        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+def _may_link(percent: int) -> Column:
+    """Whether sizes and bitmaps of a and b allow the similarity; no similar pair fails."""
+    differ = sum(
+        (F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)),
+        F.lit(0),
     )
-    pairs = (
-        pairs.join(b, "b")
-        .join(a, "a")
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
-        .select("a", "b")
-    )
-    parts = parts.filter("part >= 0")
-    left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("hashes").alias("ha"))
-    right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("hashes").alias("hb"))
-    counted = (
-        pairs.join(right, "b")
-        .join(left, ["a", "part"])
-        .select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("both"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return near & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """The written pairs (a, b) that are similar enough: overlaps counted per fragment, then summed.
+
+    Texts of the sets that occur in pairs are found again by a hash of their content, behind a bitmap
+    of fixed size in the scan, so other texts do not move.
+    """
+    contents = sets.select("node", "content")
+
+    def fragments(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(contents, "node")
+        marks = written(repeated_keys(wanted, F.col("content"), least=1), "marks")
+        found = marked(docs.select("text", "content"), F.col("content"), marks, "may").filter("may")
+        # copies of a text are one
+        texts = found.groupBy("content").agg(F.min("text").alias("text"))
+        return _fragments(texts.join(wanted, "content"), words)
+
+    left = fragments(pairs.select(F.col("a").alias("node"), F.col("a").alias("key")).distinct())
+    right = fragments(pairs.select(F.col("b").alias("node"), F.col("a").alias("key")))
+    left = left.select(F.col("key").alias("a"), "part", F.col("n").alias("na"), F.col("hashes").alias("ha"))
+    right = right.select(F.col("key").alias("a"), "part", F.col("node").alias("b"), F.col("n").alias("nb"), "hashes")
+    counted = right.join(left, ["a", "part"]).select(
+        "a", "b", "na", "nb", F.size(F.array_intersect("ha", "hashes")).alias("both")
     )
-    # a set that two rows with one id both hold is there twice
-    counted = counted.groupBy("a", "b", "part", "na", "nb").agg(F.max("both").alias("both"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     return summed.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -279,36 +311,58 @@ def similar_groups(
     among them. A null id stays null and never is the least one of a group unless all are null;
     an empty table gives no rows; other columns are not read.
     """
-    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), _content(text).alias("content"))
     shards = max(8, -(-docs.count() // SHARD_DOCS))
     scanned = written(_scan(docs, words, percent, shards), "signatures")
-    nodes = scanned.filter("kind = 'doc'").select("block", "row", "id", "n", "node")
+    nodes = scanned.filter("kind = 'doc'").select("block", "row", "id", "n", "node", "content", "bits")
     sent = scanned.filter("kind = 'send'").select("shard", "block", "data")
     near = scanned.filter("kind = 'near'").select("block", "row", "sig")
     across = sent.groupBy("shard").applyInPandas(_shared, "block long, row long, sig long").select("block", "row", "sig")
-    members = near.unionByName(across).join(nodes, ["block", "row"]).select("sig", "node").distinct()
-    members = written(members, "members")
+    members = near.unionByName(across).join(nodes.select("block", "row", "node"), ["block", "row"])
+    members = written(members.select("sig", "node").distinct(), "members")
+    sets = nodes.filter("node is not null").groupBy("node").agg(F.min(F.struct("content", "n", "bits")).alias("s"))
+    sets = written(sets.select("node", "s.*"), "sets")
     nodes = written(nodes.select("id", "n", "node"), "nodes")
     removed(scanned)
 
-    least = members.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    stars = members.join(least.drop("z"), "sig").filter("node > a").select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars, "pairs")
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(wanted, "node").groupBy("node").agg(F.min("id").alias("chosen")).select("chosen").distinct()
-    texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
-    parts = written(_parts(texts, words), "parts")
-    links = written(_linked(stars, parts, percent), "links")
+    # of signatures with the same members one is enough
+    shared = (
+        members.groupBy("sig")
+        .agg(
+            F.min("node").alias("a"),
+            F.count(F.lit(1)).alias("members"),
+            F.expr("bit_xor(xxhash64(node))").alias("x"),
+            F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+        )
+        .filter("members > 1")
+    )
+    shared = shared.groupBy("a", "members", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "a", "members")
+    chosen = written(members.join(shared, "sig"), "members")
+    removed(members)
+
+    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    may_link = _may_link(percent)
+    stars = chosen.filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    stars = written(stars.join(b, "b").join(a, "a").filter(may_link).select("a", "b"), "pairs")
+    links = written(_linked(stars, docs, sets, words, percent), "links")
 
+    # two members were compared by the first round; more are where they are still apart
     grouped = components(links)
-    marked = members.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_sigs = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    marked = marked.join(open_sigs.select("sig"), "sig")
-    one = marked.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = marked.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(across, parts, percent)
+    apart = chosen.filter("members > 2").join(grouped, "node", "left").select(
+        "sig", "node", F.coalesce("component", "node").alias("component")
+    )
+    open_sigs = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    apart = apart.join(open_sigs.select("sig"), "sig").join(sets.select("node", "n", "bits"), "node")
+    one = apart.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"),
+                       F.col("bits").alias("bits_a"))
+    two = apart.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("component").alias("cb"),
+                       F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    different = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    pairs = one.join(two, (F.col("sig") == F.col("sig_b")) & different & may_link).select("a", "b").distinct()
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(_linked(pairs, docs, sets, words, percent), "links")
+    for used in (chosen, sets, stars, pairs):
+        removed(used)
     final = components(links.unionByName(more))
 
     found = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
