@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costwright.llm import classifier, jaccard, packing, quality, secrets
-from costwright.llm.shared import crc_fold, shared_dir, shipped, table
+from costwright.llm.shared import crc_fold, marked, removed_folder, repeated_keys, shared_dir, shipped, table, unused, written
 
 #: Near-duplicates share this percentage of their shingles of this many words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -34,26 +34,41 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps documents that a model, learned on the labelled ones outside fold 1 of 3, scores 0.5 or more."""
     shipped(spark)
     learned = table(spark, sf_dir, "labels").filter(crc_fold("doc_id", 3) != 1)
-    scored = classifier.score(docs, classifier.fit(docs, learned), score="__score")
-    return scored.filter("__score >= 0.5").drop("__score")
+    score = unused(docs, "score")
+    return classifier.score(docs, classifier.fit(docs, learned), score=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones: that with the least doc_id of the group.
 
-    Rows that share an id count as one document, of which one row stays. Rows without an id are
-    all kept, as none of them can be named.
+    Rows that share an id are told apart by a hash of their text: each goes the way of its own text, and of
+    rows that share both one stays. Rows without an id are all kept, as none of them can be named. Only
+    rows that may have to go are shuffled: the others are told by a bitmap of fixed size in the scan.
     """
     shipped(spark)
-    groups = jaccard.similar_groups(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    fate = groups.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("__similar"), F.count(F.lit(1)).alias("__rows")
+    columns = docs.columns
+    key, other, similar, rows, held = (unused(docs, c) for c in ("key", "other", "similar", "rows", "held"))
+    content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
+    docs = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), content))
+    groups = jaccard.similar_groups(docs.select(key, "text"), key, "text", words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    fate = (
+        groups.filter(f"not {key}.none")
+        .groupBy(F.col(key).alias(other))
+        .agg(F.bool_and(F.col(key) != F.col("component_id")).alias(similar), F.count(F.lit(1)).alias(rows))
+        .filter(f"{similar} or {rows} > 1")
+    )
+    fate = written(fate, "fate")
+    marks = written(repeated_keys(fate, F.xxhash64(other), least=1), "marks")
+    checked = marked(docs, F.xxhash64(key), marks, held)
+    found = checked.filter(held).join(fate, F.col(key) == F.col(other), "left").filter(f"{similar} is null or not {similar}")
+    whole = F.struct(*columns)
+    repeated = found.filter(f"{rows} > 1").groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(other))
+    return (
+        checked.filter(f"not {held}")
+        .select(columns)
+        .unionByName(found.filter(f"{rows} is null").select(columns))
+        .unionByName(repeated.select(f"{other}.*"))
     )
-    marked = docs.join(fate.filter("__similar or __rows > 1"), F.col("doc_id") == F.col("__id"), "left")
-    marked = marked.filter("__similar is null or not __similar")
-    alone = marked.filter("__rows is null or __rows = 1").select(docs.columns)
-    repeated = marked.filter("__rows > 1").dropDuplicates(["doc_id"]).select(docs.columns)
-    return alone.unionByName(repeated)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +101,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs

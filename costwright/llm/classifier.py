@@ -30,7 +30,7 @@ SEED = 7
 
 #: Bounds of the learning sample: rows of class 0 and 1, and code points of a text to be learned from.
 SAMPLE_ROWS = (2000, 6000)
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 20_000
 #: Words that a task remembers; a full memory is emptied.
 MEMORY = 400_000
 
@@ -110,7 +110,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, rows:
     """At most rows[c] labelled texts of each class c, chosen by a hash of their ids.
 
     labels: id_column and `quality`; ids with several labels count as 1 if any is. Null ids,
-    texts and labels, and texts over SAMPLE_CHARS, are not learned from.
+    texts and labels, and texts over SAMPLE_CHARS, are not learned from. Of rows that share an id the one with
+    the least hash of its text is, so the sample does not depend on how rows are stored. Empty tables give an
+    empty sample. Other columns are not read, whatever their names.
     """
     known = (
         labels.filter(F.col(id_column).isNotNull() & F.col("quality").isin(0, 1))
@@ -124,7 +126,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, rows:
         docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
         .filter(F.length("__text") <= SAMPLE_CHARS)
         .join(bounded, "__id")
-        .dropDuplicates(["__id"])
+        .groupBy("__id", "__label")
+        .agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__least"))
+        .select("__id", "__label", "__least.__text")
         .toArrow()
         .sort_by("__id")
     )
@@ -167,8 +171,13 @@ class Scorer(dict):
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", score: str = "score") -> DataFrame:
     """All rows and columns of docs with the probability of class 1 in a further column.
 
-    Whole texts; a null or empty text gets the score of no features. Rows stay one to one.
+    Whole texts; a null or empty text gets the score of no features. Rows stay one to one, repeated
+    ones included; an empty table gives no rows. A column of docs that has the score's name is replaced;
+    see unused() for a name that is free.
     """
+    if score == text:
+        raise ValueError(f"the score cannot replace the text {text!r}")
+    docs = docs.drop(score)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast((model.shares(), model.odds()))  # BUCKETS numbers
 
