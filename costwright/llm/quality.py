@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 _WORDS, _GRAMS = "__words", "__grams"
+#: The columns that rated() gives.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
 
 
 def _words(text: str) -> Column:
@@ -48,7 +50,8 @@ def _grams(words: str, buckets: int) -> Column:
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_column: str, text: str, buckets: int = BUCKETS) -> list[int]:
     """round(UNIT * log(p_trusted / p_raw)) of each bucket, over whole texts of all documents.
 
-    trusted: ids in id_column; repeated and null ones do no harm. Without trusted n-grams all are 0.
+    trusted: ids in id_column; repeated and null ones do no harm. Without trusted n-grams, and for an
+    empty table, all are 0. Other columns are not read, whatever their names.
     """
     # one plan at every size: a list of trusted ids grows with the corpus and is never broadcast
     marks = trusted.select(F.col(id_column).alias("__id")).filter("__id is not null").distinct()
@@ -90,18 +93,19 @@ def _repeated(words: str, hashes: str, places: str) -> Column:
     )
 
 
-def rated(docs: DataFrame, weights: list[int], text: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """docs with further columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept.
+def _measured(docs: DataFrame, weights: list[int], text: str, least_ratio: float) -> DataFrame:
+    """The columns of docs under private names (c0, c1, ...), then MEASURES.
 
-    Existing columns of these names are replaced. A null text counts as empty: it has no
-    words, fails the base rule and has ratio 0. Rows stay one to one; nothing is shuffled.
+    The row number stands between the rules and whatever the caller does: a filter that Spark
+    pushes into their projections would repeat each of them wherever a later one reads it.
     """
     buckets = len(weights)
+    text = f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    names = docs.columns
     content = F.coalesce(F.col(text), F.lit(""))
     w, h, p = _WORDS, "__hashes", "__places"
     lines = "filter(split({}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')".format(f"coalesce(`{text}`, '')")
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    names = [c for c in docs.columns if c not in added]
     known = F.expr(f"cast(split('{','.join(map(str, weights))}', ',') as array<int>)")
     rows = (
         docs.select(*names, _words(text).alias(w), F.expr(lines).alias("__lines"))
@@ -126,20 +130,36 @@ def rated(docs: DataFrame, weights: list[int], text: str = "text", least_ratio:
         F.expr("cast(size(__lines) - size(array_distinct(__lines)) as bigint)").alias("n_dup_lines"),
         _repeated(w, h, p).alias("n_repeat_words"),
         (total / F.greatest(F.size(_GRAMS), F.lit(1)) / UNIT).alias("ratio"),
+        F.monotonically_increasing_id().alias("__row"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least_ratio))
+    rows = rows.filter("__row >= 0").withColumn("base_failed", failed)
+    return rows.select(*names, *MEASURES[:5], "base_failed", "ratio", (~failed & (F.col("ratio") >= least_ratio)).alias("kept"))
+
+
+def rated(
+    docs: DataFrame,
+    weights: list[int],
+    text: str = "text",
+    least_ratio: float = LEAST_RATIO,
+    keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The kept columns of docs and the MEASURES of each text.
+
+    A null text counts as empty: it has no words, fails the base rule and has ratio 0. Rows stay one
+    to one, repeated rows included; an empty table gives no rows. Columns that are not kept are not
+    read, whatever their names; a kept one that has the name of a measure goes by that name with
+    `given_` before it. Nothing is shuffled, and a filter on the result costs no more than the result.
+    """
+    chosen = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
+    names = [f"given_{c}" if c in MEASURES else c for c in keep]
+    rows = _measured(chosen, weights, "__text", least_ratio)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *MEASURES)
 
 
 def passing(docs: DataFrame, weights: list[int], text: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """The rows of docs that rated() keeps, with the columns of docs.
-
-    The row number stands between the rules and the filter: a filter that Spark pushes into
-    their projections would repeat each of them wherever a later one reads it.
-    """
-    rows = rated(docs, weights, text, least_ratio).select(
-        *docs.columns, F.col("kept").alias("__kept"), F.monotonically_increasing_id().alias("__row")
-    )
-    return rows.filter("__kept and __row >= 0").select(docs.columns)
+    """The rows of docs that rated() keeps, with the columns of docs as they are, whatever their names."""
+    rows = _measured(docs, weights, text, least_ratio).filter("kept")
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -35,7 +35,7 @@ def op1_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     weights = quality.ratio_weights(docs, trusted, "doc_id", "text")
-    return quality.rated(docs.select("doc_id", "text"), weights).drop("text")
+    return quality.rated(docs, weights)
 
 
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
