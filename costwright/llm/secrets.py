@@ -36,7 +36,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run; shorter runs are dropped a
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LEAST_VALUE, _LEAST_ACCESS = 12, 18
 
-_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*+)(?<=KEY)-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 #: Between lines of a wrapped value: line ends, real or escaped, with quotes, marks and prefixes.
 _BREAK = re.compile(r"""(?:\\+[rn]|["'`,;>#*|\\\s]|(?<=["'`\s])(?:\+|//|--)(?=\s))++""")
@@ -149,14 +149,16 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _armoured(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in _BEGIN.finditer(text):
-        tail = f"-----END {m[1]}-----"
-        end = text.find(tail, m.end())
-        if end < 0:
-            continue
-        body = text[m.end() : end]
-        if any(is_der(d) or is_openssh(d) or "Proc-Type:" in body for d in map(decoded, _bodies(body)) if d):
-            yield "pem", m.start(), end + len(tail)
+    """Blocks from a BEGIN to the END of its label, with no other BEGIN between: one pass over the marks."""
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            body = text[begin.end() : m.start()]
+            if any(is_der(d) or is_openssh(d) or "Proc-Type:" in body for d in map(decoded, _bodies(body)) if d):
+                yield "pem", begin.start(), m.end()
+            begin = None
 
 
 def _bodies(body: str) -> Iterator[str]:
