@@ -48,7 +48,15 @@ _CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,8192})>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z""", re.S)
+# Attributes as the HTML standard scans them: a quote opens a value only after an equals sign and is a
+# plain character elsewhere; what is not closed ends with the page. Every quantifier that could be
+# tried in several ways is possessive, so time is linear and nothing has a bound.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
+_ATTRIBUTES = rf"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE})?+)*+"""
+_TAG = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|</?(?:[!?]|(?<=/)[^a-zA-Z>])[^>]*+(?:>|\Z)|</>""",
+    re.S,
+)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -141,7 +149,7 @@ def blocks(page: str | None) -> list[Block]:
         links += tag == "a"
         silent += tag in _SILENT
         if tag in _RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
     flush()
     return out
@@ -154,6 +162,8 @@ def _bin(n: float) -> int:
 def features(page: list[Block]) -> list[list[str]]:
     """Binary features of each block: ancestors, own shape, neighbours' shapes, place."""
     sizes = [_bin(b.text.count(" ") + 1) for b in page]
+    # a page that marks its main part says what is outside it, whatever the names of the rest
+    marks = [m for m in ("t:article", "t:main") if any(m in b.above for b in page)]
     out = []
     for i, b in enumerate(page):
         density, size = int(b.link_share * 3), sizes[i]
@@ -165,6 +175,7 @@ def features(page: list[Block]) -> list[list[str]]:
             own.append("copyright")
         if i == 0 or i == len(page) - 1:
             own.append("first" if i == 0 else "last")
+        own += [f"outside {m}" for m in marks if m not in b.above]
         out.append([*own, *b.above])
     return out
 
@@ -258,6 +269,10 @@ _AFTER = {
 }
 
 
+#: Share of the containers of made pages that have a name of no list, so that shape and place are learned too.
+FOREIGN_NAMES = 0.12
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page and the texts of its article's blocks."""
     syllables = ["".join(rng.choices("abcdefghilmnoprstuvz", k=rng.randint(1, 4))) for _ in range(30)]
@@ -269,7 +284,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     def open_(tag: str, names: tuple[str, ...] | None, share: float = 0.8) -> str:
         if names is None or rng.random() > share:
             return f"<{tag}>"
-        name = rng.choice(names).replace(" ", rng.choice("-_ "))
+        name = word() if rng.random() < FOREIGN_NAMES else rng.choice(names).replace(" ", rng.choice("-_ "))
         return f'<{tag} {rng.choice(["class", "class", "id"])}="{name}">'
 
     def links(a: int, b: int) -> str:
@@ -286,7 +301,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         elif tag == "form":
             body = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>" + rng.choice(["", f"<p>{prose(1, 2)}</p>"])
         elif tag == "section":
-            comment = lambda: f'<div class="{rng.choice(["comment", "reply", "comment-body"])}"><b>{word()}</b><p>{prose(1, 4)}</p></div>'
+            name = word() if rng.random() < FOREIGN_NAMES else rng.choice(["comment", "reply", "comment-body"])
+            comment = lambda: f'<div class="{name}"><b>{word()}</b><p>{prose(1, 4)}</p></div>'
             body = f"<h3>{words(1, 3)}</h3>" + "".join(comment() for _ in range(rng.randint(1, 5)))
             if rng.random() < 0.3:
                 body = "<ol>" + "".join(f"<li>{word()}: {prose(1, 3)}</li>" for _ in range(rng.randint(1, 4))) + "</ol>"
@@ -320,7 +336,10 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             parts.append(rng.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format(items))
         elif kind < 0.88:
             parts.append(f"<blockquote>{keep(prose(1, 3))}</blockquote>")
-        elif kind < 0.91:
+        elif kind < 0.895:
+            link = f'<a href="/{word()}">{keep(words(2, 9).capitalize())}</a>'
+            parts.append(rng.choice(["<p>{}</p>", "<p>{}</p>", "<ul><li>{}</li></ul>"]).format(link))
+        elif kind < 0.92:
             parts.append("<table>" + "".join(f"<tr><td>{keep(words(1, 3))}</td><td>{keep(words(1, 4))}</td></tr>" for _ in range(2)) + "</table>")
         elif kind < 0.94:
             parts.append(f"<div>{keep(prose(1, 5))}</div>")
