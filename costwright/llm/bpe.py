@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ _WORDS = regex.compile(
 _CUT = re.compile(r" (?=\S)")
 
 #: Entries of each memory of a worker (cut pieces, words, token pairs); a full one is emptied.
-MEMORY = 250_000
+MEMORY = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -128,53 +129,46 @@ class ByteBpe:
         return alone and (left < 0 or self._seam_holds(left, right))
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words, through one trie over all of them."""
-        # a node's parent and byte are one number, so the trie is one dict; words come sorted, so a node is
-        # numbered after its parent and before whatever follows it, which is the order of a depth-first walk
-        down: dict[int, int] = {}
-        letters = bytearray(1)
-        depths = array("I", [0])
-        ends: dict[bytes, int] = {}
-        for word in sorted(words):
-            node = 0
-            for depth, byte in enumerate(word, 1):
-                at = down.get(node << 8 | byte)
-                if at is None:
-                    at = down[node << 8 | byte] = len(letters)
-                    letters.append(byte)
-                    depths.append(depth)
-                node = at
-            ends[word] = node
-        down.clear()
-        last, before = array("i", [-1]) * len(letters), array("I", [0]) * len(letters)
-        path, prefix = [0], b""
+        """Ids of distinct words, through one trie over all of them.
+
+        In sorted order a word branches off the path of the one before it, so nodes are made in the order in which
+        a depth-first walk meets them, and a node gets its state when it is made: the last token of
+        its prefix and the node before that token.
+        """
+        last, before = array("i", [-1]), array("I", [0])
         if len(self._beside) > MEMORY:
             self._beside.clear()
         endings, beside = self.endings, self._beside
-        for node in range(1, len(letters)):
-            depth = depths[node]
-            del path[depth:]
-            path.append(node)
-            prefix = prefix[: depth - 1] + bytes((letters[node],))
-            for start in range(depth - 1, -1, -1):
-                token = endings.get(prefix[start:])
-                if token is None:
+        out: dict[bytes, tuple[int, ...]] = {}
+        path, previous = [0], b""
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(word, previous):
+                if a != b:
                     break
-                if token >= 0:
-                    left = last[path[start]]
-                    known = beside.get(left << 32 | token)
-                    if known is None:
-                        known = beside[left << 32 | token] = self._may_follow(left, token)
-                    if known:
-                        last[node], before[node] = token, path[start]
-                        break
-        out = {}
-        for word, node in ends.items():
-            back = []
+                shared += 1
+            del path[shared + 1 :]
+            for depth in range(shared + 1, len(word) + 1):
+                path.append(len(last))
+                for start in range(depth - 1, -1, -1):
+                    token = endings.get(word[start:depth], -1)
+                    if token >= 0:
+                        node = path[start]
+                        pair = last[node] << 32 | token
+                        known = beside.get(pair)
+                        if known is None:
+                            known = beside[pair] = self._may_follow(last[node], token)
+                        if known:
+                            last.append(token)
+                            before.append(node)
+                            break
+                else:  # never with a vocabulary that has all bytes
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+            previous, node, back = word, path[-1], []
             while node:
                 back.append(last[node])
                 node = before[node]
-            out[word] = tuple(reversed(back))
+            out[word] = tuple(back[::-1])
         return out
 
     def _learn(self, pieces: set[str], memory: dict[str, bytes], lead: str) -> None:
@@ -184,7 +178,7 @@ class ByteBpe:
             self._words.clear()
         known = self._words
         new = {w for ws in cut.values() for w in ws if w not in known}
-        known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in self.encode_words(new).items())
+        known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in self.encode_words(new).items())
         memory.update((p, b"".join([known[w] for w in ws])) for p, ws in cut.items())
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -224,7 +218,7 @@ def load(path: str) -> ByteBpe:
 
 
 #: Characters of text that are encoded together; bounds a worker's memory.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 3_000_000
 
 
 def slices(texts: Iterable[str | None] | pa.Array, most: int = BATCH_CHARS) -> Iterator[list[str]]:
