@@ -36,7 +36,7 @@ MARGIN = 0.03
 #: Queries that a block audits, and the mean recall that those with a link have to reach.
 AUDITED, RECALL = 512, 0.995
 #: Most nodes of a shard and usual queries of a block; at least LEAST_SHARDS shards.
-SHARD_NODES, BLOCK_QUERIES, LEAST_SHARDS = 25_000, 4096, 6
+SHARD_NODES, BLOCK_QUERIES, LEAST_SHARDS = 25_000, 16_384, 6
 #: Queries that walk a graph together; bounds the memory of what they have visited.
 TOGETHER = 256
 
@@ -180,23 +180,28 @@ class Graph:
             starts = self.walk(vectors, starts, layer, 4)[0][:, :1]
         return self.walk(vectors, starts, 0, beam)
 
-    def to_bytes(self) -> bytes:
+    def to_bytes(self, units: bool = True) -> bytes:
         out = io.BytesIO()
         layers = {f"layer{i}": x for i, x in enumerate(self.layers)}
-        np.savez(out, units=self.units, level=self.level, entry=self.entry, **layers)
+        known = {"units": self.units} if units else {}
+        np.savez(out, level=self.level, entry=self.entry, **known, **layers)
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
+    def from_bytes(cls, data: bytes, units: np.ndarray | None = None) -> Graph:
+        """units: the unit vectors, where they were not written."""
         held = np.load(io.BytesIO(data))
         graph = cls.__new__(cls)
-        graph.units, graph.level, graph.entry = held["units"], held["level"], int(held["entry"])
+        graph.units, graph.level, graph.entry = held["units"] if units is None else units, held["level"], int(held["entry"])
         graph.layers = [held[f"layer{i}"] for i in range(graph.level.max(initial=0) + 1)]
         graph.links = graph.layers[0].shape[1] // 2
         return graph
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; those whose squares would overflow or vanish are scaled first."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True, initial=0)
+    vectors = vectors / np.where((largest > 1e150) | (largest < 1e-150), largest, 1)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -250,12 +255,15 @@ def links_of(
 
 
 def _index(nodes: pd.DataFrame) -> pd.DataFrame:
-    exact = unit(np.stack(nodes["vec"].to_numpy()).astype(np.float64))
-    graph = Graph(exact.astype(np.float32)).build()
+    given = np.stack(nodes["vec"].to_numpy()).astype(np.float64)
+    graph = Graph(unit(given).astype(np.float32)).build()
     out = io.BytesIO()
-    np.savez(out, exact=exact, node=nodes["node"].to_numpy(), copies=nodes["copies"].to_numpy())
+    with np.errstate(over="ignore", under="ignore"):
+        single = given.astype(np.float32)
+    lean = single if (single == given).all() else given  # vectors that came as floats travel as floats
+    np.savez(out, vec=lean, node=nodes["node"].to_numpy(), copies=nodes["copies"].to_numpy())
     return pd.DataFrame(
-        {"dim": [exact.shape[1]], "shard": [nodes["shard"].iloc[0]], "graph": [graph.to_bytes()], "data": [out.getvalue()]}
+        {"dim": [given.shape[1]], "shard": [nodes["shard"].iloc[0]], "graph": [graph.to_bytes(False)], "data": [out.getvalue()]}
     )
 
 
@@ -286,10 +294,11 @@ def _search(queries: pd.DataFrame, index: pd.DataFrame, least: float) -> pd.Data
     if not len(queries) or not len(index):
         return pd.DataFrame({c: [] for c in ("a", "b", "home", "n", "back")})
     held = np.load(io.BytesIO(index["data"].iloc[0]))
-    graph, node, copies = Graph.from_bytes(index["graph"].iloc[0]), held["node"], held["copies"]
+    exact, node, copies = unit(held["vec"].astype(np.float64)), held["node"], held["copies"]
+    graph = Graph.from_bytes(index["graph"].iloc[0], exact.astype(np.float32))
     vectors, own = unit(np.stack(queries["vec"].to_numpy()).astype(np.float64)), queries["node"].to_numpy()
     place = {x: i for i, x in enumerate(node.tolist())}
-    found = links_of(graph, held["exact"], vectors, least, np.array([place.get(x, -1) for x in own.tolist()]))
+    found = links_of(graph, exact, vectors, least, np.array([place.get(x, -1) for x in own.tolist()]))
     sizes = [len(f) for f in found]
     shard, home = int(index["shard"].iloc[0]), int(queries["home"].iloc[0])
     a, hits = np.repeat(own, sizes), np.concatenate(found)
@@ -309,11 +318,13 @@ def near_duplicates(
     id reachable by links, kept marks the row that has it. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do rows without an id (whose component_id is
     null and kept false); vectors of different lengths are not compared. Repeated rows
-    count as one vector and each get its result. Other columns are not read.
+    count as one vector and each get its result; rows that share an id and have different vectors are
+    vectors of their own, which share a node and so a component. An empty table gives no rows; other
+    columns are not read.
     """
     rows = embeddings.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     sound = rows.filter("id is not null and size(vec) > 0").filter(
-        "forall(vec, x -> x is not null and not isnan(x) and abs(x) <= 1e150) and exists(vec, x -> abs(x) >= 1e-150)"
+        "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
     )
     nodes = sound.distinct().groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "vectors")
