@@ -30,16 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context._costwright_shared
 
 
+#: Lets Spark delete the shuffle files of a statement when the statement ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table written in the shared folder and read back: cuts lineage, survives lost executors.
 
-    Nothing needs the shuffle files behind it any more; Spark deletes them once the driver's
-    JVM has collected the objects that stand for them, which is asked for here.
+    Nothing needs the shuffle files behind it any more, so Spark deletes them at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
