@@ -91,7 +91,83 @@ SELECT doc_id, leaf, subroot, (SELECT digest FROM ({union})) AS root, sha256(pro
 FROM v{LEVELS + 1}"""
 
 
+def _components(nodes: str, links: str, rounds: int = 12) -> str:
+    """p(id, label): the least id reachable over links (a, b), both ways: least label of the
+    neighbours, then the label's label, so that distances covered double with each round."""
+    parts = [f"""sides AS (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}),
+p0 AS (SELECT id, id AS label FROM {nodes})"""]
+    for k in range(rounds):
+        parts.append(f"""h{k} AS MATERIALIZED (
+  SELECT p.id, least(any_value(p.label), coalesce(min(q.label), any_value(p.label))) AS label
+  FROM p{k} p LEFT JOIN sides ON p.id = sides.a LEFT JOIN p{k} q ON sides.b = q.id GROUP BY p.id
+),
+p{k + 1} AS MATERIALIZED (SELECT h.id, least(h.label, up.label) AS label FROM h{k} h JOIN h{k} up ON h.label = up.id)""")
+    parts.append(f"p AS (SELECT id, label FROM p{rounds})")
+    return ",\n".join(parts)
+
+
+_EMBEDDING_LINKS = f"""WITH vectors AS MATERIALIZED (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v,
+         embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings
+),
+links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.id < y.id AND len(x.v) = len(y.v)
+  WHERE x.usable AND y.usable AND list_cosine_similarity(x.v, y.v) >= 0.9
+),
+{_components("vectors", "links")}
+SELECT p.id AS vec_id, count(sides.b) AS n_links, any_value(label) AS component_id, p.id = any_value(label) AS kept
+FROM p LEFT JOIN sides ON p.id = sides.a GROUP BY p.id"""
+
+
+def _jaccard(words: int, percent: int) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""WITH texts AS MATERIALIZED (
+  SELECT doc_id AS id, regexp_extract_all({_SMALL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT id, hash({shingle}) AS g
+  FROM (SELECT id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM texts WHERE len(w) >= {words})
+  UNION ALL
+  SELECT id, hash('few ' || array_to_string(w, ' ')) FROM texts WHERE len(w) BETWEEN 1 AND {words - 1}
+),
+sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.g = y.g AND x.id < y.id
+  GROUP BY x.id, y.id
+),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes s ON a = s.id JOIN sizes t ON b = t.id
+  WHERE 100 * shared.n >= {percent} * (s.n + t.n - shared.n)
+),
+{_components("texts", "links")}
+SELECT p.id AS doc_id, coalesce(n, 0) AS n_shingles, label AS component_id
+FROM p LEFT JOIN sizes ON p.id = sizes.id"""
+
+
+def _warc() -> str:
+    """SHA-1 in base 32: each five hex digits give four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digest = " || ".join(
+        f"substr('{letters}', CAST((CAST('0x' || substr(d, {5 * k + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)"
+        for k in range(8)
+        for shift in (15, 10, 5, 0)
+    )
+    return f"""
+SELECT page_id, payload_bytes, {digest} AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d,
+             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest
+      FROM pages)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_hnsw_near_duplicates": _EMBEDDING_LINKS,
+    "op4_jaccard_join": _jaccard(4, 85),
+    "op7_warc_zip": _warc(),
     "op11_veb_merkle_manifest": _merkle(),
     "op12_progressive_exact": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

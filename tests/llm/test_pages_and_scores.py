@@ -294,11 +294,10 @@ def test_stages_with_odd_rows(ready, tmp_path):
     """Nulls in any column, repeated rows, extra columns; then no rows at all."""
     text = " ".join(f"word{i} of the" for i in range(60)) + ". password=0123456789abcdef01"
     rows = [(None, None, None, None, None, 1), (1, text, "en", "s", 5, 1), (1, text, "en", "s", 5, 1), (2, text, None, None, None, 1), (None, text, "en", "s", 1, 1), (3, "", "en", "s", 0, 1)]
-    docs = ready.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __score int")
+    docs = ready.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
     ready.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     near = corpus_pipeline.near_duplicates(ready, docs, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in near) == ["1", "3", "None", "None"]
     for name, stage in corpus_pipeline.STAGES:
-        source = docs.drop("__score") if name == "quality_classifier" else docs
-        assert stage(ready, source, str(tmp_path)).count() > 0
-        assert stage(ready, source.limit(0), str(tmp_path)).count() == 0
+        assert stage(ready, docs, str(tmp_path)).count() > 0
+        assert stage(ready, docs.limit(0), str(tmp_path)).count() == 0
