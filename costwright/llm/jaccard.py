@@ -15,7 +15,8 @@ order of n-grams. Vertical cuts of that order are used twice:
 Equal sets are one node from the start. Signatures that the same nodes share are one. In the first round every node is
 compared with the least node that it shares a signature with; in the second all pairs that share a
 signature and are still in different components are, by size and bitmap inside the join, so that only
-pairs that can be similar leave it. So a group of copies costs one comparison each, and
+pairs that can be similar leave it. Of those, the likeliest pair of each two components is counted first and
+the others only where it did not join them. So a group of copies costs one comparison each, and
 no link between different texts that matters for a component is lost.
 """
 
@@ -264,14 +265,16 @@ def _fragments(wanted: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "key long, part long, node long, n long, hashes array<long>")
 
 
+def _differ() -> Column:
+    """Bits in which the bitmaps of a and b differ."""
+    words = range(SKETCH_BITS // 64)
+    return sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in words), F.lit(0))
+
+
 def _may_link(percent: int) -> Column:
     """Whether sizes and bitmaps of a and b allow the similarity; no similar pair fails."""
-    differ = sum(
-        (F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)),
-        F.lit(0),
-    )
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return near & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return near & ((100 + percent) * _differ() <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
@@ -358,12 +361,27 @@ def similar_groups(
     two = apart.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("component").alias("cb"),
                        F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     different = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    pairs = one.join(two, (F.col("sig") == F.col("sig_b")) & different & may_link).select("a", "b").distinct()
+    share = (_differ() / (F.col("na") + F.col("nb"))).alias("share")
+    pairs = one.join(two, (F.col("sig") == F.col("sig_b")) & different & may_link)
+    pairs = pairs.select("a", "b", "ca", "cb", share).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = written(_linked(pairs, docs, sets, words, percent), "links")
-    for used in (chosen, sets, stars, pairs):
+
+    # the likeliest pair of each two groups comes first: where it links, the others need no comparison
+    groups = F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")
+    likeliest = pairs.groupBy(*groups).agg(F.min(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
+    likeliest = written(likeliest, "pairs")
+    links = written(links.unionByName(_linked(likeliest, docs, sets, words, percent)), "links")
+    grouped = components(links)
+    at_a, at_b = (grouped.select(F.col("node").alias(k), F.col("component").alias(f"now_{k}")) for k in "ab")
+    rest = pairs.join(likeliest, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left")
+    rest = rest.filter(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
+    rest = written(rest, "pairs")
+    if not rest.isEmpty():
+        links = written(links.unionByName(_linked(rest, docs, sets, words, percent)), "links")
+        grouped = components(links)
+    for used in (chosen, sets, stars, pairs, likeliest, rest, links):
         removed(used)
-    final = components(links.unionByName(more))
+    final = grouped
 
     found = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.filter("node is not null").groupBy("component").agg(F.min("id").alias("smallest"))
