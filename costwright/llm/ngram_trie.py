@@ -37,7 +37,7 @@ PRIOR = 100.0
 #: Code 0 is probability 0; codes 1 to CODES are evenly spread in log10 from -DEPTH to 0.
 DEPTH, CODES = 8.0, 65535
 #: Tokens of all blocks for each shard, which holds up to ORDER - 1 n-grams of each; shards grow in number with the tokens.
-SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 8
+SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 8
 #: Characters of text in a block.
 BLOCK_CHARS = 8_000_000
 
