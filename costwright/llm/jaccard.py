@@ -1,21 +1,20 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A text's set is its distinct word shingles, as 64-bit hashes; the hash order is the global
-order of n-grams. Vertical cuts of that order are used twice:
+order of n-grams. Vertical cuts of that order find the pairs:
 
 * To find pairs. Two sets of size at most m whose Jaccard similarity reaches the threshold
   differ in at most d(m) shingles, so of more than d(m) fragments one at least is equal in both. Each
   set gives a signature per non-empty fragment, for the size bands in which it can have
   partners. Sets that are empty in too many fragments to leave more than d(m) others
   give signatures of empty fragments too, so no pair is missed.
-* To verify them. Per pair and coarser fragment the overlap is counted separately and the
-  counts are summed, which gives the exact intersection. Before that, a pair is
-  dropped when its sets' sizes are too far apart or when their parity bitmaps differ in more bits than the sets may in shingles.
-
-Equal sets are one node from the start. Signatures that the same nodes share are one. In the first round every node is
-compared with the least node that it shares a signature with; in the second all pairs that share a
-signature and are still in different components are, by size and bitmap inside the join, so that only
-pairs that can be similar leave it. So a group of copies costs one comparison each, and
+* To drop pairs before their texts move: when the sets' sizes are too far apart or when their parity
+  bitmaps differ in more bits than the sets may in shingles. What is left is verified by the exact intersection.
+
+Equal sets are one node from the start. Signatures that the same nodes share are one. The members of a
+signature are compared by size and bitmap in cells of bounded size. In the first round a cell gives a spanning
+forest of the pairs that may link, the likeliest first, so a family of any size sends about as many pairs as it has
+members; in the second it gives all pairs that may link and are still in different components. So
 no link between different texts that matters for a component is lost.
 """
 
@@ -38,8 +37,10 @@ from costwright.llm.components import components
 from costwright.llm.shared import marked, removed, repeated_keys, written
 
 WORDS, PERCENT = 4, 85
-#: Fragments in which overlaps are counted.
-PARTS = 8
+#: Members of a signature that are compared in one cell; of more, each two chunks of so many are a cell.
+CELL = 1024
+#: Nodes that are compared with one node in a group of texts; more are several groups.
+FAN = 64
 #: Bits of a set's parity bitmap: each shingle flips one, so two bitmaps differ in no more bits than their sets.
 SKETCH_BITS = 1024
 #: Documents of one shard of signatures; shards grow in number with the documents.
@@ -230,75 +231,144 @@ def _shared(sent: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": block[order][many], "row": row[order][many], "sig": sig[many].view(np.int64)})
 
 
-def _fragments(wanted: DataFrame, words: int) -> DataFrame:
-    """(key, part, node, n, hashes) of rows (text, node, key): the text's set, cut into PARTS fragments.
-
-    A text whose set is not the wanted node gives nothing; empty fragments have no row.
+def _may_link(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """A number for each two sets: the share of their shingles that differ by their bitmaps, which
+    is never too large, or infinity where sizes or bitmaps rule the similarity out."""
+    far = np.full((len(n), len(n)), np.inf, np.float32)
+    step = max(1, (1 << 18) // len(n))  # so that a step's bitmaps stay in 32 MB
+    for i in range(0, len(n), step):
+        own = slice(i, i + step)
+        differ = np.bitwise_count(bits[own, None] ^ bits[None]).sum(-1, dtype=np.int64)
+        total, least = n[own, None] + n[None], np.minimum(n[own, None], n[None])
+        may = (100 * least >= percent * (total - least)) & ((100 + percent) * differ <= (100 - percent) * total)
+        far[own][may] = (differ / total)[may]
+    np.fill_diagonal(far, np.inf)
+    return far
+
+
+def _forest(far: np.ndarray) -> tuple[list[int], list[int]]:
+    """The two ends of each edge of a least spanning forest (Prim) of a matrix of distances."""
+    near, parent, left = np.full(len(far), np.inf, np.float32), np.zeros(len(far), np.int64), len(far)
+    done, ends = np.zeros(len(far), bool), ([], [])
+    while left:
+        at = int(np.argmin(near))
+        if near[at] < np.inf:
+            ends[0].append(int(parent[at]))
+            ends[1].append(at)
+        else:
+            at = int(np.argmin(done))  # the first of another tree
+        done[at], left = True, left - 1
+        closer = (far[at] < near) & ~done
+        near[closer], parent[closer] = far[at][closer], at
+        near[at] = np.inf
+    return ends
+
+
+def _candidates(members: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes of a signature in different components that may link.
+
+    members: sig, members (their number), node, component, n and bits. With whole all such pairs, else a
+    spanning forest of those of each cell, the likeliest first.
     """
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    chunks = F.ceil(F.col("members") / CELL).cast("int")
+    cells = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    key = ["sig", "lo", "hi"]
+    cells = cells.select(
+        "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "own", "node", "component", "n", "bits",
+    )
+
+    def pairs_of(lo: int, hi: int, own: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray):
+        far = _may_link(n, bits, percent)
+        far[component[:, None] == component[None]] = np.inf
+        if lo < hi:  # the chunks have cells of their own
+            far[own[:, None] == own[None]] = np.inf
+        i, j = np.nonzero(np.triu(far < np.inf)) if whole else map(np.array, _forest(far))
+        if not len(i):
+            return np.empty((2, 0), np.int64)
+        return np.array([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
-        for batch in batches:
-            texts, nodes, keys, at = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
-            for part in slices(texts):
-                rows = []
-                for text, node, key in zip(part, nodes[at:], keys[at:]):
-                    hashes = memory.shingles(text, words)
-                    if not len(hashes) or node_of(hashes) != node:
-                        continue
-                    ends = np.searchsorted(((hashes >> _U(32)) * _U(PARTS)) >> _U(32), np.arange(PARTS + 1))
-                    signed = hashes.view(np.int64)
-                    rows += [
-                        (key, p, node, len(hashes), signed[ends[p] : ends[p + 1]])
-                        for p in range(PARTS)
-                        if ends[p] < ends[p + 1]
-                    ]
-                at += len(part)
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "part", "node", "n", "hashes"]
-                )
-
-    chosen = wanted.select("text", "node", "key")
-    return chosen.mapInArrow(run, "key long, part long, node long, n long, hashes array<long>")
+        rest: list[list[np.ndarray]] = []  # the last cell so far, which may go on in the next batch
 
+        def found(parts: list[list[np.ndarray]]) -> np.ndarray:
+            _, lo, hi, *columns = (np.concatenate(c) for c in zip(*parts))
+            return pairs_of(int(lo[0]), int(hi[0]), *columns) if len(lo) > 1 else np.empty((2, 0), np.int64)
 
-def _may_link(percent: int) -> Column:
-    """Whether sizes and bitmaps of a and b allow the similarity; no similar pair fails."""
-    differ = sum(
-        (F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)),
-        F.lit(0),
-    )
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return near & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            columns.append(batch.columns[-1].flatten().to_numpy(zero_copy_only=False).view(_U).reshape(batch.num_rows, -1))
+            new = np.any([c[1:] != c[:-1] for c in columns[: len(key)]], axis=0)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            pairs = []
+            for start, end in zip(starts, starts[1:]):
+                part = [c[start:end] for c in columns]
+                if rest and any(part[k][0] != rest[-1][k][0] for k in range(len(key))):
+                    pairs.append(found(rest))
+                    rest = []
+                rest.append(part)
+            rest = [[c.copy() for c in part] for part in rest]
+            if pairs:
+                yield _pairs(np.concatenate(pairs, axis=1))
+        if rest:
+            yield _pairs(found(rest))
+
+    # a cell's rows lie together after the sort
+    dealt = cells.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(ends: np.ndarray) -> pa.RecordBatch:
+    a, b = np.unique(ends, axis=1) if ends.shape[1] else ends
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The written pairs (a, b) that are similar enough: overlaps counted per fragment, then summed.
+    """The written pairs (a, b) that are similar enough, by the exact size of the intersection.
 
     Texts of the sets that occur in pairs are found again by a hash of their content, behind a bitmap
-    of fixed size in the scan, so other texts do not move.
+    of fixed size in the scan, so other texts do not move. The text of a meets those of its b, FAN at a time.
     """
-    contents = sets.select("node", "content")
-
-    def fragments(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.join(contents, "node")
-        marks = written(repeated_keys(wanted, F.col("content"), least=1), "marks")
-        found = marked(docs.select("text", "content"), F.col("content"), marks, "may").filter("may")
-        # copies of a text are one
-        texts = found.groupBy("content").agg(F.min("text").alias("text"))
-        return _fragments(texts.join(wanted, "content"), words)
-
-    left = fragments(pairs.select(F.col("a").alias("node"), F.col("a").alias("key")).distinct())
-    right = fragments(pairs.select(F.col("b").alias("node"), F.col("a").alias("key")))
-    left = left.select(F.col("key").alias("a"), "part", F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = right.select(F.col("key").alias("a"), "part", F.col("node").alias("b"), F.col("n").alias("nb"), "hashes")
-    counted = right.join(left, ["a", "part"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ha", "hashes")).alias("both")
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fans"))
+    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(2)), F.col("fans")).alias("fan"))
+    wanted = dealt.select("a", "fan", F.col("b").alias("node")).unionByName(
+        dealt.select("a", "fan", F.col("a").alias("node")).distinct()
     )
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return summed.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    wanted = written(wanted.join(sets.select("node", "content"), "node"), "wanted")
+    marks = written(repeated_keys(wanted, F.col("content"), least=1), "marks")
+    found = marked(docs.select("text", "content"), F.col("content"), marks, "may").filter("may")
+    # copies of a text are one
+    texts = found.groupBy("content").agg(F.min("text").alias("text"))
+    placed = texts.join(wanted, "content").select("text", "node", "a", "fan", (F.col("node") != F.col("a")).alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, base, base_of = WordHashes(), np.empty(0, _U), None
+        for batch in batches:
+            nodes, a, fans = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            at, linked = 0, []
+            for part in slices(batch.column(0)):
+                for text, node, key in zip(part, nodes[at:], zip(a[at:], fans[at:])):
+                    hashes = memory.shingles(text, words)
+                    if not len(hashes) or node_of(hashes) != node:
+                        continue
+                    if node == key[0]:
+                        base, base_of = hashes, key
+                    elif base_of == key:
+                        place = np.minimum(np.searchsorted(base, hashes), len(base) - 1)
+                        both = int(np.count_nonzero(base[place] == hashes))
+                        if 100 * both >= percent * (len(base) + len(hashes) - both):
+                            linked.append((key[0], node))
+                at += len(part)
+            yield _pairs(np.array(linked, np.int64).reshape(-1, 2).T)
+
+    grouped = placed.repartition("a", "fan").sortWithinPartitions("a", "fan", "other")
+    links = written(grouped.mapInArrow(run, "a long, b long"), "links")
+    for used in (wanted, marks):
+        removed(used)
+    return links
 
 
 def similar_groups(
@@ -336,34 +406,27 @@ def similar_groups(
         )
         .filter("members > 1")
     )
-    shared = shared.groupBy("a", "members", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "a", "members")
+    shared = shared.groupBy("a", "members", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "members")
     chosen = written(members.join(shared, "sig"), "members")
     removed(members)
 
-    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    may_link = _may_link(percent)
-    stars = chosen.filter("node > a").select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars.join(b, "b").join(a, "a").filter(may_link).select("a", "b"), "pairs")
-    links = written(_linked(stars, docs, sets, words, percent), "links")
+    features = sets.select("node", "n", "bits")
+    first = chosen.join(features, "node").withColumn("component", F.col("node"))
+    pairs = written(_candidates(first, percent, whole=False), "pairs")
+    grouped = components(_linked(pairs, docs, sets, words, percent))
 
     # two members were compared by the first round; more are where they are still apart
-    grouped = components(links)
     apart = chosen.filter("members > 2").join(grouped, "node", "left").select(
-        "sig", "node", F.coalesce("component", "node").alias("component")
+        "sig", "members", "node", F.coalesce("component", "node").alias("component")
     )
     open_sigs = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    apart = apart.join(open_sigs.select("sig"), "sig").join(sets.select("node", "n", "bits"), "node")
-    one = apart.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"),
-                       F.col("bits").alias("bits_a"))
-    two = apart.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("component").alias("cb"),
-                       F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    different = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    pairs = one.join(two, (F.col("sig") == F.col("sig_b")) & different & may_link).select("a", "b").distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = written(_linked(pairs, docs, sets, words, percent), "links")
-    for used in (chosen, sets, stars, pairs):
+    apart = apart.join(open_sigs.select("sig"), "sig").join(features, "node")
+    others = written(_candidates(apart, percent, whole=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _linked(others, docs, sets, words, percent)
+    for used in (chosen, sets, pairs, others):
         removed(used)
-    final = components(links.unionByName(more))
+    # what the first round has joined is a link to its least node
+    final = components(more.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     found = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.filter("node is not null").groupBy("component").agg(F.min("id").alias("smallest"))

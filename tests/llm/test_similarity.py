@@ -104,6 +104,32 @@ def test_pairs_of_the_second_round(ready):
     assert sorted(got) == brute_groups(rows, 4, 85) and {g[2] for g in got} == {0}
 
 
+def test_a_large_family_sends_about_as_many_pairs_as_members(ready, monkeypatch):
+    """Copies of one text of which few link with the least of their signatures; pair by pair 1,510 were sent."""
+    r = random.Random(11)
+    rows = list(enumerate(family(r, [f"w{i}" for i in range(120)], 600, 0.035)))
+    sent, linked = [], jaccard._linked
+
+    def counted(pairs, *more):
+        sent.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    docs = ready.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(x) for x in jaccard.similar_groups(docs).collect()]
+    assert sorted(got) == brute_groups(rows, 4, 85)
+    assert sum(sent) <= len(rows), sent
+
+
+def test_cells_and_fans_of_any_size_equal_brute_force(ready, monkeypatch):
+    r = random.Random(12)
+    rows = list(enumerate(family(r, [f"w{i}" for i in range(80)], 90, 0.03)))
+    docs = ready.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "CELL", 7)
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    assert sorted(tuple(x) for x in jaccard.similar_groups(docs).collect()) == brute_groups(rows, 4, 85)
+
+
 def test_empty_table(ready):
     docs = ready.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_groups(docs).count() == 0
