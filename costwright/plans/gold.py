@@ -32,19 +32,31 @@ def daily_cost(silver: DataFrame) -> DataFrame:
 
 
 def cost_by_user(silver: DataFrame) -> DataFrame:
-    """Summed by user and resource first: three distinct counts copy each of their input rows
-    several times, which should be these groups and not the raw records."""
+    """Summed by user and resource first, so that a distinct count is a count of groups; count_distinct
+    would copy each row once for each of the three. A record of several resources has a row for
+    each, of which the first carries the sums."""
     keys = (*DAY_AND_WORKSPACE, "user_email")
-    by_resource = silver.groupBy(
-        *DAY_AND_WORKSPACE, user_of_record().alias("user_email"),
-        "cluster_id", "warehouse_id", "job_id",
-    ).agg(*_sums())
-    kinds = dict(by_resource.dtypes)
+    kinds = ("cluster", "warehouse", "job")
+    resources = F.array(
+        *(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id")) for kind in kinds)
+    )
+    known = F.posexplode_outer(F.filter(resources, lambda r: r["id"].isNotNull()))
+    by_resource = (
+        silver.select(
+            *DAY_AND_WORKSPACE, user_of_record().alias("user_email"),
+            "usage_quantity", "estimated_cost_usd", known.alias("place", "resource"),
+        )
+        .withColumns({
+            c: F.when(F.coalesce("place", F.lit(0)) == 0, F.col(c))
+            for c in ("usage_quantity", "estimated_cost_usd")
+        })
+        .groupBy(*keys, F.col("resource.kind").alias("kind"), F.col("resource.id").alias("id"))
+        .agg(*_sums())
+    )
+    types = dict(by_resource.dtypes)
     return by_resource.groupBy(*keys).agg(
-        *(F.sum(c).cast(kinds[c]).alias(c) for c in ("total_usage", "total_cost_usd")),
-        F.count_distinct("cluster_id").alias("distinct_clusters"),
-        F.count_distinct("warehouse_id").alias("distinct_warehouses"),
-        F.count_distinct("job_id").alias("distinct_jobs"),
+        *(F.sum(c).cast(types[c]).alias(c) for c in ("total_usage", "total_cost_usd")),
+        *(F.count_if(F.col("kind") == kind).alias(f"distinct_{kind}s") for kind in kinds),
     )
 
 

@@ -132,6 +132,21 @@ def test_users_and_resources(spark):
                      ("other", "unknown"): 8}
 
 
+def test_distinct_counts_of_users_copy_no_rows(spark):
+    """A record of several resources counts for each and its cost once; no row is copied for each count."""
+    df = rows.silver(
+        spark,
+        {"cost": 1, "cluster_id": "c", "job_id": "j", "run_as_user": "u"},
+        {"cost": 2, "cluster_id": "c", "warehouse_id": "w", "job_id": "k", "run_as_user": "u"},
+        {"cost": 4, "run_as_user": "u"},
+    )
+    found = gold.cost_by_user(df)
+    (r,) = dicts(found)
+    counts = [r[f"distinct_{k}"] for k in ("clusters", "warehouses", "jobs")]
+    assert (r["total_cost_usd"], counts) == (7, [1, 1, 2])
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rollups_keep_the_total(spark):
     from workload import queries
 
