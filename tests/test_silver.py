@@ -147,6 +147,20 @@ def test_distinct_counts_of_users_copy_no_rows(spark):
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_records_are_not_shuffled_for_prices_or_customers(spark):
+    from workload import queries
+
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")  # as for tables of any size
+    try:
+        df = queries.enriched(spark, "/root/testdata/sf0.001", queries.ALL_TIME)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(conf, before)
+    assert plan.count("SortMergeJoin") == 4 and plan.count("BroadcastHashJoin") == 1
+
+
 def test_rollups_keep_the_total(spark):
     from workload import queries
 

@@ -80,12 +80,18 @@ def prices(spark, sf_dir):
     return bronze.list_prices(fixtures.price_source(spark, sf_dir))
 
 
+def price_list(spark, sf_dir):
+    """The prices, to be broadcast: some for each part type, however many parts there are. Spark takes the
+    list to grow with the part table and would shuffle all records by their few SKUs."""
+    return F.broadcast(prices(spark, sf_dir))
+
+
 def clusters(spark, sf_dir):
     return bronze.clusters(fixtures.cluster_source(spark, sf_dir))
 
 
 def enriched(spark, sf_dir, days=DAYS):
-    return silver.usage_enriched(usage(spark, sf_dir, days), prices(spark, sf_dir), AS_OF)
+    return silver.usage_enriched(usage(spark, sf_dir, days), price_list(spark, sf_dir), AS_OF)
 
 
 def daily(spark, sf_dir, days=DAYS):
@@ -334,7 +340,7 @@ def _priced(spark, sf_dir, price_list):
 
 @query
 def price_interval_join(spark, sf_dir):
-    return _priced(spark, sf_dir, prices(spark, sf_dir))
+    return _priced(spark, sf_dir, price_list(spark, sf_dir))
 
 
 @query
@@ -375,7 +381,7 @@ def usage_without_prices(spark, sf_dir):
 @query
 def cost_computation(spark, sf_dir):
     priced = silver.price_interval_join(
-        usage(spark, sf_dir, ALL_TIME), prices(spark, sf_dir), AS_OF
+        usage(spark, sf_dir, ALL_TIME), price_list(spark, sf_dir), AS_OF
     )
     return flat(silver.with_cost(priced).select(
         "record_id", "usage_quantity", "price_per_unit", "estimated_cost_usd"
