@@ -106,8 +106,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, rows: tuple[int, int]) -> tuple[list[str], list[int]]:
-    """At most rows[c] labelled texts of each class c, chosen by a hash of their ids.
+def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, rows: tuple[int, int]) -> DataFrame:
+    """__id, __label and __text of at most rows[c] labelled texts of each class c, chosen by a hash of their ids.
 
     labels: id_column and `quality`; ids with several labels count as 1 if any is. Null ids,
     texts and labels, and texts over SAMPLE_CHARS, are not learned from. Of rows that share an id the one with
@@ -122,17 +122,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, rows:
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = [known.filter(F.col("__label") == c).orderBy(*order).limit(rows[c]) for c in (0, 1)]
     bounded = F.broadcast(picked[0].unionByName(picked[1]))  # at most sum(rows) ids
-    found = (
+    return (
         docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
         .filter(F.length("__text") <= SAMPLE_CHARS)
         .join(bounded, "__id")
         .groupBy("__id", "__label")
         .agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__least"))
         .select("__id", "__label", "__least.__text")
-        .toArrow()
-        .sort_by("__id")
     )
-    return found.column("__text").to_pylist(), found.column("__label").to_pylist()
 
 
 def fit(
@@ -142,8 +139,24 @@ def fit(
     text: str = "text",
     rows: tuple[int, int] = SAMPLE_ROWS,
 ) -> SubwordModel:
-    """A model learned from a bounded sample of the labelled rows."""
-    return train(*sample(docs, labels, id_column, text, rows))
+    """A model learned from a bounded sample of the labelled rows.
+
+    One task learns, so neither texts nor their features reach the driver; only the model does, whose size is fixed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(batches):
+            rows = pa.Table.from_batches(found).sort_by("__id")
+            model = train(rows.column("__text").to_pylist(), rows.column("__label").to_pylist())
+            parts = [pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.layer, model.bias)]
+            yield pa.RecordBatch.from_arrays(parts, names=["vectors", "layer", "bias"])
+
+    learning = sample(docs, labels, id_column, text, rows).repartition(1)
+    learned = learning.mapInArrow(run, "vectors binary, layer binary, bias binary").first()
+    if not learned:
+        return train([], [])
+    vectors, layer, bias = (np.frombuffer(x, np.float32) for x in learned)
+    return SubwordModel(vectors.reshape(BUCKETS, DIM), layer.reshape(2, DIM), bias)
 
 
 class Scorer(dict):

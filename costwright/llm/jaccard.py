@@ -5,11 +5,13 @@ order of n-grams. Vertical cuts of that order find the pairs:
 
 * To find pairs. Two sets of size at most m whose Jaccard similarity reaches the threshold
   differ in at most d(m) shingles, so of more than d(m) fragments one at least is equal in both. Each
-  set gives a signature per non-empty fragment, for the size bands in which it can have
-  partners. Sets that are empty in too many fragments to leave more than d(m) others
-  give signatures of empty fragments too, so no pair is missed.
+  set gives signatures of non-empty fragments, for the size bands in which it can have
+  partners: as many as differ from a partner at most, and one more, those of most shingles first. As
+  all sets have the same order, the first fragment that a pair shares is given by both. Sets that are empty in too
+  many fragments to have as many give signatures of empty fragments too, so no pair is missed.
 * To drop pairs before their texts move: when the sets' sizes are too far apart or when their parity
-  bitmaps differ in more bits than the sets may in shingles. What is left is verified by the exact intersection.
+  bitmaps, which are as long as the sets, differ in more bits than the sets may in shingles. What is left is
+  verified by the exact intersection.
 
 Equal sets are one node from the start. Signatures that the same nodes share are one. The members of a
 signature are compared by size and bitmap in cells of bounded size. In the first round a cell gives a spanning
@@ -41,8 +43,9 @@ WORDS, PERCENT = 4, 85
 CELL = 1024
 #: Nodes that are compared with one node in a group of texts; more are several groups.
 FAN = 64
-#: Bits of a set's parity bitmap: each shingle flips one, so two bitmaps differ in no more bits than their sets.
-SKETCH_BITS = 1024
+#: Bits of a set's parity bitmap, at least and at most; between them the power of two that reaches the set's size.
+#: Each shingle flips one bit, so two bitmaps differ in no more bits than their sets; one with too few rules nothing out.
+SKETCH_BITS, LONGEST_SKETCH = 1024, 1 << 16
 #: Documents of one shard of signatures; shards grow in number with the documents.
 SHARD_DOCS = 8192
 #: Words whose hash a worker remembers; a full memory is emptied.
@@ -104,15 +107,25 @@ def cuts(band_end: int, percent: int) -> tuple[int, int]:
 
 
 def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: whoever is similar enough and not equal shares one of them."""
-    found = []
-    for band, end in bands(len(hashes), percent):
-        differ, fragments = cuts(end, percent)
+    """Signatures of a set: whoever is similar enough and not equal shares one of them.
+
+    Of k non-empty fragments a partner shares all but `differ`. In an order that all sets have in
+    common, the first shared one is thus among the first differ + 1 of either set; later ones are not given.
+    Fragments of many shingles come first: those of one shingle are what unrelated texts share by a common phrase.
+    """
+    found, size = [], len(hashes)
+    for band, end in bands(size, percent):
+        # from a partner of this band
+        differ = (100 - percent) * (size + min(100 * size // percent, end - 1)) // (100 + percent)
         if differ:  # else only equal sets are similar
+            _, fragments = cuts(end, percent)
             at = ((hashes >> _U(32)) * _U(fragments)) >> _U(32)
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             place = mixed(at[starts] + _U((band + 1) << 32))
-            found.append(mixed(np.add.reduceat(mixed(hashes), starts) ^ place))
+            own = mixed(np.add.reduceat(mixed(hashes), starts) ^ place)
+            if len(starts) > differ + 1:
+                own = own[np.lexsort((own, -np.diff(starts, append=size)))[: differ + 1]]
+            found.append(own)
             if len(starts) <= differ:
                 empty = np.setdiff1d(np.arange(fragments, dtype=_U), at[starts], assume_unique=True)
                 found.append(mixed(mixed(empty + _U((band + 1) << 32)) + _U(1)))
@@ -146,10 +159,23 @@ def node_of(hashes: np.ndarray) -> int:
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """The parity bitmap of a set, as 64-bit numbers."""
-    odd = np.bincount((hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    size = min(max(SKETCH_BITS, 1 << (len(hashes) - 1).bit_length()), LONGEST_SKETCH)
+    odd = np.bincount((hashes % _U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A row for each of the bitmaps that lie one after another, all as long as the shortest: halves are
+    combined by exclusive or, which gives the parities of fewer bits."""
+    width, ends = int(lengths.min()), np.cumsum(lengths)
+    if ends[-1] == width * len(lengths):
+        return bits.reshape(-1, width)
+    rows = np.empty((len(lengths), width), bits.dtype)
+    for i, (end, length) in enumerate(zip(ends.tolist(), lengths.tolist())):
+        rows[i] = np.bitwise_xor.reduce(bits[end - length : end].reshape(-1, width), axis=0)
+    return rows
+
+
 def _content(text: str) -> Column:
     """A hash of the text itself, by which its row is found again."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -235,7 +261,7 @@ def _may_link(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     """A number for each two sets: the share of their shingles that differ by their bitmaps, which
     is never too large, or infinity where sizes or bitmaps rule the similarity out."""
     far = np.full((len(n), len(n)), np.inf, np.float32)
-    step = max(1, (1 << 18) // len(n))  # so that a step's bitmaps stay in 32 MB
+    step = max(1, (1 << 22) // bits.size)  # so that a step's bitmaps stay in 32 MB
     for i in range(0, len(n), step):
         own = slice(i, i + step)
         differ = np.bitwise_count(bits[own, None] ^ bits[None]).sum(-1, dtype=np.int64)
@@ -279,8 +305,10 @@ def _candidates(members: DataFrame, percent: int, whole: bool) -> DataFrame:
         "own", "node", "component", "n", "bits",
     )
 
-    def pairs_of(lo: int, hi: int, own: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray):
-        far = _may_link(n, bits, percent)
+    def pairs_of(
+        lo: int, hi: int, own: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, lengths: np.ndarray, bits: np.ndarray
+    ) -> np.ndarray:
+        far = _may_link(n, folded(bits, lengths), percent)
         far[component[:, None] == component[None]] = np.inf
         if lo < hi:  # the chunks have cells of their own
             far[own[:, None] == own[None]] = np.inf
@@ -300,12 +328,14 @@ def _candidates(members: DataFrame, percent: int, whole: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-            columns.append(batch.columns[-1].flatten().to_numpy(zero_copy_only=False).view(_U).reshape(batch.num_rows, -1))
+            columns.append(batch.columns[-1].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            bits = batch.columns[-1].flatten().to_numpy(zero_copy_only=False).view(_U)
+            ends = np.concatenate(([0], np.cumsum(columns[-1])))
             new = np.any([c[1:] != c[:-1] for c in columns[: len(key)]], axis=0)
             starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             pairs = []
             for start, end in zip(starts, starts[1:]):
-                part = [c[start:end] for c in columns]
+                part = [*(c[start:end] for c in columns), bits[ends[start] : ends[end]]]
                 if rest and any(part[k][0] != rest[-1][k][0] for k in range(len(key))):
                     pairs.append(found(rest))
                     rest = []
@@ -426,7 +456,9 @@ def similar_groups(
     for used in (chosen, sets, pairs, others):
         removed(used)
     # what the first round has joined is a link to its least node
-    final = components(more.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    final = grouped if more.isEmpty() else components(
+        more.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    )
 
     found = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = found.filter("node is not null").groupBy("component").agg(F.min("id").alias("smallest"))

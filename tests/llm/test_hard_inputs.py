@@ -1,5 +1,6 @@
 """Inputs that broke operators: stray quotes, many marks, clashing names, shared ids, large families."""
 
+import os
 import random
 import time
 
@@ -156,6 +157,19 @@ def test_scores_with_a_clashing_name_and_shared_ids(ready):
     assert unused(docs, "score") == "_score" and unused(docs, "other") == "other"
 
 
+def test_learning_runs_in_a_task(ready, monkeypatch):
+    """The driver keeps the model only, not what learning needs."""
+
+    def where(texts, labels):
+        shapes = ((classifier.BUCKETS, classifier.DIM), (2, classifier.DIM))
+        return classifier.SubwordModel(*(np.zeros(s, np.float32) for s in shapes), np.full(2, os.getpid(), np.float32))
+
+    monkeypatch.setattr(classifier, "train", where)
+    docs = ready.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    labels = ready.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    assert classifier.fit(docs, labels).bias[0] != np.float32(os.getpid())
+
+
 # -------------------------------------------------------------------- joins
 
 

@@ -121,6 +121,51 @@ def test_a_large_family_sends_about_as_many_pairs_as_members(ready, monkeypatch)
     assert sum(sent) <= len(rows), sent
 
 
+def test_large_texts_with_common_phrases_send_no_pairs(ready, monkeypatch):
+    """Texts of thousands of words that share a few phrases; 1,024 bits ruled out none of the 405 pairs of these texts."""
+    r = random.Random(13)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(60)]
+    texts = []
+    for i in range(30):
+        pieces = [" ".join(f"o{i}x{j}x{k}" for k in range(r.randint(44, 60))) for j in range(60)]
+        texts.append(" ".join(x for pair in zip(pieces, phrases) for x in pair))
+    near = texts[0].split()  # sizes on either side of a power of two
+    rows = [*enumerate(texts), (100, " ".join([*near, *(f"more{i}" for i in range(4200 - len(near)))])), (101, " ".join(near[:3600]))]
+    sent, linked = [], jaccard._linked
+
+    def counted(pairs, *more):
+        sent.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    docs = ready.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(x) for x in jaccard.similar_groups(docs, words=5, percent=80).collect()]
+    assert sorted(got) == brute_groups(rows, 5, 80) and len({g[2] for g in got}) == 30
+    assert {g[1] > 4096 for g in got if g[2] == 0} == {True, False}
+    assert sum(sent) <= 3, sent
+
+
+def test_a_set_gives_as_many_signatures_as_may_differ_and_one():
+    r = np.random.default_rng(3)
+    for n, percent in ((300, 80), (1000, 80), (1000, 85), (5000, 80)):
+        hashes = np.unique(r.integers(0, 2**64, n, np.uint64))
+        most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+        assert len(jaccard.signatures(hashes, percent)) <= (most + 1) * len(jaccard.bands(n, percent))
+
+
+def test_bitmaps_of_several_lengths_fold_to_the_shortest():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 2**64, n, np.uint64)) for n in (5, 1024, 1025, 3000, 200_000)]
+    maps = [jaccard.bitmap(h).view(np.uint64) for h in sets]
+    assert [64 * len(m) for m in maps] == [1024, 1024, 2048, 4096, jaccard.LONGEST_SKETCH]
+    for some in ((0, 1), (2, 3), (1, 2, 3, 4)):
+        rows = jaccard.folded(np.concatenate([maps[i] for i in some]), np.array([len(maps[i]) for i in some]))
+        size = min(64 * len(maps[i]) for i in some)
+        for i, row in zip(some, rows, strict=True):
+            odd = np.bincount((sets[i] % np.uint64(size)).astype(np.int64), minlength=size) & 1
+            assert np.array_equal(np.packbits(odd.astype(np.uint8)).view(np.uint64), row)
+
+
 def test_cells_and_fans_of_any_size_equal_brute_force(ready, monkeypatch):
     r = random.Random(12)
     rows = list(enumerate(family(r, [f"w{i}" for i in range(80)], 90, 0.03)))
